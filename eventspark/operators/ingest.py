@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventspark.operators.ordered import Running, prefix, split
 from eventspark.operators.records import DEFAULT_PARTITIONS, with_offsets, with_partition
 from eventspark.operators.validate import (
-    http_error, stamp_metadata, typed_error, validate_http, validate_typed, with_defaults, with_request_id,
+    http_error, stamp_metadata, validate_http, validate_typed, with_defaults, with_request_id,
 )
 from eventspark.sources.requests import MAX_BATCH
 
@@ -123,9 +123,3 @@ def by_priority(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 def union_protocols(http: DataFrame, typed: DataFrame) -> DataFrame:
     """Events of both protocols for one topic; fields a protocol lacks are null."""
     return http.unionByName(typed, allowMissingColumns=True)
-
-
-__all__ = [
-    "batch_results", "batch_summary", "by_priority", "ingest", "ingest_batch", "ingest_batch_http", "send_batch",
-    "split_valid", "typed_error", "union_protocols",
-]
