@@ -6,6 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from eventspark.schema import EVENTS_TABLE
 
 MONTH = "event_month"
 
@@ -14,16 +17,21 @@ def month_of(ts: str):
     return F.date_format(ts, "yyyy-MM")
 
 
-def scan_events(
-    spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None,
+def history_range(
+    df: DataFrame, start: datetime | None = None, end: datetime | None = None,
     tenant: str | None = None, types: list[str] | None = None,
 ) -> DataFrame:
-    """History rows in `[start, end)`; the time range also prunes months, the rest is pushed to the files."""
-    df = spark.read.parquet(path)
+    """History rows in `[start, end)` of a tenant and of given types.
+
+    On a month-partitioned table the time range also prunes months; the rest is pushed to the files.
+    """
+    by_month = MONTH in df.columns
     if start is not None:
-        df = df.filter((F.col(MONTH) >= f"{start:%Y-%m}") & (F.col("event_timestamp") >= F.lit(start)))
+        df = df.filter(F.col("event_timestamp") >= F.lit(start))
+        df = df.filter(F.col(MONTH) >= f"{start:%Y-%m}") if by_month else df
     if end is not None:
-        df = df.filter((F.col(MONTH) <= f"{end:%Y-%m}") & (F.col("event_timestamp") < F.lit(end)))
+        df = df.filter(F.col("event_timestamp") < F.lit(end))
+        df = df.filter(F.col(MONTH) <= f"{end:%Y-%m}") if by_month else df
     if tenant is not None:
         df = df.filter(F.col("tenant_id") == tenant)
     if types:
@@ -31,6 +39,15 @@ def scan_events(
     return df
 
 
+def scan_events(
+    spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None,
+    tenant: str | None = None, types: list[str] | None = None,
+) -> DataFrame:
+    """`history_range` of the table at `path`."""
+    months = StructType([*EVENTS_TABLE.fields, StructField(MONTH, StringType())])
+    return history_range(spark.read.schema(months).parquet(path), start, end, tenant, types)
+
+
 def replay(df: DataFrame, from_, to, by: str = "offset") -> DataFrame:
     """Rows with `from_ <= x < to` in order; `by` is `offset` (per partition) or `timestamp`.
 

@@ -19,9 +19,17 @@ def _as_map(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _pick(members: Column, name: str) -> Column:
+def _pick(members: Column, name: str, folded: Column | None = None) -> Column:
+    """A member by its exact name; only where `folded` says so are names compared without case."""
+    exact = F.try_element_at(members, F.lit(name))
     matching = F.filter(F.map_entries(members), lambda pair: F.lower(pair["key"]) == name)
-    return F.element_at(matching, -1)["value"]
+    loose = F.coalesce(exact, F.try_element_at(matching, F.lit(-1))["value"])
+    return loose if folded is None else F.when(folded, loose).otherwise(exact)
+
+
+def _has_folded(members: Column) -> Column:
+    """Whether some key is a field's name in other than lower case."""
+    return F.exists(F.map_keys(members), lambda key: ~key.isin(FIELDS) & F.lower(key).isin(FIELDS))
 
 
 def _is_text(value: Column) -> Column:
@@ -32,34 +40,51 @@ def _absent(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
 
-def _decoded(value: Column) -> Column:
-    """A Variant request as struct<bad, type, source, subject, version, data, metadata>."""
-    members = _as_map(value)
-    parts = {name: _pick(members, name) for name in FIELDS}
-    labels = _as_map(parts["metadata"])
-    bad = value.isNull() | (members.isNull() & ~F.is_variant_null(value))
-    for name in TEXT_FIELDS:
-        bad = bad | ~(_absent(parts[name]) | _is_text(parts[name]))
-    for name in ("data", "metadata"):
-        bad = bad | (~_absent(parts[name]) & _as_map(parts[name]).isNull())
-    bad = bad | F.coalesce(
-        F.exists(F.map_values(labels), lambda v: ~(_absent(v) | _is_text(v))), F.lit(False)
-    )
-    data = F.when(~_absent(parts["data"]), F.to_json(parts["data"]))
-    metadata = F.transform_values(
-        labels, lambda _, v: F.coalesce(F.when(~_absent(v), F.try_variant_get(v, "$", "string")), F.lit(""))
+def _decoded(values: Column) -> Column:
+    """An array of Variant requests as structs (bad, type, source, subject, version, data, metadata).
+
+    Each step is its own `transform`, so that a value used several times is computed once.
+    """
+    opened = F.transform(values, lambda v: F.struct(v.alias("whole"), _as_map(v).alias("members")))
+    opened = F.transform(
+        opened,
+        lambda r: F.struct(r["whole"].alias("whole"), r["members"].alias("members"), _has_folded(r["members"]).alias("folded")),
     )
-    return F.struct(
-        bad.alias("bad"),
-        *[F.when(~bad & ~_absent(parts[n]), F.try_variant_get(parts[n], "$", "string")).alias(n) for n in TEXT_FIELDS],
-        F.when(~bad, data).alias("data"),
-        F.when(~bad, metadata).alias("metadata"),
+    picked = F.transform(
+        opened,
+        lambda r: F.struct(
+            (r["whole"].isNull() | (r["members"].isNull() & ~F.is_variant_null(r["whole"]))).alias("bad"),
+            *[_pick(r["members"], name, r["folded"]).alias(name) for name in FIELDS],
+        ),
     )
 
+    def checked(r: Column) -> Column:
+        bad = r["bad"]
+        for name in TEXT_FIELDS:
+            bad = bad | ~(_absent(r[name]) | _is_text(r[name]))
+        for name in ("data", "metadata"):
+            bad = bad | (~_absent(r[name]) & _as_map(r[name]).isNull())
+        labels = _as_map(r["metadata"])
+        bad = bad | F.coalesce(F.exists(F.map_values(labels), lambda v: ~(_absent(v) | _is_text(v))), F.lit(False))
+        return F.struct(bad.alias("bad"), *[r[name].alias(name) for name in FIELDS])
+
+    def typed(r: Column) -> Column:
+        good = ~r["bad"]
+        text = lambda v: F.when(~_absent(v), F.try_variant_get(v, "$", "string"))
+        labels = F.transform_values(_as_map(r["metadata"]), lambda _, v: F.coalesce(text(v), F.lit("")))
+        return F.struct(
+            r["bad"].alias("bad"),
+            *[F.when(good, text(r[name])).alias(name) for name in TEXT_FIELDS],
+            F.when(good & ~_absent(r["data"]), F.to_json(r["data"])).alias("data"),
+            F.when(good, labels).alias("metadata"),
+        )
+
+    return F.transform(F.transform(picked, checked), typed)
+
 
 def decode_requests(df: DataFrame, body: str = "value") -> DataFrame:
     """One JSON request per row: adds the request fields and `decode_error`."""
-    request = df.withColumn("_variant", F.try_parse_json(body)).withColumn("_request", _decoded(F.col("_variant")))
+    request = df.withColumn("_request", F.get(_decoded(F.array(F.try_parse_json(body))), F.lit(0)))
     return request.select(
         *df.columns,
         *[F.col(f"_request.{name}").alias(name) for name in FIELDS],
@@ -85,7 +110,7 @@ def explode_batch(df: DataFrame, body: str = "value") -> DataFrame:
         | (F.col("_members").isNull() & ~F.is_variant_null(whole))
         | (~_absent(F.col("_list")) & F.col("_items").isNull())
     )
-    requests = envelope.withColumn("_requests", F.transform("_items", _decoded)).withColumn(
+    requests = envelope.withColumn("_requests", _decoded(F.col("_items"))).withColumn(
         "_bad", bad_shape | F.coalesce(F.exists("_requests", lambda r: r["bad"]), F.lit(False))
     )
     count = F.size("_items")
