@@ -22,7 +22,8 @@ def now_utc() -> Column:
 
 
 def elapsed_ms(start: Column, end: Column) -> Column:
-    return F.unix_millis(end) - F.unix_millis(start)
+    """Whole milliseconds from `start` to `end`."""
+    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / F.lit(1000)).cast("long")
 
 
 def parse_duration(text: str | Column) -> float | Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.functions.clock import interval_text, micros
+from eventspark.functions.clock import elapsed_ms, interval_text, micros
 from eventspark.operators.ordered import Running, numbered, prefix, split, trailing
 from eventspark.operators.sizes import join_lookup
 
@@ -58,7 +58,7 @@ def trace_summary(df: DataFrame, key: str = "correlation_id", ts: str = "timesta
         F.min(ts).alias("started_at"),
         F.max(ts).alias("ended_at"),
     )
-    return summary.withColumn("span_ms", F.unix_millis("ended_at") - F.unix_millis("started_at"))
+    return summary.withColumn("span_ms", elapsed_ms(F.col("started_at"), F.col("ended_at")))
 
 
 def correlate(df: DataFrame, key: str = "correlation_id", ts: str = "timestamp", id_col: str = "id") -> DataFrame:
@@ -70,7 +70,7 @@ def correlate(df: DataFrame, key: str = "correlation_id", ts: str = "timestamp",
     first = F.struct(F.col(ts).alias("ts"), F.col(id_col).alias("id"))
     rows = prefix(rows, {"_root": Running("min", first)})
     return rows.result().withColumns(
-        {"root_id": F.col("_root.id"), "since_root_ms": F.unix_millis(ts) - F.unix_millis("_root.ts")}
+        {"root_id": F.col("_root.id"), "since_root_ms": elapsed_ms(F.col("_root.ts"), F.col(ts))}
     ).drop("_root")
 
 

@@ -107,30 +107,45 @@ def check_payload(events: DataFrame, schemas: DataFrame, type_col: str = "type",
     return checked.drop("schema_name", "is_active", "fields")
 
 
-def _with_previous(schemas: DataFrame) -> DataFrame:
-    ordered = split(schemas, ["schema_name"], ["schema_version"])
-    return prefix(ordered, {"previous_version": Running("last", F.col("schema_version"))}, inclusive=False).result()
+def _changes(schemas: DataFrame) -> DataFrame:
+    """Versions after the first with `previous_version` and `changes` against it: an array of
+    (field, change, old_types, new_types, old_default, new_default)."""
+    slim = F.transform(
+        "fields",
+        lambda f: F.struct(f["name"].alias("name"), f["types"].alias("types"), f["has_default"].alias("has_default")),
+    )
+    versions = schema_fields(schemas).withColumn("fields", F.coalesce(slim, F.array()))
+    last = F.struct(F.col("schema_version").alias("version"), F.col("fields").alias("fields"))
+    ordered = split(versions, ["schema_name"], ["schema_version"])
+    rows = prefix(ordered, {"_before": Running("last", last)}, inclusive=False).result()
+    old, new = F.col("_before.fields"), F.col("fields")
+
+    def named(fields: Column, name: Column) -> Column:
+        return F.get(F.filter(fields, lambda f: f["name"] == name), F.lit(0))
+
+    both = F.transform(
+        F.array_union(F.transform(old, lambda f: f["name"]), F.transform(new, lambda f: f["name"])),
+        lambda name: F.struct(name.alias("field"), named(old, name).alias("o"), named(new, name).alias("n")),
+    )
+    compared = F.transform(
+        both,
+        lambda x: F.struct(
+            x["field"].alias("field"),
+            F.when(x["o"].isNull(), "added").when(x["n"].isNull(), "removed")
+            .when(~x["o"]["types"].eqNullSafe(x["n"]["types"]), "type_changed").alias("change"),
+            x["o"]["types"].alias("old_types"), x["n"]["types"].alias("new_types"),
+            x["o"]["has_default"].alias("old_default"), x["n"]["has_default"].alias("new_default"),
+        ),
+    )
+    later = rows.filter(F.col("_before").isNotNull()).withColumns(
+        {"previous_version": F.col("_before.version"), "changes": F.filter(compared, lambda c: c["change"].isNotNull())}
+    )
+    return later.drop("_before", "fields")
 
 
 def schema_lineage(schemas: DataFrame) -> DataFrame:
     """Field changes from each version to the next: `change` is added, removed or type_changed."""
-    versions = _with_previous(schemas)
-    fields = schema_fields(schemas).select(*NAME, F.inline("fields"))
-    new = versions.filter("previous_version IS NOT NULL").select(*NAME, "previous_version")
-    now = new.join(fields, NAME)
-    before = new.join(
-        fields.withColumnsRenamed({"schema_version": "previous_version"}), ["schema_name", "previous_version"]
-    )
-    keys = [*NAME, "previous_version", "name"]
-    old = before.select(*keys, F.col("types").alias("old_types"), F.col("has_default").alias("old_default"))
-    cur = now.select(*keys, F.col("types").alias("new_types"), F.col("has_default").alias("new_default"))
-    both = old.join(cur, keys, "full")
-    change = (
-        F.when(F.col("old_types").isNull(), "added")
-        .when(F.col("new_types").isNull(), "removed")
-        .when(~F.col("old_types").eqNullSafe(F.col("new_types")), "type_changed")
-    )
-    return both.withColumn("change", change).filter("change IS NOT NULL").withColumnRenamed("name", "field")
+    return _changes(schemas).select(*NAME, "previous_version", F.inline("changes"))
 
 
 def _readable(written: Column, reader: Column) -> Column:
@@ -141,20 +156,19 @@ def _readable(written: Column, reader: Column) -> Column:
     )
 
 
+def _problems(c: Column) -> Column:
+    changed = c["change"] == "type_changed"
+    return F.array(
+        F.when((c["change"] == "added") & ~c["new_default"], "added_without_default"),
+        F.when((c["change"] == "removed") & ~c["old_default"], "removed_without_default"),
+        F.when(changed & ~_readable(c["old_types"], c["new_types"]), "type_changed"),
+        F.when(changed & ~_readable(c["new_types"], c["old_types"]), "type_changed_back"),
+    )
+
+
 def check_compat(schemas: DataFrame) -> DataFrame:
     """Each version after the first: `problems` against the one before and whether its level allows them."""
-    changes = schema_lineage(schemas)
-    problem = F.array_compact(F.array(
-        F.when((F.col("change") == "added") & ~F.col("new_default"), "added_without_default"),
-        F.when((F.col("change") == "removed") & ~F.col("old_default"), "removed_without_default"),
-        F.when((F.col("change") == "type_changed") & ~_readable(F.col("old_types"), F.col("new_types")), "type_changed"),
-        F.when((F.col("change") == "type_changed") & ~_readable(F.col("new_types"), F.col("old_types")), "type_changed_back"),
-    ))
-    found = changes.select(*NAME, "field", F.explode(problem).alias("problem"))
-    summary = found.groupBy(*NAME).agg(F.sort_array(F.collect_set("problem")).alias("problems"))
-    later = _with_previous(schemas).filter("previous_version IS NOT NULL")
-    checked = later.select(*NAME, "previous_version", "compatibility_level").join(summary, NAME, "left")
-    problems = F.coalesce("problems", F.array().cast("array<string>"))
+    problems = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform("changes", _problems)))))
     level = F.coalesce("compatibility_level", F.lit("BACKWARD"))
     against = (
         F.when(level == "BACKWARD", F.array(*map(F.lit, BACKWARD)))
@@ -162,9 +176,8 @@ def check_compat(schemas: DataFrame) -> DataFrame:
         .when(level == "FULL", F.array(*map(F.lit, BACKWARD + FORWARD)))
         .otherwise(F.array().cast("array<string>"))
     )
-    return checked.withColumn("problems", problems).withColumn(
-        "is_compatible", ~F.arrays_overlap(F.col("problems"), against)
-    )
+    checked = _changes(schemas).select(*NAME, "previous_version", "compatibility_level", problems.alias("problems"))
+    return checked.withColumn("is_compatible", ~F.arrays_overlap(F.col("problems"), against))
 
 
 def newest_schemas(schemas: DataFrame) -> DataFrame:

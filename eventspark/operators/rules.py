@@ -113,7 +113,7 @@ def match_rules(events: DataFrame, rules: DataFrame, type_col: str = "type", dat
         part("$.threshold").cast("double").alias("threshold"),
     )
     joined = join_lookup(events, wanted, F.col(type_col) == F.col("_event_type"), "inner")
-    value = F.get_json_object(data, F.col("_path")).try_cast("double")
+    value = F.call_function("get_json_object", F.col(data), F.col("_path")).try_cast("double")
     limit = F.col("threshold")
     tested = joined.withColumn("matched_value", value)
     value = F.col("matched_value")

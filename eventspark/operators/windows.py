@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.functions.clock import interval_text, micros
+from eventspark.functions.clock import elapsed_ms, interval_text, micros
 from eventspark.operators.ordered import Running, numbered, prefix, split
 
 # name -> (kind, column); kinds as in `aggregate_column`.
@@ -106,7 +106,7 @@ def with_watermark(df: DataFrame, delay: str, ts: str = "timestamp") -> DataFram
 def lateness(df: DataFrame, key: str, arrival: list[str], ts: str = "timestamp") -> DataFrame:
     """Adds `max_seen`, the latest event time that arrived before the row for its key, and `lateness_ms`."""
     rows = prefix(split(df, [key], arrival), {"max_seen": Running("max", F.col(ts))}, inclusive=False).result()
-    behind = F.unix_millis("max_seen") - F.unix_millis(ts)
+    behind = elapsed_ms(F.col(ts), F.col("max_seen"))
     return rows.withColumn("lateness_ms", F.coalesce(F.greatest(behind, F.lit(0)), F.lit(0)))
 
 
