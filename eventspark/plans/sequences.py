@@ -6,8 +6,10 @@ from eventspark.operators import admission as A
 from eventspark.operators import patterns as P
 from eventspark.plans.catalog import query
 
-VIEW, CLICK, PURCHASE = (F.col("event_type") == name for name in ("view", "click", "purchase"))
-FUNNEL = [("view", VIEW), ("click", CLICK), ("purchase", PURCHASE)]
+
+def steps(*names):
+    """Steps named and met by event types."""
+    return [(name, F.col("event_type") == name) for name in names]
 
 
 @query("""
@@ -17,7 +19,7 @@ WITH l AS (SELECT user_id, event_id, ts, event_type, lead(event_id, 1) OVER w AS
 SELECT user_id, event_id AS view_id, ts AS view_ts, id1 AS click_id, ts1 AS click_ts, id2 AS purchase_id, ts2 AS purchase_ts FROM l
 WHERE event_type = 'view' AND t1 = 'click' AND t2 = 'purchase' AND ts2 - ts <= INTERVAL 24 HOUR""")
 def match_strict_vcp(t):
-    return P.match_strict(t.events, "user_id", FUNNEL, "24h", ts="ts", id_col="event_id")
+    return P.match_strict(t.events, "user_id", steps("view", "click", "purchase"), "24h", ts="ts", id_col="event_id")
 
 
 # Event ids follow time, so the next event of a kind is the one of the smallest later id.
@@ -33,7 +35,7 @@ JOIN events k ON k.event_id = click_id JOIN events p ON p.event_id = purchase_id
 
 @query(RELAXED)
 def match_relaxed_vcp(t):
-    return P.match_relaxed(t.events, "user_id", FUNNEL, "24h", ts="ts", id_col="event_id")
+    return P.match_relaxed(t.events, "user_id", steps("view", "click", "purchase"), "24h", ts="ts", id_col="event_id")
 
 
 @query("""
@@ -54,8 +56,7 @@ n AS (SELECT m.*, (SELECT min(p.event_id) FROM events p WHERE p.user_id = m.user
 SELECT n.user_id, n.id AS interest_id, n.ts AS interest_ts, CAST(purchase_id AS VARCHAR) AS purchase_id, p.ts AS purchase_ts
 FROM n JOIN events p ON p.event_id = purchase_id WHERE p.ts - n.ts <= INTERVAL 24 HOUR""")
 def match_nested_interest(t):
-    inner = [("view", VIEW), ("click", CLICK)]
-    outer = [("interest", F.col("event_type") == "interest"), ("purchase", PURCHASE)]
+    inner, outer = steps("view", "click"), steps("interest", "purchase")
     return P.match_nested(
         t.events, "user_id", inner, "interest", outer, within="24h", inner_within="6h", ts="ts", id_col="event_id",
         type_col="event_type",
