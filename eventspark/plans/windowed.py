@@ -40,10 +40,10 @@ def sliding_counts(t):
 
 @query("""
 WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS window_start FROM events)
-SELECT window_start, event_type, round(avg(value), 4) AS mean FROM w GROUP BY ALL""")
-def sliding_means(t):
-    means = W.sliding(t.events, "1d", "12h", ["event_type"], {"mean": ("avg", "value")}, ts="ts")
-    return means.select("window_start", "event_type", F.round("mean", 4).alias("mean"))
+SELECT window_start, event_type, round(stddev_samp(value), 4) AS spread FROM w GROUP BY ALL""")
+def sliding_spread(t):
+    spreads = W.sliding(t.events, "1d", "12h", ["event_type"], {"spread": ("stddev", "value")}, ts="ts")
+    return spreads.select("window_start", "event_type", F.round("spread", 4).alias("spread"))
 
 
 ISLANDS = """
