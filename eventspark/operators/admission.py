@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import ROUND_DOWN, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,18 +47,31 @@ def token_bucket(
 ) -> DataFrame:
     """Adds `allowed`. A bucket per key starts full; rejected rows cost nothing.
 
-    The bucket is full again after `burst / rate` seconds without a row, so a key is cut into
-    independent segments at such pauses and the segments run in parallel. Within a segment the outcome
-    of a row depends on all earlier ones; rows stream through one task in order, in constant memory
-    (`key=None` is the one global bucket).
+    A key is cut into independent segments wherever its bucket must be full whatever came before: after
+    a pause of `burst / rate` seconds, and wherever the rows so far, rejected ones counted too, are no
+    more than the tokens earned since some earlier row. Segments run in parallel; within one, rows
+    stream through a task in order and in constant memory. Only unbroken overload makes a long segment.
+    `key=None` is the one global bucket.
     """
     keys = [key] if key else []
-    pause = int(burst / rate * 1_000_000)
-    rows = prefix(split(df, keys, [ts, id_col]), {"_before": Running("last", F.col(ts))}, inclusive=False)
-    starts = F.col("_before").isNull() | (F.unix_micros(ts) - F.unix_micros("_before") >= pause)
-    rows = prefix(rows, {"_segment": Running("last", F.when(starts, F.unix_micros(ts)))})
+    pause = math.ceil(burst / rate * 1_000_000)
+    blocks = split(df, keys, [ts, id_col])
+    earlier = {"_before": Running("last", F.col(ts)), "_rows": Running("sum", F.lit(1).cast("long"))}
+    rows = prefix(blocks, earlier, inclusive=False)
+    # Rows ahead of this one less the tokens earned: a new low means that all are paid back. Decimals are
+    # exact, and a rate rounded down only makes fewer cuts.
+    per_micro = (Decimal(repr(rate)) / 1_000_000).quantize(Decimal("1e-15"), ROUND_DOWN)
+    earned = F.unix_micros(ts).cast("decimal(17,0)") * F.lit(per_micro).cast("decimal(18,15)")
+    rows = rows.with_column("_owed", F.coalesce("_rows", F.lit(0)).cast("decimal(28,15)") - earned)
+    rows = prefix(rows, {"_lowest": Running("min", F.col("_owed"))})
+    paused = F.unix_micros(ts) - F.unix_micros("_before") >= pause
+    starts = F.col("_before").isNull() | paused | (F.col("_owed") <= F.col("_lowest"))
+    place = F.struct(F.unix_micros(ts).alias("us"), F.col(id_col).alias("id"))
+    rows = prefix(rows, {"_segment": Running("last", F.when(starts, place))})
+    prepared = rows.df.drop("_block", "_before", "_rows", "_owed", "_lowest", ALL).withColumns(
+        {"_at": F.unix_micros(ts), "_segment": F.to_json("_segment")}
+    )
     segment = ["_segment"]
-    prepared = rows.df.drop("_block", "_before", ALL).withColumn("_at", F.unix_micros(ts))
     if key:
         prepared = prepared.withColumn("_key", F.col(key).cast("string")).fillna({"_key": "\0"})
         segment = ["_key", "_segment"]

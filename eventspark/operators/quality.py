@@ -13,6 +13,8 @@ from eventspark.operators.ordered import halo, split, without_halo
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?\d[\d ().-]{7,}\d"
 MASKS = {"email": (EMAIL, "<email>"), "phone": (PHONE, "<phone>")}
+# Fixed value: text a match must contain; its absence saves the search.
+NEEDED = {"email": "@"}
 
 
 def transform(df: DataFrame, exprs: dict[str, Column], where: Column | None = None) -> DataFrame:
@@ -35,8 +37,12 @@ def priority_in_range(column: str = "priority") -> Column:
 
 def mask(df: DataFrame, cols: list[str], kinds: tuple[str, ...] = ("email", "phone")) -> DataFrame:
     """Replace personal data in text columns by a tag."""
+    def replaced(text: Column, kind: str) -> Column:
+        found = F.regexp_replace(text, *MASKS[kind])
+        return F.when(text.contains(NEEDED[kind]), found).otherwise(text) if kind in NEEDED else found
+
     def masked(column: Column) -> Column:
-        return reduce(lambda text, kind: F.regexp_replace(text, *MASKS[kind]), kinds, column)
+        return reduce(replaced, kinds, column)
 
     return df.withColumns({c: masked(F.col(c)) for c in cols})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventspark.functions.text import blank_to_null, fnv1a32
 from eventspark.operators.ordered import numbered, split
-from eventspark.operators.sizes import MAX_BROADCAST_ROWS, is_small
+from eventspark.operators.sizes import is_small
 
 DEFAULT_PARTITIONS = 12
 OPTIONAL_TEXT = ["subject", "tenant_id", "version", "schema_version", "correlation_id"]
@@ -62,9 +62,9 @@ def to_records(df: DataFrame, topic: str = "events") -> DataFrame:
 
 def placement(key: Column, n: int) -> Column:
     """Absolute value of the signed 32-bit hash modulo `n`."""
-    unsigned = fnv1a32(key)
-    signed = F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned)
-    return F.abs(F.when(signed < 0, -((-signed) % n)).otherwise(signed % n)).cast("int")
+    sign = F.lit(2**31)
+    signed = fnv1a32(key).bitwiseXOR(sign) - sign
+    return F.abs(signed % n).cast("int")
 
 
 def with_partition(df: DataFrame, n: int = DEFAULT_PARTITIONS, key: str = "key") -> DataFrame:
@@ -72,7 +72,7 @@ def with_partition(df: DataFrame, n: int = DEFAULT_PARTITIONS, key: str = "key")
     if df.isStreaming:
         return df.withColumn("partition", placement(F.col(key), n))
     distinct = df.select(key).distinct()
-    if not is_small(distinct, MAX_BROADCAST_ROWS):
+    if not is_small(distinct):
         return df.withColumn("partition", placement(F.col(key), n))
     placed = distinct.select(F.col(key).alias("_key"), placement(F.col(key), n).alias("partition"))
     return df.join(F.broadcast(placed), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 100_000
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
     return df.limit(max_rows + 1).count() <= max_rows
 
 
 def join_lookup(
     big: DataFrame, lookup: DataFrame, on: str | list[str] | Column, how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Join a configuration-like table: broadcast below `max_rows`, otherwise a shuffle join.
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventspark.operators.sizes import is_small
 from eventspark.schema import DEAD_LETTERS, EVENTS_TABLE
 from eventspark.sources.history import MONTH, month_of
 
@@ -15,6 +17,7 @@ HOT_DAYS, WARM_DAYS = 7, 90
 MAX_RETRIES = 3
 # Active outputs put into one plan; more are handled in further passes.
 OUTPUTS_PER_PASS = 500
+ROUTED = "config_name string, sink_type string, sink_config string, payload string"
 
 
 def _write_by_month(df: DataFrame, ts: str, path: str, mode: str) -> None:
@@ -52,15 +55,26 @@ def to_history(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def new_events(df: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows whose `event_id` is not stored yet, one per id."""
+    """Rows whose `event_id` is not stored yet, one per id.
+
+    A counted-small arrival is broadcast against the stored ids, so the history is not shuffled for it.
+    """
     fresh = df.dropDuplicates(["event_id"])
     if stored is None:
         return fresh
-    return fresh.join(stored.select("event_id"), "event_id", "left_anti").select(*df.columns)
+    known = stored.select("event_id")
+    arriving = df.select("event_id").distinct()
+    if is_small(arriving):
+        known = known.join(F.broadcast(arriving), "event_id", "left_semi").distinct()
+    return fresh.join(known, "event_id", "left_anti").select(*df.columns)
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    """Append history rows to the month-partitioned table, skipping ids already there."""
+def append_events(df: DataFrame, path: str, within_month: bool = False) -> None:
+    """Append history rows to the month-partitioned table, skipping ids already there.
+
+    `within_month` looks only at the months that arrive: enough where a repeated event keeps its time,
+    as in a replay.
+    """
     now = F.current_timestamp()
     df = df.withColumns(
         {
@@ -69,6 +83,10 @@ def append_events(df: DataFrame, path: str) -> None:
         }
     ).select(*EVENTS_TABLE.names)
     stored = df.sparkSession.read.parquet(path) if _exists(df, path) else None
+    if stored is not None and within_month:
+        # One value per month.
+        months = [r[0] for r in df.select(month_of("event_timestamp")).distinct().collect()]
+        stored = stored.filter(F.col(MONTH).isin(months))
     _write_by_month(new_events(df, stored), "event_timestamp", path, "append")
 
 
@@ -150,19 +168,11 @@ def route(df: DataFrame, output_configs: DataFrame) -> DataFrame:
         if len(chunk) == OUTPUTS_PER_PASS:
             passes.append(one_pass(chunk))
             chunk = []
-    if chunk or not passes:
-        passes.append(one_pass(chunk) if chunk else one_pass_empty(df))
-    result = passes[0]
-    for more in passes[1:]:
-        result = result.unionByName(more)
-    return result
-
-
-def one_pass_empty(df: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return df.filter(F.lit(False)).select(
-        none.alias("config_name"), none.alias("sink_type"), none.alias("sink_config"), none.alias("payload")
-    )
+    if chunk:
+        passes.append(one_pass(chunk))
+    if not passes:
+        return df.sparkSession.createDataFrame([], ROUTED)
+    return reduce(DataFrame.unionByName, passes)
 
 
 def write_routes(routed: DataFrame, root: str, writers: dict[str, Callable[[DataFrame, str], None]] | None = None) -> None:
@@ -186,6 +196,13 @@ def assign_tier(df: DataFrame, now: Column, ts: str = "timestamp") -> DataFrame:
     )
 
 
+def tier_summary(df: DataFrame, now: Column, ts: str = "timestamp") -> DataFrame:
+    """Events and their time range per tier: what may move or be dropped."""
+    return assign_tier(df, now, ts).groupBy("tier").agg(
+        F.count(F.lit(1)).alias("event_count"), F.min(ts).alias("oldest"), F.max(ts).alias("newest")
+    )
+
+
 def with_original(processed: DataFrame, events: DataFrame) -> DataFrame:
     """Results with the event they came from; results whose event is gone are kept."""
     return processed.join(

@@ -48,6 +48,13 @@ def tier_assignment(t):
     return S.assign_tier(t.std, _now()).select("id", "tier")
 
 
+@query("""
+SELECT CASE WHEN TIMESTAMP '2024-02-01' - ts <= INTERVAL 7 DAY THEN 'hot' WHEN TIMESTAMP '2024-02-01' - ts <= INTERVAL 90 DAY THEN 'warm' ELSE 'cold' END AS tier,
+  count(*) AS event_count, min(ts) AS oldest, max(ts) AS newest FROM events GROUP BY 1""")
+def tier_summary(t):
+    return S.tier_summary(t.events, _now(), "ts")
+
+
 @query("""
 SELECT event_id, CAST(event_id % 12 AS INT) AS partition, event_id // 12 AS "offset" FROM events
 WHERE event_id // 12 >= 100 AND event_id // 12 < 500""")
