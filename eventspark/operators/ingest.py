@@ -12,6 +12,7 @@ from eventspark.operators.validate import (
 )
 from eventspark.sources.requests import MAX_BATCH
 
+# Result states and the message of a failed send.
 ACCEPTED, REJECTED, FAILED = "ACCEPTED", "REJECTED", "FAILED"
 SEND_FAILED = "failed to produce to Kafka"
 

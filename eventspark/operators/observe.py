@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventspark.functions.clock import interval_text, micros, parse_duration
 from eventspark.functions.text import blank_to_null
 from eventspark.operators.ordered import Running, halo, prefix, split, trailing, without_halo
+from eventspark.operators.sizes import join_lookup
 
 # Default latency bucket limits in seconds.
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -186,8 +187,8 @@ def group_alerts(
     at = F.unix_micros(ts)
     begun = alerts.groupBy(group).agg(F.min(at).alias("_begun"))
     delay, step = micros(wait), micros(interval)
-    # Group starts: one row per alert name.
-    timed = alerts.join(begun, group)
+    # Group starts: one row per alert name, broadcast while those are few.
+    timed = join_lookup(alerts, begun, group, "inner")
     tick = F.greatest(F.ceil((at - F.col("_begun") - delay) / F.lit(step)), F.lit(0)).cast("long")
     seen = timed.withColumn("tick", tick).groupBy(group, "_begun", *labels, "tick").agg(F.count(F.lit(1)).alias("_n"))
     first = timed.withColumn("tick", tick).groupBy(group, *labels).agg(F.min("tick").alias("_first"))

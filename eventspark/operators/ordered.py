@@ -17,12 +17,11 @@ Everything broadcast or brought to the driver is bounded by the number of blocks
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 LIMIT_CONF = "eventspark.rowsPerGroup"
 BLOCKS_CONF = "eventspark.maxBlocks"
@@ -42,7 +41,7 @@ class Blocks:
     keys: list[str]
     order: list[str]
     cut: bool
-    columns: list[str] = field(default_factory=list)
+    limit: int = DEFAULT_LIMIT
 
     @property
     def group(self) -> list[str]:
@@ -62,10 +61,6 @@ class Blocks:
         return self.df.drop(BLOCK, ALL, *drop)
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Broadcast join (null keys match) with a table bounded by the number of blocks."""
     renamed = small.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)],
@@ -86,7 +81,6 @@ def split(df: DataFrame, keys: list[str], order: list[str], limit: int | None =
     default_blocks = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     max_blocks = int(spark.conf.get(BLOCKS_CONF, str(default_blocks)))
 
-    columns = df.columns
     if not keys:
         keys = [ALL]
         df = df.withColumn(ALL, F.lit(0))
@@ -94,7 +88,7 @@ def split(df: DataFrame, keys: list[str], order: list[str], limit: int | None =
     largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
     limit = max(limit, math.ceil((total or 0) / max_blocks))
     if (largest or 0) <= limit:
-        return Blocks(df.withColumn(BLOCK, F.lit(None).cast("int")), keys, order, False, columns)
+        return Blocks(df.withColumn(BLOCK, F.lit(None).cast("int")), keys, order, False, limit)
 
     # At most total / limit keys, hence at most max_blocks rows.
     hot = sizes.filter(F.col("_n") > limit)
@@ -124,7 +118,7 @@ def split(df: DataFrame, keys: list[str], order: list[str], limit: int | None =
         ).otherwise(low),
     )
     df = attach_small(df, cuts, keys).withColumn(BLOCK, F.when(F.col("_cuts").isNotNull(), found)).drop("_cuts")
-    return Blocks(df, keys, order, True, columns)
+    return Blocks(df, keys, order, True, limit)
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from eventspark.functions.text import blank_to_null, fnv1a32
 from eventspark.operators.ordered import numbered, split
 from eventspark.operators.sizes import is_small
 
+# Fixed value: partitions of a topic unless told otherwise.
 DEFAULT_PARTITIONS = 12
 OPTIONAL_TEXT = ["subject", "tenant_id", "version", "schema_version", "correlation_id"]
 

@@ -22,6 +22,7 @@ DATA_REQUIRED = "event data is required"
 # Outcome codes.
 ACCEPTED, BAD_REQUEST, TOO_LARGE, TOO_MANY, FAILED = 202, 400, 413, 429, 500
 
+# Metadata keys set by the receiving side.
 STAMPED = ["request_id", "client_ip", "user_agent", "batch_index"]
 
 

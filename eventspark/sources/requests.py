@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The error of a body that does not decode, the most events of a batch, the fields of a request.
 INVALID_JSON = "invalid_json"
 MAX_BATCH = 100
 TEXT_FIELDS = ["type", "source", "subject", "version"]

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventspark.operators import store
 from eventspark.operators.rules import match_rules, run_rules
-from eventspark.operators.windows import Aggs, aggregate_column, MERGEABLE, partial_rollup
+from eventspark.operators.windows import MERGEABLE, Aggs, aggregate_column, partial_rollup
 
 BATCH = "batch_id"
 
@@ -34,9 +34,11 @@ def read_exactly_once(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_history(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append history rows to the month-partitioned table; ids already stored are skipped."""
-    return _start(stream, lambda batch, _: store.append_events(batch, path), checkpoint, trigger)
+def append_history(
+    stream: DataFrame, path: str, checkpoint: str, within_month: bool = False, **trigger
+) -> StreamingQuery:
+    """Append history rows to the month-partitioned table; ids already stored are skipped (see `append_events`)."""
+    return _start(stream, lambda batch, _: store.append_events(batch, path, within_month), checkpoint, trigger)
 
 
 def write_rollup(

@@ -71,16 +71,18 @@ def test_burst_of_two(spark):
     assert [r.allowed for r in admitted.orderBy("id").collect()] == [True, True, False]
 
 
-@pytest.mark.parametrize("limited", [False, True])
-@pytest.mark.parametrize("key", [None, "k"])
-def test_token_bucket_against_a_walk(spark, key, limited, request):
+@pytest.mark.parametrize("key, limited, loads", [
+    (None, False, [5, 60, 0.5, 11]), ("k", False, [60, 8]), (None, True, [5, 60, 0.5, 11]), ("k", True, [300]), ("k", True, [60, 8]),
+])
+def test_token_bucket_against_a_walk(spark, key, limited, loads, request):
     if limited:
         request.getfixturevalue("cut")
+        spark.conf.set("eventspark.rowsPerGroup", "60")
     random.seed(5)
     rows, now = [], 0.0
-    for i in range(3000):
-        # Calm, overload, pause, and load near the rate, in turn.
-        now += random.expovariate([5, 60, 0.5, 11][i // 100 % 4])
+    for i in range(2000):
+        # Calm, overload, pause, load near the rate, in turn; or overload only.
+        now += random.expovariate(loads[i // 100 % len(loads)])
         rows.append((i, f"key-{i % 7 // 4}", "t", round(now, 6)))
     found = {r.id: r.allowed for r in admission.token_bucket(events(spark, rows), key, rate=10, burst=5).collect()}
     groups = {}
