@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 LIMIT_CONF = "eventspark.rowsPerGroup"
 BLOCKS_CONF = "eventspark.maxBlocks"
-DEFAULT_LIMIT = 4_000_000
+DEFAULT_LIMIT = 10_000_000
 SAMPLES_PER_BLOCK = 32
 
 BLOCK = "_block"
