@@ -39,7 +39,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
+        "queries": seconds, "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")),
     }))
     spark.stop()
 
