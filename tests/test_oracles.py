@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from comparison import connect, duck_rows, spark_rows
+from eventspark.plans import all_queries, all_sql
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 # Queries built on the ordered core.
 ORDERED = [
@@ -38,5 +39,9 @@ def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
 
 
+def test_entry_adds_the_optional_part_only():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["window_start", "userId", "activity_count"]
