@@ -57,6 +57,13 @@ def op4_decontamination(spark, sf_dir):
     return overlap_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query()
+def op10_jaccard_forest(spark, sf_dir):
+    from eventspark.llm.jaccard_forest import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 
