@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -50,6 +51,14 @@ FROM doc LEFT JOIN word USING (r) LEFT JOIN found USING (r)
 """
 
 
+@_query()
+def op1_deleted_interpolation(spark, sf_dir):
+    from eventspark.llm.interpolation import deleted_interpolation
+
+    trains = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1
+    return deleted_interpolation(_table(spark, sf_dir, "documents"), trains)
+
+
 @_query(_OP4)
 def op4_decontamination(spark, sf_dir):
     from eventspark.llm.decontamination import overlap_digest
@@ -57,6 +66,14 @@ def op4_decontamination(spark, sf_dir):
     return overlap_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query()
+def op6_toxicity(spark, sf_dir):
+    from eventspark.llm.toxicity import toxicity_digest
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
+
+
 @_query()
 def op10_jaccard_forest(spark, sf_dir):
     from eventspark.llm.jaccard_forest import similar_documents
