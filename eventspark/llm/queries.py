@@ -66,6 +66,61 @@ def op4_decontamination(spark, sf_dir):
     return overlap_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+_OP3 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+gram AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, g) AS times FROM (
+    SELECT r, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc))),
+repeated AS (
+  SELECT r, count(DISTINCT n) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS n FROM gram WHERE times > 1) GROUP BY r),
+fig AS (
+  SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals, len(l) AS n_lines
+  FROM doc LEFT JOIN repeated USING (r)),
+value AS (
+  SELECT r, lang, source, 'symbols' AS rule, n_symbols * 10000 // greatest(n_words, 1) AS v FROM fig UNION ALL
+  SELECT r, lang, source, 'letters', word_chars * 10000 // greatest(n_words, 1) FROM fig UNION ALL
+  SELECT r, lang, source, 'capitals', n_capitals * 10000 // greatest(n_words, 1) FROM fig UNION ALL
+  SELECT r, lang, source, 'lines', n_dup_lines * 10000 // greatest(n_lines, 1) FROM fig UNION ALL
+  SELECT r, lang, source, 'repeats', n_repeat_words * 10000 // greatest(n_words, 1) FROM fig),
+binned AS (
+  SELECT lang, source, rule, CAST(v // (1::BIGINT << greatest(length(bin(v)) - 5, 0)) * (1::BIGINT << greatest(length(bin(v)) - 5, 0)) AS BIGINT) AS b
+  FROM value),
+mark AS (
+  SELECT level, lang, source, rule, max(total) AS total, min(b) FILTER (2 * below >= total) AS m, min(b) FILTER (4 * below >= total) AS q
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY level, lang, source, rule ORDER BY b) AS below, count(*) OVER (PARTITION BY level, lang, source, rule) AS total
+    FROM (SELECT 0 AS level, lang, source, rule, b FROM binned UNION ALL SELECT 1, lang, NULL, rule, b FROM binned
+          UNION ALL SELECT 2, NULL, NULL, rule, b FROM binned)) GROUP BY ALL),
+bound AS (
+  SELECT level, lang, source, rule, total, m, greatest(6 * (m - q), CASE rule WHEN 'symbols' THEN 3000 WHEN 'letters' THEN 25000
+    WHEN 'capitals' THEN 15000 WHEN 'lines' THEN 2500 ELSE 1000 END) AS far FROM mark),
+pick AS (
+  SELECT v.r, v.rule, v.v, CASE WHEN o.total >= 100 THEN o.m WHEN l.total >= 100 THEN l.m ELSE e.m END AS m,
+    CASE WHEN o.total >= 100 THEN o.far WHEN l.total >= 100 THEN l.far ELSE e.far END AS far
+  FROM value v JOIN bound o ON o.level = 0 AND o.rule = v.rule AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
+  JOIN bound l ON l.level = 1 AND l.rule = v.rule AND l.lang IS NOT DISTINCT FROM v.lang
+  JOIN bound e ON e.level = 2 AND e.rule = v.rule),
+verdict AS (SELECT r, bool_and(v <= m + far AND (rule <> 'letters' OR v >= m - far)) AS good FROM pick GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good AS kept
+FROM fig JOIN verdict USING (r)
+"""
+
+
+@_query(_OP3)
+def op3_quality_rules(spark, sf_dir):
+    from eventspark.llm.quality_rules import quality_digest
+
+    return quality_digest(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op6_toxicity(spark, sf_dir):
     from eventspark.llm.toxicity import toxicity_digest
