@@ -20,7 +20,7 @@ from eventspark.llm.frames import keep
 
 #: Least distance in ten-thousandths from the median to the threshold; symbols, letters, capitals and words in repeated
 #: windows are per word, repeated lines per line.
-SLACK = {"symbols": 3000, "letters": 25000, "capitals": 15000, "lines": 2500, "repeats": 1000}
+SLACK = {"symbols": 3000, "letters": 25000, "capitals": 15000, "lines": 5000, "repeats": 1800}
 TWO_SIDED = ("letters",)
 SPREADS, LEAST_ROWS = 6, 100
 #: Threshold rows that are broadcast, of some 100 bytes each; more are joined by a shuffle.

@@ -66,6 +66,20 @@ def op4_decontamination(spark, sf_dir):
     return overlap_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query()
+def op2_jump_sharding(spark, sf_dir):
+    from eventspark.llm.sharding import shard_digest
+
+    return shard_digest(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op8_url_rules(spark, sf_dir):
+    from eventspark.llm.url_rules import url_digest
+
+    return url_digest(_table(spark, sf_dir, "pages"))
+
+
 _OP3 = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
@@ -99,7 +113,7 @@ mark AS (
           UNION ALL SELECT 2, NULL, NULL, rule, b FROM binned)) GROUP BY ALL),
 bound AS (
   SELECT level, lang, source, rule, total, m, greatest(6 * (m - q), CASE rule WHEN 'symbols' THEN 3000 WHEN 'letters' THEN 25000
-    WHEN 'capitals' THEN 15000 WHEN 'lines' THEN 2500 ELSE 1000 END) AS far FROM mark),
+    WHEN 'capitals' THEN 15000 WHEN 'lines' THEN 5000 ELSE 1800 END) AS far FROM mark),
 pick AS (
   SELECT v.r, v.rule, v.v, CASE WHEN o.total >= 100 THEN o.m WHEN l.total >= 100 THEN l.m ELSE e.m END AS m,
     CASE WHEN o.total >= 100 THEN o.far WHEN l.total >= 100 THEN l.far ELSE e.far END AS far
