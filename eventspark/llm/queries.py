@@ -135,6 +135,15 @@ def op3_quality_rules(spark, sf_dir):
     return quality_digest(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op5_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from eventspark.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query()
 def op6_toxicity(spark, sf_dir):
     from eventspark.llm.toxicity import toxicity_digest
