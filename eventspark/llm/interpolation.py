@@ -51,6 +51,14 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=U(0)))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=U)
+
+
 _CHUNK = "chunk long, docs binary, n_train long, n_docs_train long, n_unique long, doc_tokens binary, trains binary, unique binary, tokens binary"
 
 
@@ -84,7 +92,7 @@ def _chunk(held: list[tuple], number: int) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as writer:
         writer.write_batch(pa.record_batch([ids], ["id"]))
-    row = [number, sink.getvalue().to_pybytes(), int(count[trains].sum()), int(trains.sum()), len(unique), _pack(count), _pack(trains), unique.tobytes(), _pack(tokens.astype(np.uint32))]
+    row = [number, sink.getvalue().to_pybytes(), int(count[trains].sum()), int(trains.sum()), len(unique), _pack(count), _pack(trains), _pack_sorted(unique), _pack(tokens.astype(np.uint32))]
     names = ["chunk", "docs", "n_train", "n_docs_train", "n_unique", "doc_tokens", "trains", "unique", "tokens"]
     return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
 
@@ -96,7 +104,7 @@ class _Chunk:
         self.number = row["chunk"]
         self.ids = pa.ipc.open_stream(row["docs"]).read_all().column(0)
         self.per_doc, self.trains = _unpack(row["doc_tokens"]).astype(np.int64), _unpack(row["trains"])
-        self.unique, self.tokens = np.frombuffer(row["unique"], U), _unpack(row["tokens"]).astype(np.int64)
+        self.unique, self.tokens = _unpack_sorted(row["unique"]), _unpack(row["tokens"]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.per_doc)), self.per_doc)
         self.training = self.trains[self.doc]
         self.own = np.bincount(self.tokens[self.training], minlength=len(self.unique))
@@ -126,9 +134,9 @@ class _Chunk:
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys by bucket, and where each bucket starts in it (one more at the end)."""
+    """An order of the keys by bucket and key, and where each bucket starts in it (one more at the end)."""
     bucket = (keys % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((keys, bucket))
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -141,7 +149,7 @@ def _request(number: int, keys: np.ndarray, own: np.ndarray, buckets: int) -> pa
     rows = [(k, order[at[k] : at[k + 1]]) for k in range(buckets) if at[k + 1] > at[k]]
     return pa.table({
         "bucket": pa.array([k for k, _ in rows], pa.int64()), "chunk": pa.array([number] * len(rows), pa.int64()),
-        "keys": pa.array([keys[w].tobytes() for _, w in rows], pa.binary()),
+        "keys": pa.array([_pack_sorted(keys[w]) for _, w in rows], pa.binary()),
         "own": pa.array([_pack(own[w].astype(np.uint32)) for _, w in rows], pa.binary())})
 
 
@@ -157,7 +165,7 @@ def _ask_tokens(buckets: int):
 
 def _add_up(key, table):
     """Totals of a bucket's keys, in the order each chunk asked; n_new counts keys with a total, once a bucket."""
-    asked = [np.frombuffer(b, U) for b in table["keys"].to_pylist()]
+    asked = [_unpack_sorted(b) for b in table["keys"].to_pylist()]
     own = np.concatenate([_unpack(b) for b in table["own"].to_pylist()])
     known, which = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(which, weights=own, minlength=len(known)).astype(np.uint64)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventspark.session import checkpoint_dir
+
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -152,6 +155,17 @@ def op6_toxicity(spark, sf_dir):
     return toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
 
 
+@_query()
+def op9_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from eventspark.llm.token_files import read_corpus, write_corpus
+
+    path = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    write_corpus(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return read_corpus(spark, path)
+
+
 @_query()
 def op10_jaccard_forest(spark, sf_dir):
     from eventspark.llm.jaccard_forest import similar_documents
