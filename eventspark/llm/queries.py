@@ -76,6 +76,13 @@ def op2_jump_sharding(spark, sf_dir):
     return shard_digest(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op7_tag_paths(spark, sf_dir):
+    from eventspark.llm.tag_paths import text_digest
+
+    return text_digest(_table(spark, sf_dir, "pages"))
+
+
 @_query()
 def op8_url_rules(spark, sf_dir):
     from eventspark.llm.url_rules import url_digest
