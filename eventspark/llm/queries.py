@@ -180,6 +180,13 @@ def op10_jaccard_forest(spark, sf_dir):
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 
