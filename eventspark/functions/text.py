@@ -53,11 +53,18 @@ def extract_label(value: Column, pattern: str) -> Column:
 
 
 def render_template(body: Column, variables: Column) -> Column:
-    """Replace every `${name}` in `body` by the map's value (missing values give empty text)."""
-    return F.aggregate(
-        F.map_entries(variables),
-        body,
-        lambda text, pair: F.replace(
-            text, F.concat(F.lit("$"), F.lit("{"), pair["key"], F.lit("}")), F.coalesce(pair["value"], F.lit(""))
-        ),
-    )
+    """Replace every `${name}` in `body` by the map's value (missing values give empty text).
+
+    The template is cut at its placeholders once, so a value that looks like one stays as it is. Names that the
+    map lacks stay, too.
+    """
+    def filled(part: Column, place: Column) -> Column:
+        end = F.locate("}", part)
+        name = F.substring(part, F.lit(1), end - 1)
+        known = (place > 0) & (end > 0) & F.coalesce(F.map_contains_key(variables, name), F.lit(False))
+        rest = F.substring(part, end + 1, F.length(part))
+        plain = F.when(place > 0, F.concat(F.lit("$"), F.lit("{"), part)).otherwise(part)
+        return F.when(known, F.concat(F.coalesce(F.try_element_at(variables, name), F.lit("")), rest)).otherwise(plain)
+
+    parts = F.split(body, r"\$\{")
+    return F.when(variables.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(F.transform(parts, filled), ""))

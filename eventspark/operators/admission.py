@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from eventspark.operators.ordered import ALL, BLOCK, Blocks, Running, attach_small, numbered, prefix, split
-from eventspark.session import materialise
+from eventspark.session import checkpoint_dir, materialise
 
 # Default admission settings.
 RATE, BURST = 1000, 2000
@@ -113,6 +113,7 @@ def token_bucket(
     unbroken overload and is decided by running values instead; what follows it, should the bucket fill
     up after all, is cut anew and walked. `key=None` is the one global bucket.
     """
+    checkpoint_dir(df.sparkSession)  # asked for whatever the size, not first when a key has grown
     fields = df.schema
     given = df if key else df.withColumn(ALL, F.lit(0))
     keys = [key] if key else [ALL]

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventspark.functions.text import format_error
 from eventspark.operators.ordered import Running, prefix, split
 from eventspark.operators.records import DEFAULT_PARTITIONS, with_offsets, with_partition
 from eventspark.operators.validate import (
     http_error, stamp_metadata, validate_http, validate_typed, with_defaults, with_request_id,
 )
-from eventspark.sources.requests import MAX_BATCH
+from eventspark.sources.requests import INVALID_JSON, MAX_BATCH
 
 # Result states and the message of a failed send.
 ACCEPTED, REJECTED, FAILED = "ACCEPTED", "REJECTED", "FAILED"
 SEND_FAILED = "failed to produce to Kafka"
+VALIDATION_FAILED = "validation_failed"
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +45,9 @@ def ingest(
         accepted, rejected = split_valid(validate_typed(prepared))
         accepted = with_defaults(accepted)
     accepted = accepted.withColumn("status", F.lit(ACCEPTED))
-    rejected = rejected.withColumns({"status": F.lit(REJECTED), "error_message": F.col("error")}).drop("error")
+    kind = F.when(F.col("error") == INVALID_JSON, INVALID_JSON).otherwise(VALIDATION_FAILED)
+    rejected = rejected.withColumns(
+        {"status": F.lit(REJECTED), "error_type": kind, "error_message": F.col("error")}).drop("error")
     accepted = with_partition(accepted, topic_partitions, key="type")
     if arrival:
         accepted = with_offsets(accepted, arrival)
@@ -83,15 +87,19 @@ def batch_summary(results: DataFrame, batch_id: str) -> DataFrame:
 def ingest_batch_http(df: DataFrame, batch_id: str, idx: str) -> tuple[DataFrame, DataFrame]:
     """HTTP batches are accepted or refused whole: (events of accepted batches, one row per batch).
 
-    Refused are batches of more than 100 events and those with any invalid event; the first error is told.
+    Refused are batches that didn't decode (`batch_error`, where `explode_batch` gives it), those of no or more
+    than 100 events, and those with any invalid event; the first error is told. A row without `idx` is no event.
     """
-    checked = df.withColumn("_error", http_error())
+    whole = F.coalesce("batch_message", "batch_error") if "batch_error" in df.columns else F.lit(None).cast("string")
+    is_event = F.col(idx).isNotNull() & whole.isNull()
+    checked = df.withColumns({"_event": is_event, "_whole": whole, "_error": F.when(is_event, http_error())})
     batches = checked.groupBy(batch_id).agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col(idx))).alias("_first"),
+        F.count_if("_event").alias("event_count"), F.max("_whole").alias("_whole"),
+        F.min(F.when(F.col("_error").isNotNull(), F.struct(F.col(idx).alias("at"), F.col("_error").alias("error")))).alias("_first"),
     )
-    too_many = F.when(F.col("event_count") > MAX_BATCH, F.lit("Field 'Events' failed validation: max"))
-    batches = batches.withColumn("error", F.coalesce(too_many, "_first")).drop("_first")
+    size = F.when(F.col("event_count") < 1, format_error("Events", "min")).when(
+        F.col("event_count") > MAX_BATCH, format_error("Events", "max"))
+    batches = batches.withColumn("error", F.coalesce("_whole", size, F.col("_first.error"))).drop("_first", "_whole")
     refused = F.col("error").isNotNull()
     summary = batches.select(
         batch_id, "event_count",
@@ -100,7 +108,8 @@ def ingest_batch_http(df: DataFrame, batch_id: str, idx: str) -> tuple[DataFrame
         F.when(refused, 400).otherwise(202).alias("status_code"),
         "error",
     )
-    accepted = df.join(batches.filter(~refused).select(batch_id), batch_id, "left_semi")
+    good = batches.filter(~refused).select(F.col(batch_id).alias("_batch"))
+    accepted = df.filter(is_event).join(good, F.col(batch_id).eqNullSafe(F.col("_batch")), "left_semi")
     return accepted, summary
 
 

@@ -69,8 +69,9 @@ def render(df: DataFrame, variables: Column) -> DataFrame:
 
 
 def message_id(id_col: str = "id") -> Column:
+    """A hash of the message's parts, each after its length, so that no two lists of parts are one text."""
     parts = [F.col(c).cast("string") for c in (id_col, "template_id", "template_version", "recipient", "channel")]
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]), 256)
 
 
 def idempotent(df: DataFrame, log: DataFrame, id_col: str = "id") -> DataFrame:

@@ -19,6 +19,8 @@ INFINITY = float("inf")
 # Alert grouping times.
 GROUP_WAIT, GROUP_INTERVAL, REPEAT_INTERVAL = "10s", "10s", "1h"
 INHIBIT_LABELS = ["alertname", "dev", "instance"]
+# Days from 2024-01-01 to the end of the year 9999, the largest time.
+LAST_DAY = 2_913_173
 
 
 def endpoint_of(route: str = "endpoint", path: str = "path") -> Column:
@@ -182,8 +184,10 @@ def group_alerts(
     """Notifications per group: the first after `wait`, then every `interval` if an alert is new, and a
     repetition of known alerts once `repeat` has passed since the last notification.
 
-    Alerts are reduced to one row per group and flush time before groups are walked in order.
+    Alerts are reduced to one row per group and flush time before groups are walked in order. A missing group is
+    the empty text.
     """
+    alerts = alerts.withColumn(group, F.coalesce(group, F.lit("")))
     at = F.unix_micros(ts)
     begun = alerts.groupBy(group).agg(F.min(at).alias("_begun"))
     delay, step = micros(wait), micros(interval)
@@ -211,7 +215,10 @@ def group_alerts(
 def trend_alert(
     samples: DataFrame, keys: list[str], n: int, limit: float, order: list[str], ts: str = "ts", value: str = "value"
 ) -> DataFrame:
-    """Adds `slope_per_day` over a row and the `n` before it, and `breach_at` where a rising line meets `limit`."""
+    """Adds `slope_per_day` over a row and the `n` before it, and `breach_at` where a rising line meets `limit`.
+
+    A breach after the year 9999 has no time.
+    """
     rows = halo(split(samples, keys, order), before=n)
     frame = rows.window().rowsBetween(-n, 0)
     # Days since 2024, so that the fit does not lose digits.
@@ -223,7 +230,7 @@ def trend_alert(
         }
     )
     meets = (F.lit(float(limit)) - F.col("_at_zero")) / F.col("slope_per_day")
-    ahead = (F.col("slope_per_day") > 0) & (meets >= F.col("_day")) & (meets < 100_000)
+    ahead = (F.col("slope_per_day") > 0) & (meets >= F.col("_day")) & (meets < LAST_DAY)
     breach = F.when(
         ahead, F.timestamp_micros((F.round(meets * 86_400) * 1_000_000).cast("long") + 1_704_067_200_000_000)
     )

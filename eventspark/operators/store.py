@@ -55,10 +55,11 @@ def to_history(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def new_events(df: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows whose `event_id` is not stored yet, one per id.
+    """Rows whose `event_id` is not stored yet, one per id. Rows without an id are not events of a history.
 
     A counted-small arrival is broadcast against the stored ids, so the history is not shuffled for it.
     """
+    df = df.filter("event_id IS NOT NULL")
     fresh = df.dropDuplicates(["event_id"])
     if stored is None:
         return fresh
@@ -69,9 +70,10 @@ def new_events(df: DataFrame, stored: DataFrame | None) -> DataFrame:
     return fresh.join(known, "event_id", "left_anti").select(*df.columns)
 
 
-def append_events(df: DataFrame, path: str, within_month: bool = False) -> None:
+def append_events(df: DataFrame, path: str, within_month: bool = False) -> DataFrame:
     """Append history rows to the month-partitioned table, skipping ids already there.
 
+    Returns the rows without an id, which the table can't hold.
     `within_month` looks only at the months that arrive: enough where a repeated event keeps its time,
     as in a replay.
     """
@@ -88,6 +90,7 @@ def append_events(df: DataFrame, path: str, within_month: bool = False) -> None:
         months = [r[0] for r in df.select(month_of("event_timestamp")).distinct().collect()]
         stored = stored.filter(F.col(MONTH).isin(months))
     _write_by_month(new_events(df, stored), "event_timestamp", path, "append")
+    return df.filter("event_id IS NULL")
 
 
 def archive(df: DataFrame, path: str, ts: str = "event_timestamp") -> None:
@@ -96,15 +99,21 @@ def archive(df: DataFrame, path: str, ts: str = "event_timestamp") -> None:
 
 
 def to_dlq(rejected: DataFrame, now: Column | None = None, details: Column | None = None) -> DataFrame:
-    """Rejected events (`error_type`, `error_message`) as dead letters with the original event as JSON."""
+    """Rejected events as dead letters with the original event as JSON.
+
+    Takes what `ingest` rejects; of id, tenant and error columns those that are absent are null.
+    """
     now = F.current_timestamp() if now is None else now
     skip = {"error", "error_type", "error_message", "error_details", "status"}
     original = F.to_json(F.struct(*[F.col(c) for c in rejected.columns if c not in skip]))
+    def given(name: str) -> Column:
+        return F.col(name) if name in rejected.columns else F.lit(None).cast("string")
+
     letters = rejected.select(
-        F.col("id").alias("original_event_id"),
-        F.col("tenant_id"),
-        F.col("error_type"),
-        F.col("error_message"),
+        given("id").alias("original_event_id"),
+        given("tenant_id").alias("tenant_id"),
+        given("error_type").alias("error_type"),
+        given("error_message").alias("error_message"),
         (F.lit(None).cast("string") if details is None else details).alias("error_details"),
         F.lit(0).alias("retry_count"),
         F.lit(MAX_RETRIES).alias("max_retries"),
@@ -164,6 +173,8 @@ def route(df: DataFrame, output_configs: DataFrame) -> DataFrame:
         )
 
     for config in outputs:
+        if not config.sink_type:
+            raise ValueError(f"output {config.config_name} has no sink type")
         chunk.append(config)
         if len(chunk) == OUTPUTS_PER_PASS:
             passes.append(one_pass(chunk))
@@ -183,7 +194,8 @@ def write_routes(routed: DataFrame, root: str, writers: dict[str, Callable[[Data
     writers = writers or {}
     for sink_type, write in writers.items():
         write(routed.filter(F.col("sink_type") == sink_type), f"{root}/{sink_type}")
-    rest = routed.filter(~F.col("sink_type").isin(list(writers))) if writers else routed
+    taken = F.coalesce(F.col("sink_type").isin(list(writers)), F.lit(False)) if writers else F.lit(False)
+    rest = routed.filter(~taken)
     rest.hint("rebalance", F.col("config_name")).write.mode("append").partitionBy("config_name").parquet(root)
 
 

@@ -102,18 +102,24 @@ def read_request_id(column: str = "request_id") -> Column:
 
 
 def stamp_metadata(df: DataFrame, batch_index: str | None = None) -> DataFrame:
-    """Put request id, client address, user agent (and batch index) into `metadata`, replacing such keys."""
+    """Put request id, client address, user agent (and batch index) into `metadata`, replacing such keys.
+
+    Absent columns are empty, an absent request id is unknown.
+    """
+    def given(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
+
+    request_id = read_request_id() if "request_id" in df.columns else F.lit("unknown")
     stamps = [
-        F.lit("request_id"), read_request_id(),
-        F.lit("client_ip"), F.coalesce("client_ip", F.lit("")),
-        F.lit("user_agent"), F.coalesce("user_agent", F.lit("")),
+        F.lit("request_id"), request_id, F.lit("client_ip"), given("client_ip"), F.lit("user_agent"), given("user_agent"),
     ]
     names = STAMPED[:3]
     if batch_index:
         stamps += [F.lit("batch_index"), F.col(batch_index).cast("string")]
         names = STAMPED
-    given = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(given, lambda key, _: ~key.isin(names))
+    nothing = F.create_map().cast("map<string,string>")
+    labels = F.coalesce("metadata", nothing) if "metadata" in df.columns else nothing
+    kept = F.map_filter(labels, lambda key, _: ~key.isin(names))
     return df.withColumn("metadata", F.map_concat(kept, F.create_map(*stamps)))
 
 

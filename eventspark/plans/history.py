@@ -1,16 +1,18 @@
 """Queries: history, results, dead letters, routing and tiers."""
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
 from eventspark.operators import dlq as D
+from eventspark.operators import ingest as I
 from eventspark.operators import store as S
 from eventspark.operators import validate as V
 from eventspark.plans.catalog import query
 from eventspark.plans.ingestion import TYPED_ERROR
 from eventspark.plans.tables import NOW, STD
 from eventspark.sources import history_range, replay
+from eventspark.sources.history import MONTH, month_of
 
 NOW_SQL = "TIMESTAMP '2024-02-01'"
 
@@ -41,6 +43,46 @@ def history_append(t):
     return S.new_events(history.unionByName(history), stored).select("event_id", "event_type")
 
 
+@query(f"""
+WITH std AS ({STD}) SELECT id AS event_id, timestamp + INTERVAL 2 DAY AS event_timestamp FROM std
+WHERE timestamp + INTERVAL 2 DAY >= TIMESTAMP '2024-01-31 18:00:00' AND timestamp + INTERVAL 2 DAY < TIMESTAMP '2024-02-01 04:30:00'""")
+def history_zone_range(t):
+    # Bounds with a zone, whose own month differs from the UTC month of the rows.
+    later = _history(t).withColumn("event_timestamp", F.col("event_timestamp") + F.expr("INTERVAL 2 DAY"))
+    east, west = timezone(timedelta(hours=9)), timezone(timedelta(hours=-5, minutes=-30))
+    rows = history_range(
+        later.withColumn(MONTH, month_of("event_timestamp")), datetime(2024, 2, 1, 3, tzinfo=east), datetime(2024, 1, 31, 23, tzinfo=west))
+    return rows.select("event_id", "event_timestamp")
+
+
+@query(f"""
+WITH std AS ({STD}) SELECT id AS event_id, type AS event_type FROM std WHERE event_id % 10 <> 0 AND timestamp >= TIMESTAMP '2024-01-16'""")
+def history_without_ids(t):
+    history = _history(t)
+    some = history.withColumn("event_id", F.when(F.col("event_id").cast("long") % 10 != 0, F.col("event_id")))
+    return S.new_events(some.unionByName(some), history_range(history, end=datetime(2024, 1, 16))).select("event_id", "event_type")
+
+
+@query(f"""
+WITH std AS ({STD}) SELECT id, '-' AS error_type, CASE WHEN type = '' THEN 'event type is required' WHEN source IS NULL THEN 'event source is required'
+  ELSE 'event data is required' END AS error_message,
+  CASE WHEN event_id % 3 = 0 THEN 'RESOLVED' WHEN event_id % 3 = 1 THEN 'DEAD' ELSE 'WAITING' END AS state,
+  CAST(CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 3 ELSE 1 END AS INT) AS retry_count
+FROM std WHERE type = '' OR source IS NULL OR data IS NULL""".replace("'-' AS", "'validation_failed' AS"))
+def dead_letter_rounds(t):
+    # What ingest() rejects goes through three rounds; some outcomes come twice, and some letters are tried once only.
+    _, rejected = I.ingest(t.std)
+    letters = S.to_dlq(rejected, _now())
+    for round_ in range(3):
+        now = F.timestamp_micros(F.unix_micros(_now()) + F.lit(round_ * 86_400_000_000))
+        due = D.dlq_due(letters, now).select("original_event_id", F.col("original_event_id").cast("long").alias("n"))
+        tried = due.filter((F.col("n") % 3 < 2) | F.lit(round_ == 0))
+        lost = tried.select("original_event_id", F.lit(False).alias("succeeded"))
+        outcomes = lost.unionByName(tried.filter("n % 3 = 0").select("original_event_id", F.lit(True).alias("succeeded")))
+        letters = D.dlq_advance(letters, outcomes, now, 60)
+    return letters.select(F.col("original_event_id").alias("id"), "error_type", "error_message", "state", "retry_count")
+
+
 @query(f"""
 WITH std AS ({STD}) SELECT id, CASE WHEN {NOW_SQL} - timestamp <= INTERVAL 7 DAY THEN 'hot'
   WHEN {NOW_SQL} - timestamp <= INTERVAL 90 DAY THEN 'warm' ELSE 'cold' END AS tier FROM std""")

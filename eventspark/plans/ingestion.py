@@ -78,6 +78,37 @@ def batch_explode(t):
     return explode_batch(bodies, "body").select("batch_id", "batch_error", "batch_message", "idx", "type")
 
 
+# Envelopes of seven requests, of 101, of none, without a list, cut off, and with an item that lacks its source.
+BATCH_BODY = """
+CASE batch_id % 6 WHEN 0 THEN '{"events":[]}' WHEN 1 THEN '{}' WHEN 2 THEN concat('{"events":[', items)
+  ELSE concat('{"events":[', items, ']}') END AS body
+"""
+BATCH_ITEM = """
+CASE WHEN event_id % 404 = 3 THEN concat('{"type":"', event_type, '","data":', props, '}')
+  ELSE concat('{"type":"', event_type, '","source":"s","data":', props, '}') END
+"""
+
+
+@query(f"""
+WITH rows AS (SELECT CASE WHEN event_id % 808 < 606 THEN event_id // 7 * 1000 ELSE event_id // 101 * 1000 + 4 END AS b, * FROM events),
+given AS (SELECT b, min(b // 1000 + b % 1000) AS batch_id, count(*) AS n, bool_or(event_id % 404 = 3) AS bad FROM rows GROUP BY b)
+SELECT b AS batch, CASE WHEN error IS NULL THEN n ELSE 0 END AS processed_count, CASE WHEN error IS NULL THEN 202 ELSE 400 END AS status_code, error
+FROM (SELECT *, CASE batch_id % 6 WHEN 0 THEN 'Field ''Events'' failed validation: min' WHEN 1 THEN 'Field ''Events'' failed validation: required'
+  WHEN 2 THEN 'invalid_json' ELSE CASE WHEN n > 100 THEN 'Field ''Events'' failed validation: max'
+  WHEN bad THEN 'Field ''Source'' failed validation: required' END END AS error FROM given)""")
+def http_batch_bodies(t):
+    number = F.col("event_id")
+    batch = F.when(number % 808 < 606, F.floor(number / 7) * 1000).otherwise(F.floor(number / 101) * 1000 + 4)
+    items = t.events.select(batch.alias("b"), F.struct("event_id", F.expr(BATCH_ITEM).alias("item")).alias("i"))
+    # 101 at most.
+    given = items.groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("i")).select(
+        "b", (F.floor(F.col("b") / 1000) + F.col("b") % 1000).alias("batch_id"), F.array_join(F.transform("i", lambda x: x["item"]), ",").alias("items"))
+    bodies = given.selectExpr("b AS batch", BATCH_BODY)
+    accepted, summary = I.ingest_batch_http(explode_batch(bodies, "body"), "batch", "idx")
+    counted = accepted.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    return summary.join(counted, "batch", "left").select("batch", F.coalesce("n", F.lit(0)).alias("processed_count"), "status_code", "error")
+
+
 @query(f"""
 WITH std AS ({STD}) SELECT id, coalesce(data, '{{}}') AS data, timestamp, priority, tenant_id FROM std""")
 def typed_convert(t):

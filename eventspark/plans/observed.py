@@ -126,8 +126,9 @@ def alert_inhibit(t):
 
 
 # A group's flush times: 10 minutes after its first alert and every 10 minutes from there; known alerts again after 6 hours.
-@query(f"""
-WITH RECURSIVE a AS ({ALERTS}), g AS (SELECT *, epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY alertname)) - 600000000 AS past,
+def _flushes(alerts: str) -> str:
+    return f"""
+WITH RECURSIVE a AS ({alerts}), g AS (SELECT *, epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY alertname)) - 600000000 AS past,
     min(ts) OVER (PARTITION BY alertname) AS begun FROM a),
 k AS (SELECT *, greatest(CAST(ceil(past / 600000000.0) AS BIGINT), 0) AS tick FROM g),
 f AS (SELECT *, min(tick) OVER (PARTITION BY alertname, severity, dev, instance) AS first FROM k),
@@ -139,11 +140,23 @@ w(alertname, rn, last, reason) AS (SELECT alertname, rn, tick, 'new' FROM n WHER
     CASE WHEN n.fresh_alerts > 0 THEN 'new' WHEN n.tick - w.last >= 36 THEN 'repeat' END
   FROM w JOIN n ON n.alertname = w.alertname AND n.rn = w.rn + 1)
 SELECT n.alertname, begun + INTERVAL 10 MINUTE * (n.tick + 1) AS notified_at, fresh_alerts, alert_count, reason
-FROM w JOIN n ON n.alertname = w.alertname AND n.rn = w.rn WHERE reason IS NOT NULL""")
+FROM w JOIN n ON n.alertname = w.alertname AND n.rn = w.rn WHERE reason IS NOT NULL"""
+
+
+@query(_flushes(ALERTS))
 def alert_groups(t):
     return M.group_alerts(t.alerts, wait="10m", interval="10m", repeat="6h")
 
 
+# Some alerts have no name; the query has them as null, its result as the empty text.
+UNNAMED = ALERTS.replace("event_type AS alertname", "CASE WHEN event_type <> 'view' THEN event_type END AS alertname")
+
+
+@query(_flushes(UNNAMED.replace("CASE WHEN event_type <> 'view' THEN event_type END", "CASE WHEN event_type <> 'view' THEN event_type ELSE '' END")))
+def alert_groups_unnamed(t):
+    return M.group_alerts(t.view(UNNAMED), wait="10m", interval="10m", repeat="6h")
+
+
 @query("""
 WITH d AS (SELECT *, (epoch_us(ts) - 1704067200000000) / 86400000000.0 AS day FROM events),
 r AS (SELECT event_id, user_id, count(*) OVER f AS n, regr_slope(value, day) OVER f AS slope FROM d

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -14,7 +14,18 @@ MONTH = "event_month"
 
 
 def month_of(ts: str):
-    return F.date_format(ts, "yyyy-MM")
+    """The UTC month of an instant, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM")
+
+
+def _utc(moment: datetime) -> datetime:
+    """A bound in UTC; without a zone it is UTC already."""
+    return (moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)).astimezone(timezone.utc)
+
+
+def _instant(moment: datetime) -> Column:
+    """A literal that doesn't depend on the zone of the driver or the session."""
+    return F.timestamp_micros(F.lit((moment - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
 
 
 def history_range(
@@ -23,14 +34,16 @@ def history_range(
 ) -> DataFrame:
     """History rows in `[start, end)` of a tenant and of given types.
 
-    On a month-partitioned table the time range also prunes months; the rest is pushed to the files.
+    Bounds without a zone are UTC. On a month-partitioned table the time range also prunes months; the rest is pushed to the files.
     """
     by_month = MONTH in df.columns
     if start is not None:
-        df = df.filter(F.col("event_timestamp") >= F.lit(start))
+        start = _utc(start)
+        df = df.filter(F.col("event_timestamp") >= _instant(start))
         df = df.filter(F.col(MONTH) >= f"{start:%Y-%m}") if by_month else df
     if end is not None:
-        df = df.filter(F.col("event_timestamp") < F.lit(end))
+        end = _utc(end)
+        df = df.filter(F.col("event_timestamp") < _instant(end))
         df = df.filter(F.col(MONTH) <= f"{end:%Y-%m}") if by_month else df
     if tenant is not None:
         df = df.filter(F.col("tenant_id") == tenant)

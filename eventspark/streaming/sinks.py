@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -15,19 +16,50 @@ from eventspark.operators.windows import MERGEABLE, Aggs, aggregate_column, part
 BATCH = "batch_id"
 
 
-def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+def _others(spark: SparkSession, path: str, run: str) -> bool:
+    """Whether the target has micro-batches of another checkpoint."""
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return False
+        raise
+    return any(f"{BATCH}={run}_" not in name for name in files)
 
 
-def _write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+def _start(
+    stream: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: str, trigger: dict, target: str | None = None,
+) -> StreamingQuery:
+    """Start a query whose micro-batches are named by the checkpoint's own id and their number.
+
+    A new or reset checkpoint has another id and would start anew from its source. It neither replaces nor repeats
+    what an earlier one wrote to `target`: such a target is refused, unless the option `beside=True` says that the
+    stream's rows are others.
+    """
+    options = dict(trigger)
+    beside = options.pop("beside", False)
+    run: list[str] = []
+
+    def named(batch: DataFrame, number: int) -> None:
+        if not run:
+            own = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+            if target and not beside and _others(batch.sparkSession, target, own):
+                raise ValueError(f"{target} holds micro-batches that the checkpoint {checkpoint} does not know")
+            run.append(own)
+        write(batch, f"{run[0]}_{number}")
+
+    writer = stream.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(options or {"availableNow": True})).start()
+
+
+def _write_batch(batch: DataFrame, path: str, batch_id: str) -> None:
     # A micro-batch owns its folder, so running it again replaces what it wrote before.
     batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def write_exactly_once(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write a stream so that replayed micro-batches change nothing and a restart resumes."""
-    return _start(stream, lambda batch, i: _write_batch(batch, path, i), checkpoint, trigger)
+    return _start(stream, lambda batch, i: _write_batch(batch, path, i), checkpoint, trigger, path)
 
 
 def read_exactly_once(spark: SparkSession, path: str) -> DataFrame:
@@ -37,18 +69,26 @@ def read_exactly_once(spark: SparkSession, path: str) -> DataFrame:
 def append_history(
     stream: DataFrame, path: str, checkpoint: str, within_month: bool = False, **trigger
 ) -> StreamingQuery:
-    """Append history rows to the month-partitioned table; ids already stored are skipped (see `append_events`)."""
-    return _start(stream, lambda batch, _: store.append_events(batch, path, within_month), checkpoint, trigger)
+    """Append history rows to the month-partitioned table; ids already stored are skipped (see `append_events`).
+
+    Rows without an id go to `<path>_rejected`.
+    """
+    def write(batch: DataFrame, batch_id: str) -> None:
+        rejected = store.append_events(batch, path, within_month)
+        if not rejected.isEmpty():
+            _write_batch(rejected, f"{path.rstrip('/')}_rejected", batch_id)
+
+    return _start(stream, write, checkpoint, trigger)
 
 
 def write_rollup(
     stream: DataFrame, path: str, checkpoint: str, size: str, keys: list[str], aggs: Aggs, ts: str = "timestamp", **trigger
 ) -> StreamingQuery:
     """Maintain a rollup: each micro-batch stores the partial aggregates of its rows."""
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: str) -> None:
         _write_batch(partial_rollup(batch, size, keys, aggs, ts), path, batch_id)
 
-    return _start(stream, write, checkpoint, trigger)
+    return _start(stream, write, checkpoint, trigger, path)
 
 
 def read_rollup(spark: SparkSession, path: str, keys: list[str], aggs: Aggs) -> DataFrame:
@@ -65,7 +105,7 @@ def run_rules_stream(
 
     With `view` the rules are SQL over the micro-batch under that name, otherwise threshold rules.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: str) -> None:
         spark = batch.sparkSession
         try:
             rules = spark.read.parquet(rules_path)
@@ -74,4 +114,4 @@ def run_rules_stream(
         found = run_rules(spark, rules, {view: batch}) if view else match_rules(batch, rules, type_col, data)
         _write_batch(found, path, batch_id)
 
-    return _start(stream, write, checkpoint, trigger)
+    return _start(stream, write, checkpoint, trigger, path)

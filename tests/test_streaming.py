@@ -168,14 +168,25 @@ def test_enriched_stream(feed, tmp_path, spark):
 
 def test_replayed_batches_change_nothing(feed, tmp_path, spark):
     df, stream = feed
-    for run in ("first", "again"):
-        # A lost checkpoint: every micro-batch is run a second time.
-        query = write_exactly_once(stream(), str(tmp_path / "data"), str(tmp_path / run))
+    for _ in ("first", "again"):
+        query = write_exactly_once(stream(), str(tmp_path / "data"), str(tmp_path / "run"))
         query.awaitTermination()
-    same(spark.read.parquet(str(tmp_path / "data")).select("event_id"), df.select("event_id"))
-    query = write_exactly_once(stream(), str(tmp_path / "data"), str(tmp_path / "again"))
-    query.awaitTermination()
-    assert query.lastProgress is None or query.lastProgress["numInputRows"] == 0
+        same(spark.read.parquet(str(tmp_path / "data")).select("event_id"), df.select("event_id"))
+        # The last micro-batch was not committed, so it is run a second time.
+        last = max((f for f in (tmp_path / "run" / "commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+        for f in (last, last.with_name(f".{last.name}.crc")):
+            f.unlink(missing_ok=True)
+
+
+def test_reset_checkpoint_neither_replaces_nor_repeats(feed, tmp_path, spark):
+    df, stream = feed
+    data = str(tmp_path / "data")
+    write_exactly_once(stream().filter("event_id < 100"), data, str(tmp_path / "first")).awaitTermination()
+    query = write_exactly_once(stream(), data, str(tmp_path / "reset"))
+    with pytest.raises(Exception, match="does not know"):
+        query.awaitTermination()
+    write_exactly_once(stream().filter("event_id >= 100"), data, str(tmp_path / "other"), beside=True).awaitTermination()
+    same(spark.read.parquet(data).select("event_id"), df.select("event_id"))
 
 
 def test_history_is_appended_once(feed, tmp_path, spark):
@@ -198,8 +209,8 @@ def test_history_is_appended_once(feed, tmp_path, spark):
 def test_rollup(feed, tmp_path, spark):
     df, stream = feed
     aggs = {"n": ("count",), "high": ("max", "value")}
-    for run in ("first", "again"):
-        write_rollup(stream(), str(tmp_path / "r"), str(tmp_path / run), "1d", ["event_type"], aggs, ts="ts").awaitTermination()
+    for _ in ("first", "again"):
+        write_rollup(stream(), str(tmp_path / "r"), str(tmp_path / "run"), "1d", ["event_type"], aggs, ts="ts").awaitTermination()
     same(read_rollup(spark, str(tmp_path / "r"), ["event_type"], aggs), windows.tumbling(df, "1d", ["event_type"], aggs, ts="ts"))
 
 
