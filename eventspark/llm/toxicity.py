@@ -31,13 +31,13 @@ PENALTY, STEPS, INNER = 1e-3, 15, 40
 _BOUNDARY = 10
 
 
-def _word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, feature) of each different feature of each word."""
-    text = ("\n" + "\n".join(w.decode("utf-8", "replace") for w in words) + "\n").encode("utf-32-le")
-    points = np.frombuffer(text, "<u4").astype(U)
+def _word_grams(words: list[bytes], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, feature) of each different feature of each word; only chosen features, if given."""
+    text = (b"\n" + b"\n".join(words) + b"\n").decode("utf-8", "replace").encode("utf-32-le")
+    points = np.frombuffer(text, "<u4")
     edge = points == _BOUNDARY
     number = np.cumsum(edge) - 1
-    spread = mix(points + U(1))
+    spread = mix(points.astype(U) + U(1))
     pairs = []
     for n in ORDERS:
         if len(points) < n:
@@ -49,9 +49,9 @@ def _word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h = h * U(0x9E3779B97F4A7C15) + spread[k : k + size]
             if 0 < k < n - 1:
                 inner |= edge[k : k + size]
-        good = np.flatnonzero(~inner)
-        feature = (mix(h[good]) >> U(64 - BITS)).astype(np.int64)
-        word = number[good]  # a leading boundary opens the word after it
+        feature = ((h * U(0xBF58476D1CE4E5B9)) >> U(64 - BITS)).astype(np.int64)
+        good = np.flatnonzero(~inner if chosen is None else chosen[feature] & ~inner)
+        word, feature = number[good], feature[good]  # a leading boundary opens the word after it
         pairs.append((word << BITS) | feature)
     both = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
     return both >> BITS, both & ((1 << BITS) - 1)
@@ -65,10 +65,7 @@ def _doc_features(raw: list[bytes | None], chosen: np.ndarray | None) -> tuple[n
         return np.empty(0, np.int64), np.empty(0, np.int64)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     data = texts.data.tobytes()
-    word, feature = _word_grams([data[start[i] : end[i]] for i in first])
-    if chosen is not None:
-        keep_it = chosen[feature]
-        word, feature = word[keep_it], feature[keep_it]
+    word, feature = _word_grams([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], chosen)
     doc = np.repeat(np.arange(len(raw)), np.diff(bound))
     per_word = np.bincount(word, minlength=len(first))
     has = per_word[which] > 0
