@@ -15,24 +15,44 @@ from eventspark.sources.config import load_active
 _DEFINITION = "struct<name string, fields array<struct<name string, type variant, `default` variant>>>"
 NAME = ["schema_name", "schema_version"]
 
-# Kinds a payload value may have for each Avro type; others are compared as given.
+# Kinds a payload value may have for each Avro type. Any other name is a reference to a named type.
 KINDS = {
-    "string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "long": "BIGINT", "null": "VOID",
+    "string": "STRING", "bytes": "STRING", "fixed": "STRING", "enum": "STRING", "boolean": "BOOLEAN",
+    "int": "BIGINT", "long": "BIGINT", "null": "VOID",
     "float": "DOUBLE|DECIMAL|BIGINT", "double": "DOUBLE|DECIMAL|BIGINT",
     "array": "ARRAY", "map": "OBJECT", "record": "OBJECT",
 }
+NAMED = "OBJECT|STRING"
 # old>new types a reader may promote.
-PROMOTIONS = ["int>long", "int>float", "int>double", "long>float", "long>double", "float>double"]
+PROMOTIONS = [
+    "int>long", "int>float", "int>double", "long>float", "long>double", "float>double", "string>bytes", "bytes>string",
+]
+# The compatibility levels that are checked; others are refused.
+LEVELS = ["BACKWARD", "FORWARD", "FULL", "NONE"]
 # Problems that break each compatibility level.
 BACKWARD = ["added_without_default", "type_changed"]
 FORWARD = ["removed_without_default", "type_changed_back"]
 
 
 def _type_names(value: Column) -> Column:
-    """Type of a field as a list: one name, the members of a union, or the kind of a complex type."""
+    """Type of a field as a list: one name, or the members of a union.
+
+    A complex type has its content after a colon: the items of an array or the values of a map, the symbols of an
+    enumeration, the fields of a record.
+    """
+    def text(v: Column, path: str) -> Column:
+        found = F.try_variant_get(v, path, "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, path, "string")).otherwise(F.to_json(found))
+
     def name(v: Column) -> Column:
+        kind = F.try_variant_get(v, "$.type", "string")
+        content = (
+            F.when(kind == "array", text(v, "$.items")).when(kind == "map", text(v, "$.values"))
+            .when(kind == "enum", F.array_join(F.try_variant_get(v, "$.symbols", "array<string>"), ","))
+            .when(kind == "record", text(v, "$.fields"))
+        )
         return F.coalesce(
-            F.try_variant_get(v, "$.type", "string"),
+            F.when(content.isNotNull(), F.concat(kind, F.lit(":"), content)), kind,
             F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")),
         )
 
@@ -60,15 +80,33 @@ def bind_schema(events: DataFrame, schemas: DataFrame, type_col: str = "type") -
     return join_lookup(events, renamed, on, "left").drop("_version")
 
 
-def _kind_ok(value: Column, types: Column) -> Column:
+def _base(name: Column) -> Column:
+    return F.substring_index(name, ":", 1)
+
+
+def _content(name: Column) -> Column:
+    """What a complex type holds; empty for others."""
+    return F.substring(name, F.length(_base(name)) + 2, F.length(name))
+
+
+def _is_of(value: Column, name: Column) -> Column:
+    """Whether a value has the kind of a type, looking into it for an `int`'s range only."""
+    pattern = F.lit(NAMED)
+    for avro, kinds in KINDS.items():
+        pattern = F.when(_base(name) == avro, F.lit(kinds)).otherwise(pattern)
     kind = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
-    allowed = F.lit(None).cast("string")
+    in_range = (name != "int") | F.try_variant_get(value, "$", "int").isNotNull()
+    return F.array_contains(F.split(pattern, r"\|"), kind) & in_range
 
+
+def _kind_ok(value: Column, types: Column) -> Column:
     def accepts(name: Column) -> Column:
-        pattern = allowed
-        for avro, kinds in KINDS.items():
-            pattern = F.when(name == avro, F.lit(kinds)).otherwise(pattern)
-        return F.coalesce(F.array_contains(F.split(pattern, r"\|"), kind), F.lit(True))
+        base, content = _base(name), _content(name)
+        inner = F.when(base == "array", F.try_variant_get(value, "$", "array<variant>")).when(
+            base == "map", F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))
+        held = F.coalesce(F.forall(inner, lambda v: _is_of(v, content)), F.lit(True)) | (content == "")
+        symbol = (base != "enum") | (content == "") | F.array_contains(F.split(content, ","), F.try_variant_get(value, "$", "string"))
+        return F.coalesce(_is_of(value, name) & held & symbol, F.lit(False))
 
     return F.exists(types, accepts)
 
@@ -149,11 +187,17 @@ def schema_lineage(schemas: DataFrame) -> DataFrame:
 
 
 def _readable(written: Column, reader: Column) -> Column:
-    """Every written type is also a reader type or can be promoted to one."""
-    return F.forall(
-        written,
-        lambda w: F.exists(reader, lambda r: (w == r) | F.concat(w, F.lit(">"), r).isin(PROMOTIONS)),
-    )
+    """Every written type is also a reader type or can be promoted to one, also inside arrays and maps.
+
+    An enumeration is read by one that has all its symbols. Records are read by equal ones only.
+    """
+    def read(w: Column, r: Column) -> Column:
+        same = _base(w) == _base(r)
+        inner = F.concat(_content(w), F.lit(">"), _content(r)).isin(PROMOTIONS) & _base(w).isin("array", "map")
+        symbols = (_base(w) == "enum") & (F.size(F.array_except(F.split(_content(w), ","), F.split(_content(r), ","))) == 0)
+        return (w == r) | F.concat(w, F.lit(">"), r).isin(PROMOTIONS) | (same & (inner | symbols))
+
+    return F.forall(written, lambda w: F.exists(reader, lambda r: read(w, r)))
 
 
 def _problems(c: Column) -> Column:
@@ -167,9 +211,13 @@ def _problems(c: Column) -> Column:
 
 
 def check_compat(schemas: DataFrame) -> DataFrame:
-    """Each version after the first: `problems` against the one before and whether its level allows them."""
+    """Each version after the first: `problems` against the one before and whether its level allows them.
+
+    Levels count without regard to case. One that isn't checked here, such as the transitive ones, is the problem
+    `unknown_level` and not compatible.
+    """
     problems = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform("changes", _problems)))))
-    level = F.coalesce("compatibility_level", F.lit("BACKWARD"))
+    level = F.upper(F.coalesce("compatibility_level", F.lit("BACKWARD")))
     against = (
         F.when(level == "BACKWARD", F.array(*map(F.lit, BACKWARD)))
         .when(level == "FORWARD", F.array(*map(F.lit, FORWARD)))
@@ -177,7 +225,11 @@ def check_compat(schemas: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     checked = _changes(schemas).select(*NAME, "previous_version", "compatibility_level", problems.alias("problems"))
-    return checked.withColumn("is_compatible", ~F.arrays_overlap(F.col("problems"), against))
+    unknown = ~level.isin(LEVELS)
+    return checked.withColumns({
+        "is_compatible": ~unknown & ~F.arrays_overlap(F.col("problems"), against),
+        "problems": F.when(unknown, F.array_append("problems", F.lit("unknown_level"))).otherwise(F.col("problems")),
+    })
 
 
 def newest_schemas(schemas: DataFrame) -> DataFrame:

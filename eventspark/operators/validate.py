@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from eventspark.functions.clock import new_id, now_utc
+from eventspark.functions.payload import is_object, to_variant
 from eventspark.functions.text import blank_to_null, format_error, parse_size
 
 # Messages of the typed validation.
@@ -18,6 +20,8 @@ NIL_EVENT = "event cannot be nil"
 TYPE_REQUIRED = "event type is required"
 SOURCE_REQUIRED = "event source is required"
 DATA_REQUIRED = "event data is required"
+# The typed payload is a structure; as text it has to be a JSON object.
+DATA_OBJECT = "event data must be a JSON object"
 
 # Outcome codes.
 ACCEPTED, BAD_REQUEST, TOO_LARGE, TOO_MANY, FAILED = 202, 400, 413, 429, 500
@@ -55,6 +59,8 @@ def validate_http(df: DataFrame) -> DataFrame:
 def validate_typed(df: DataFrame, present: str | None = None) -> DataFrame:
     """Adds `error`; a row whose boolean column `present` is not true is a nil event."""
     error = typed_error()
+    if df.schema["data"].dataType == StringType():
+        error = F.coalesce(error, F.when(~F.coalesce(is_object(to_variant(F.col("data"))), F.lit(False)), DATA_OBJECT))
     if present:
         error = F.when(~F.coalesce(F.col(present), F.lit(False)), NIL_EVENT).otherwise(error)
     return df.withColumn("error", error)

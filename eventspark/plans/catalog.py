@@ -44,6 +44,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
             return _plain(function(Tables(spark, sf_dir)))
 
         return run

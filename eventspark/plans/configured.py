@@ -1,5 +1,7 @@
 """Queries: rules and schemas stored as data."""
 
+import json
+
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -174,6 +176,47 @@ def breaking_events(t):
     return G.breaking_events(_versioned(t), _registered(t))
 
 
+# Schemas whose newest version can't read what is stored: text for a number, an enumeration, an int that is too large.
+@query("""
+SELECT event_type AS schema_name, CAST(event_id % 2 + 1 AS INT) AS schema_version, count(*) AS event_count,
+  count(*) FILTER (event_type = 'click' OR (event_type = 'view' AND event_id % 3 = 1) OR (event_type = 'purchase' AND event_id % 5 = 0)) AS broken_count
+FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL""")
+def breaking_events_found(t):
+    record = '{{"type":"record","name":"E","fields":[{}]}}'.format
+    newest = t.spark.createDataFrame(
+        [("view", 1, record('{"name":"s","type":{"type":"enum","name":"S","symbols":["s0","s2"]}}'), "BACKWARD", True),
+         ("click", 1, record('{"name":"k","type":"string"}'), "BACKWARD", True),
+         ("purchase", 1, record('{"name":"n","type":"int"},{"name":"a","type":{"type":"array","items":"long"}}'), "BACKWARD", True)], SCHEMAS)
+    made = F.concat(
+        F.lit('{"k":1,"s":"s'), (F.col("event_id") % 3).cast("string"), F.lit('","n":'), F.when(F.col("event_id") % 5 == 0, "3000000000").otherwise("7"), F.lit(',"a":[1,2]}'))
+    return G.breaking_events(_versioned(t).withColumn("data", made), newest)
+
+
+# Pairs of versions by what changes; each is checked at every level, written in either case.
+PAIRS = {
+    "items": ('{"type":"array","items":"string"}', '{"type":"array","items":"long"}'), "wider": ('{"type":"array","items":"int"}', '{"type":"array","items":"long"}'),
+    "nested": ('{"type":"record","name":"N","fields":[{"name":"x","type":"int"}]}', '{"type":"record","name":"N","fields":[{"name":"x","type":"string"}]}'),
+    "symbols": ('{"type":"enum","name":"S","symbols":["a","b"]}', '{"type":"enum","name":"S","symbols":["a"]}'), "bytes": ('"string"', '"bytes"'),
+}
+
+
+@query("""
+WITH k AS (SELECT DISTINCT event_id % 5 AS pair, event_id % 4 AS level FROM events)
+SELECT concat(['items', 'wider', 'nested', 'symbols', 'bytes'][pair + 1], '-', ['backward', 'FORWARD', 'FULL', 'BACKWARD_TRANSITIVE'][level + 1]) AS schema_name,
+  level <> 3 AND (pair = 4 OR (pair = 1 AND level = 0) OR (pair = 3 AND level = 1)) AS is_compatible, level = 3 AS unknown_level FROM k""")
+def schema_compat_nested(t):
+    kinds = t.events.select((F.col("event_id") % 5).alias("pair"), (F.col("event_id") % 4).alias("level")).distinct()
+    level = F.element_at(F.array(*map(F.lit, ("backward", "FORWARD", "FULL", "BACKWARD_TRANSITIVE"))), (F.col("level") + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, PAIRS)), (F.col("pair") + 1).cast("int"))
+    both = F.create_map(*[F.lit(x) for k, pair in PAIRS.items() for x in (k, json.dumps(pair))])
+    texts = F.from_json(both[name], "array<string>")
+    versions = kinds.select(F.concat(name, F.lit("-"), level).alias("schema_name"), level.alias("compatibility_level"), F.posexplode(texts).alias("v", "type"))
+    schemas = versions.select(
+        "schema_name", (F.col("v") + 1).alias("schema_version"), "compatibility_level", F.lit(True).alias("is_active"),
+        F.concat(F.lit('{"type":"record","name":"E","fields":[{"name":"f","type":'), "type", F.lit("}]}")).alias("schema_definition"))
+    return G.check_compat(schemas).select("schema_name", "is_compatible", F.array_contains("problems", "unknown_level").alias("unknown_level"))
+
+
 @query("""
 SELECT event_id, CAST(CASE WHEN event_type IN ('click', 'purchase') THEN 2 WHEN event_type = 'view' THEN 1 ELSE event_id % 2 + 1 END AS VARCHAR) AS schema_version,
   CASE WHEN event_type <> 'purchase' THEN CAST(props ->> '$.k' AS DOUBLE) END AS k, event_type = 'click' AS has_page,

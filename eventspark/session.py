@@ -22,6 +22,7 @@ def build_session(app: str = "eventspark", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.ui.showConsoleProgress", "false")
     )

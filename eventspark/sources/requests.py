@@ -1,7 +1,9 @@
 """Decode JSON request bodies, single and batch.
 
 A body that does not parse, or a field of the wrong JSON kind, is `invalid_json`; a missing or null
-field is left null for validation. Keys match without regard to case and unknown keys are ignored.
+field is left null for validation. Keys match without regard to case and unknown keys are ignored. Of a
+key that repeats the last one counts, given the session's `spark.sql.variant.allowDuplicateKeys` as
+`build_session` sets it.
 """
 
 from __future__ import annotations
