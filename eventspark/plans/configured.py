@@ -1,7 +1,6 @@
 """Queries: rules and schemas stored as data."""
 
 import json
-
 from datetime import datetime
 
 from pyspark.sql import functions as F

@@ -8,6 +8,8 @@ key that repeats the last one counts, given the session's `spark.sql.variant.all
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +45,22 @@ def _absent(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
 
-def _decoded(values: Column) -> Column:
-    """An array of Variant requests as structs (bad, type, source, subject, version, data, metadata).
+def _steps() -> list[Callable[[Column], Column]]:
+    """From a Variant request to a struct (bad, type, source, subject, version, data, metadata).
 
-    Each step is its own `transform`, so that a value used several times is computed once.
+    Each step is its own `transform` or projection, so that a value used several times is computed once.
     """
-    opened = F.transform(values, lambda v: F.struct(v.alias("whole"), _as_map(v).alias("members")))
-    opened = F.transform(
-        opened,
-        lambda r: F.struct(r["whole"].alias("whole"), r["members"].alias("members"), _has_folded(r["members"]).alias("folded")),
-    )
-    picked = F.transform(
-        opened,
-        lambda r: F.struct(
+    def opened(v: Column) -> Column:
+        return F.struct(v.alias("whole"), _as_map(v).alias("members"))
+
+    def folded(r: Column) -> Column:
+        return F.struct(r["whole"].alias("whole"), r["members"].alias("members"), _has_folded(r["members"]).alias("folded"))
+
+    def picked(r: Column) -> Column:
+        return F.struct(
             (r["whole"].isNull() | (r["members"].isNull() & ~F.is_variant_null(r["whole"]))).alias("bad"),
             *[_pick(r["members"], name, r["folded"]).alias(name) for name in FIELDS],
-        ),
-    )
+        )
 
     def checked(r: Column) -> Column:
         bad = r["bad"]
@@ -82,12 +83,21 @@ def _decoded(values: Column) -> Column:
             F.when(good, labels).alias("metadata"),
         )
 
-    return F.transform(F.transform(picked, checked), typed)
+    return [opened, folded, picked, checked, typed]
+
+
+def _decoded(values: Column) -> Column:
+    """An array of Variant requests as an array of structs."""
+    for step in _steps():
+        values = F.transform(values, step)
+    return values
 
 
 def decode_requests(df: DataFrame, body: str = "value") -> DataFrame:
     """One JSON request per row: adds the request fields and `decode_error`."""
-    request = df.withColumn("_request", F.get(_decoded(F.array(F.try_parse_json(body))), F.lit(0)))
+    request = df.withColumn("_request", F.try_parse_json(body))
+    for step in _steps():
+        request = request.withColumn("_request", step(F.col("_request")))
     return request.select(
         *df.columns,
         *[F.col(f"_request.{name}").alias(name) for name in FIELDS],
