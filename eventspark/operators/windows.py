@@ -19,7 +19,7 @@ MERGEABLE = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
 
 
 def aggregate_column(kind: str, column: str | Column | None = None, *args) -> Column:
-    """count, sum, avg, min, max, stddev, or percentile (exact, with a fraction)."""
+    """count, sum, avg, min, max, stddev, or percentile (exact, with a fraction; see `_percentile` for its batch form)."""
     if kind == "count":
         return F.count(F.lit(1) if column is None else column)
     if kind == "percentile":
@@ -36,16 +36,58 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *rest)
 
 
+def _percentile(df: DataFrame, keys: list[str], name: str, column: str, fraction: float) -> DataFrame:
+    """Keys and an exact percentile, interpolated between neighbours.
+
+    Equal values are counted first; running counts by value, cut into blocks for a hot key, then tell which values
+    hold the two ranks, so no task keeps a group's values.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = prefix(split(counted, keys, ["_value"]), {"_upto": Running("sum", F.col("_n"))}).result()
+    totals = counted.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_total"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    at = (F.col("_total") - 1) * F.lit(float(fraction))
+
+    def value_of(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_value")))
+
+    ranks = upto.join(totals, same).withColumns({"_at": at, "_low": F.floor(at), "_high": F.ceil(at)})
+    found = ranks.groupBy(*keys).agg(
+        value_of(F.col("_low")).alias("_below"), value_of(F.col("_high")).alias("_above"), F.first("_at").alias("_at"), F.first("_low").alias("_low"))
+    part = F.col("_at") - F.col("_low")
+    return found.select(*keys, (F.col("_below") * (1 - part) + F.col("_above") * part).alias(name))
+
+
+def _by_keys(df: DataFrame, keys: list[str], aggs: Aggs) -> DataFrame:
+    """Aggregates by columns; on a batch with keys the exact percentiles go by ranks, each joined by the keys."""
+    ranked = {name: spec for name, spec in aggs.items() if spec[0] == "percentile" and keys and not df.isStreaming}
+    rest = {name: spec for name, spec in aggs.items() if name not in ranked}
+    result = df.groupBy(*keys).agg(*(_columns(rest) or [F.count(F.lit(1)).alias("_rows")]))
+    for name, (_, column, fraction) in ranked.items():
+        other = _percentile(df, keys, name, column, fraction).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name)
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        result = result.join(other, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return result.select(*keys, *aggs)
+
+
 def aggregate(df: DataFrame, keys: list[str], aggs: Aggs, window: str | None = None, ts: str = "timestamp") -> DataFrame:
     """Aggregates by keys and, if given, a tumbling window."""
     if window:
         return tumbling(df, window, keys, aggs, ts)
-    return df.groupBy(*keys).agg(*_columns(aggs))
+    return _by_keys(df, keys, aggs)
 
 
 def tumbling(df: DataFrame, size: str, keys: list[str], aggs: Aggs, ts: str = "timestamp") -> DataFrame:
     """Windows `[start, end)`."""
-    return _flat(df.groupBy(F.window(ts, interval_text(size)), *keys).agg(*_columns(aggs)))
+    if df.isStreaming or all(spec[0] != "percentile" for spec in aggs.values()):
+        return _flat(df.groupBy(F.window(ts, interval_text(size)), *keys).agg(*_columns(aggs)))
+    placed = df.withColumn("_window", F.window(ts, interval_text(size)))
+    placed = placed.withColumns({"window_start": F.col("_window.start"), "window_end": F.col("_window.end")}).drop("_window")
+    return _by_keys(placed, ["window_start", "window_end", *keys], aggs)
 
 
 def sliding(df: DataFrame, size: str, slide: str, keys: list[str], aggs: Aggs, ts: str = "timestamp") -> DataFrame:

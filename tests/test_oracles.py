@@ -11,6 +11,7 @@ SQL = all_sql()
 
 # Queries built on the ordered core.
 ORDERED = [
+    "aggregate_by_type",
     "active_connections", "alert_for", "anomalies", "correlate_traces", "count_windows_10", "counter_rate",
     "fixed_window_limit", "fraud_threshold", "ingest_accepted", "ingest_batch_failfast", "late_rows", "lateness",
     "match_nested_interest", "match_relaxed_vcp", "match_strict_vcp", "notify_bulk", "notify_cap", "notify_status",
