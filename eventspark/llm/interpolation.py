@@ -9,7 +9,7 @@ text is the context of its first token. V counts the different training tokens;
 Texts are read once, into chunks of bounded bytes that hold token numbers and the chunk's different tokens. A count is
 asked for by chunk: each chunk sends its different n-grams, already added up, to hash buckets, and gets the totals
 back in the same order. So a frequent word costs one row per chunk, and no count table is collected or broadcast. A
-bigram with a word that no other chunk trains on is settled inside its chunk and isn't asked for. Only the EM's table
+bigram with a word that no other chunk has is settled inside its chunk and isn't asked for. Only the EM's table
 goes to the driver: sums by bucket and by half-octaves of the two estimates, at most some 10,000 rows at any size.
 
 Null and empty texts are one end token. A null id is an id like any other; repeated rows are scored each. A document
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from eventspark.llm.frames import keep, partitions
 from eventspark.llm.words import SPACED, Texts, U, mix, slices
 
-CHUNK = 12 << 20
+CHUNK = 9 << 20
 #: Different n-grams that one hash bucket's task adds up.
 BUCKET_KEYS = 1_000_000
 ROUNDS, LEVELS = 40, 40
@@ -98,7 +99,9 @@ def _chunk(held: list[tuple], number: int) -> pa.RecordBatch:
 
 
 class _Chunk:
-    """A chunk's arrays; `total` is each different token's training count once it is known."""
+    """A chunk's arrays; `total` is each different token's training count and `elsewhere` whether another chunk has
+    the token, once they are known.
+    """
 
     def __init__(self, row: dict):
         self.number = row["chunk"]
@@ -124,9 +127,7 @@ class _Chunk:
     def asked_pairs(self, starts: int) -> np.ndarray:
         """Pairs that other chunks may hold too, as numbers into `pair`."""
         self.totals = np.append(self.total, starts)
-        own = np.append(self.own, 0)
-        open_left = (self.left == len(self.unique)) | (self.totals[self.left] > own[self.left])
-        return np.flatnonzero(open_left & (self.totals[self.right] > own[self.right]))
+        return np.flatnonzero(np.append(self.elsewhere, True)[self.left] & self.elsewhere[self.right])
 
     def pair_keys(self, asked: np.ndarray) -> np.ndarray:
         names = np.append(self.unique, U(0))
@@ -164,13 +165,17 @@ def _ask_tokens(buckets: int):
 
 
 def _add_up(key, table):
-    """Totals of a bucket's keys, in the order each chunk asked; n_new counts keys with a total, once a bucket."""
+    """Totals of a bucket's keys, in the order each chunk asked; n_new counts keys with a total, once a bucket.
+
+    A total is told as twice its value, and one more if another chunk has the key, too.
+    """
     asked = [_unpack_sorted(b) for b in table["keys"].to_pylist()]
     own = np.concatenate([_unpack(b) for b in table["own"].to_pylist()])
     known, which = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(which, weights=own, minlength=len(known)).astype(np.uint64)
     cut = np.cumsum([len(a) for a in asked])[:-1]
-    told = [_pack(t if t.max() >= 1 << 32 else t.astype(np.uint32)) for t in np.split(total[which], cut)]
+    answer = total * U(2) + (np.bincount(which) > 1)
+    told = [_pack(t if t.max() >= 1 << 32 else t.astype(np.uint32)) for t in np.split(answer[which], cut)]
     n = len(told)
     return pa.table({
         "chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array(told, pa.binary()),
@@ -216,7 +221,8 @@ class _Sizes:
 def _known(row: dict, told, sizes: _Sizes) -> tuple[_Chunk, np.ndarray]:
     """The chunk with token totals, its pairs, and the pairs to ask for."""
     chunk = _Chunk(row)
-    chunk.total = _answers(told.filter(pa.compute.equal(told["kind"], 1)), sizes.token_buckets, chunk.unique)
+    answer = _answers(told.filter(pc.equal(told["kind"], 1)), sizes.token_buckets, chunk.unique)
+    chunk.total, chunk.elsewhere = answer >> 1, answer & 1 > 0
     chunk.pairs()
     return chunk, chunk.asked_pairs(sizes.starts)
 
@@ -232,7 +238,7 @@ def _ask_pairs(sizes: _Sizes):
 def _with_pairs(chunks, told, sizes: _Sizes) -> tuple[_Chunk, np.ndarray]:
     chunk, asked = _known(chunks.to_pylist()[0], told, sizes)
     totals = chunk.pair_own.astype(np.int64)
-    totals[asked] = _answers(told.filter(pa.compute.equal(told["kind"], 2)), sizes.pair_buckets, chunk.pair_keys(asked))
+    totals[asked] = _answers(told.filter(pc.equal(told["kind"], 2)), sizes.pair_buckets, chunk.pair_keys(asked)) >> 1
     return chunk, totals
 
 
