@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm.decontamination import decontaminate
+from eventspark.llm.frames import small_batches
 from eventspark.llm.jaccard_forest import one_of_each_class
 from eventspark.llm.packing import pack_documents
 from eventspark.llm.quality_rules import keep_good
@@ -20,6 +21,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below one half; labels of the held-out fifth of the ids are not learnt from."""
+    small_batches(spark)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
 
@@ -31,16 +33,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of documents that links of similarity 0.8 or more connect."""
+    small_batches(spark)
     return one_of_each_class(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a word inside a window of a benchmark item."""
+    small_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 token ids."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -37,5 +37,12 @@ def keep(df: DataFrame) -> DataFrame:
         return materialise(df.select("*"))  # a query takes the setting when it is made
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Give Python workers at most so many rows at a time, which bounds what a batch of texts takes beside them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventspark.llm.frames import small_batches
 from eventspark.session import checkpoint_dir
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,8 +192,26 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _reachable(spark: SparkSession) -> None:
+    """Send this package to the workers where neither their start folder nor PYTHONPATH leads to it."""
+    root = Path(__file__).resolve().parents[2]
+    paths = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    sent = any(f.endswith("/eventspark-package.zip") for f in spark.sparkContext.listFiles)
+    if not sent and root not in [p.resolve() for p in paths]:
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/eventspark-package", "zip", root, "eventspark")
+        spark.sparkContext.addPyFile(made)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_RUN)
+    def runner(function):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _reachable(spark)
+            small_batches(spark)
+            return function(spark, sf_dir)
+
+        return run
+
+    return {name: runner(function) for name, function in _RUN.items()}
 
 
 def llm_sql() -> dict[str, str]:

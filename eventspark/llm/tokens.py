@@ -69,20 +69,20 @@ class Encoder:
             self.young[word] = found
         return found
 
-    def _learn(self, piece: str) -> None:
-        found = self.old.get(piece)
+    def _learned(self, piece: str) -> bytes:
+        found = self.young.get(piece) or self.old.get(piece)
         if found is None:
             bare = piece[1:] if piece[0] == " " else piece
             if not bare.isprintable() or max(bare, default="\n") > _LAST_PLAIN:
                 found = self._whole(piece)
             elif bare.isalpha():
-                self._word(piece)
-                return
+                found = self._word(piece)
             elif bare[:-1].isalpha() and bare[-1] in ",.;:!?":
                 found = self._word(piece[:-1]) + self._word(piece[-1])
             else:
                 found = b"".join(map(self._word, self.pattern.findall(piece)))
         self.young[piece] = found
+        return found
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -98,9 +98,12 @@ class Encoder:
                 self.old, self.young = young, {"": b""}
                 young = self.young
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            for piece in [p for p in pieces if p not in young]:
-                self._learn(piece)
-            out.append(np.frombuffer(b"".join(map(young.__getitem__, pieces)), "<u4"))
+            found = list(map(young.get, pieces))
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self._learned(pieces[at])
+            out.append(np.frombuffer(b"".join(found), "<u4"))
         return out
 
 

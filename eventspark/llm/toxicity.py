@@ -29,6 +29,8 @@ TRAIN_ROWS = 20_000
 ORDERS, BITS, FEATURES = (3, 4, 5), 18, 1500
 PENALTY, STEPS, INNER = 1e-3, 15, 40
 _BOUNDARY = 10
+#: Bytes of text whose features of all kinds are held at a time.
+COUNT_SLICE = 1 << 20
 
 
 def _word_grams(words: list[bytes], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def _doc_features(raw: list[bytes | None], chosen: np.ndarray | None) -> tuple[n
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros((2, 1 << BITS), np.int64)
-    for batch, raw in slices(batches, 0):
+    for batch, raw in slices(batches, 0, COUNT_SLICE):
         label = np.array(batch.column(1).to_pylist(), np.int64)
         doc, feature = _doc_features(raw, None)
         for k in (0, 1):
