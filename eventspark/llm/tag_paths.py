@@ -4,8 +4,10 @@ A page's text falls into blocks: runs of text and inline markup between block-le
 block-level tags from the root to it. Per path of the page its blocks, characters, punctuation marks and link
 characters are added up. Characters per block and punctuation per block, each smoothed over the blocks in page order
 by a narrow bell curve, are fused by their geometric mean and weighed by the share of text outside links; a path is
-content if its mean is at least `SHARE` of the best path's. The deepest element that holds at least `HOLDS` of the
-content's characters is the article, and all its blocks stay: headings, lists and short paragraphs, too.
+content if its mean is at least `SHARE` of the best path's, unless only its neighbours lift it there: its own value
+without smoothing must be `OWN` of the best. No block of a content path is dropped. Where most content
+stands in article or main elements, these stay whole (an article within a main as part of it): headings, lists and
+short paragraphs, too. Else the smallest element that holds all content stays whole, or the page if there is none.
 
 Never content: elements that are scripts, styles, forms, menus, asides, page headers and footers by their tag, role or
 the words of their class and id, and hidden ones. A header within an article stays.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from eventspark.llm.frames import free_name
 
-SHARE, HOLDS = 0.15, 0.6
+SHARE, OWN = 0.15, 0.0225
 _SMOOTH = (0.06, 0.24, 0.4, 0.24, 0.06)
 
 # Element names of HTML by their part in a page.
@@ -73,10 +75,10 @@ def _left_out(name: str, rest: str, in_article: bool) -> bool:
 
 
 class _Page:
-    """Blocks of a page in order: (path, ancestors, text, characters in links)."""
+    """Blocks of a page in order: (path, ancestors, outermost article or main or 0, text, characters in links)."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[tuple[str, ...], tuple[int, ...], str, int]] = []
+        self.blocks: list[tuple[tuple[str, ...], tuple[int, ...], int, str, int]] = []
         self.open: list[tuple[str, int, bool]] = []  # name, number, left out
         self.text: list[tuple[str, bool]] = []
         self.made = self.out = self.articles = self.links = 0
@@ -111,7 +113,8 @@ class _Page:
         if text:
             links = sum(len(t) for t, linked in self.text if linked)
             names = tuple(n for n, _, _ in self.open if n not in _INLINE)
-            self.blocks.append((names, tuple(k for n, k, _ in self.open if n not in _INLINE and n != "p"), text, links))
+            article = next((k for n, k, _ in self.open if n in ("article", "main")), 0)
+            self.blocks.append((names, tuple(k for n, k, _ in self.open if n not in _INLINE and n != "p"), article, text, links))
         self.text = []
 
     def _start(self, name: str, rest: str) -> None:
@@ -170,12 +173,12 @@ def _smoothed(values: list[float]) -> list[float]:
 
 
 def extract(page: str | None) -> str:
-    """The article's blocks, joined by empty lines."""
+    """The main text's blocks, joined by empty lines."""
     blocks = _Page(page).blocks if page else []
     if not blocks:
         return ""
     paths: dict[tuple[str, ...], list[float]] = {}
-    for path, _, text, links in blocks:
+    for path, _, _, text, links in blocks:
         sums = paths.setdefault(path, [0, 0, 0, 0])
         for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), links)):
             sums[k] += v
@@ -185,17 +188,19 @@ def extract(page: str | None) -> str:
     for (path, *_), a, b in zip(blocks, length, marks, strict=True):
         fused.setdefault(path, []).append(math.sqrt(a * b) * max(0.0, 1 - paths[path][3] / paths[path][1]))
     score = {p: sum(v) / len(v) for p, v in fused.items()}
-    best = max(score.values())
-    content = [b for b in blocks if score[b[0]] >= SHARE * best]
-    total = sum(len(b[2]) for b in content)
-    held: dict[int, int] = {}
-    for _, inside, text, _ in content:
-        for element in inside:
-            held[element] = held.get(element, 0) + len(text)
-    # Elements are numbered in page order, so of those that hold enough the deepest has the largest number.
-    article = max((e for e, n in held.items() if n >= HOLDS * total), default=None)
-    kept = content if article is None else [b for b in blocks if article in b[1]]
-    return "\n\n".join(b[2] for b in kept)
+    alone = {p: math.sqrt(c / n * (m + 0.5) / n) * max(0.0, 1 - linked / c) for p, (n, c, m, linked) in paths.items()}
+    best, most = max(score.values()), max(alone.values())
+    chosen = {p for p in paths if score[p] >= SHARE * best}
+    chosen = {p for p in chosen if alone[p] >= OWN * most} or chosen
+    content = [b for b in blocks if b[0] in chosen]
+    if 2 * sum(len(b[3]) for b in content if b[2]) >= sum(len(b[3]) for b in content):
+        articles = {b[2] for b in content} - {0}
+        kept = [b for b in blocks if b[2] in articles or b[0] in chosen]
+    else:
+        # Elements are numbered in page order, so of those around all content the smallest has the largest number.
+        around = max(set(content[0][1]).intersection(*(b[1] for b in content)), default=None)
+        kept = [b for b in blocks if around is None or around in b[1]]
+    return "\n\n".join(b[3] for b in kept)
 
 
 def with_main_text(pages: DataFrame, page: str = "html") -> tuple[DataFrame, str]:

@@ -340,6 +340,30 @@ def test_extraction():
     assert tag_paths.extract(plain).startswith("Some words") and tag_paths.extract(plain).endswith("Short.")
 
 
+LONG = "Some words, and more. " * 20
+
+
+@pytest.mark.parametrize("inner", [
+    f"<section><p>{LONG * 2}</p></section><section><p>{LONG}</p></section>",
+    f"<h1>Title</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div>",
+    *(f"<p>intro</p><{x}>{LONG}</{x}><p>end</p>" for x in ("blockquote", "pre")),
+    f"<p>intro</p><ul><li>{LONG}<li>{LONG}</ul><p>end</p>", f"<p>intro</p><table><tr><td>{LONG}<td>{LONG}</table><p>end</p>",
+    f"<section><h2>One</h2><p>{LONG * 2}</p></section><section><h2>Two</h2><p>{LONG}</p></section>"])
+def test_extraction_keeps_whole_articles(inner):
+    want = [" ".join(t.split()) for t in re.findall("[^<>]+(?=<)", re.sub("<[^>]*>", "<>", inner) + "<")]
+    for page in ("<article>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>"):
+        assert tag_paths.extract(f"<body><ul><li><a href=/>Home</a></ul>{page % inner}<div><a href=/>Next</a></div></body>").split("\n\n") == want, page
+
+
+def test_extraction_drops_no_block_of_a_content_path():
+    post = f"<section><h2>One</h2><p>{LONG * 2}</p></section><section><h2>Two</h2><p>{LONG}</p></section>"
+    want = ["One", (LONG * 2).strip(), "Two", LONG.strip()]
+    assert tag_paths.extract(f"<body><p><a href=/>Home</a></p><div>{post}</div></body>").split("\n\n") == want
+    assert tag_paths.extract(post).split("\n\n") == want
+    both = tag_paths.extract(f"<article><h1>T</h1><p>{LONG * 2}</p></article><div><a href=/>x</a></div><section><p>{LONG}</p></section>")
+    assert both.split("\n\n") == ["T", (LONG * 2).strip(), LONG.strip()]
+
+
 def test_extraction_of_the_table(spark, medium):
     rows = {r.page_id: r for r in llm_queries()["op7_tag_paths"](spark, medium).collect()}
     pages = spark.read.parquet(f"{medium}/pages.parquet").collect()
