@@ -9,8 +9,12 @@ without smoothing must be `OWN` of the best. No block of a content path is dropp
 stands in article or main elements, these stay whole (an article within a main as part of it): headings, lists and
 short paragraphs, too. Else the smallest element that holds all content stays whole, or the page if there is none.
 
-Never content: elements that are scripts, styles, forms, menus, asides, page headers and footers by their tag, role or
-the words of their class and id, and hidden ones. A header within an article stays.
+Never content: elements that are scripts, styles, forms, menus, asides, page headers and footers by their tag or role,
+and hidden ones. A header within an article stays. Elements are also left out by the last word of a token of their class
+or id (`sidebar`, `left-sidebar`, `ad-box`, not `has-sidebar` or `nav-open`), but first what they hold is compared with
+what is left, larger elements first. One named for layout stays if it holds more article or main text than is left, or
+most of the page's text outside links, and all of one word stay if a quarter of their text or less would be left. One
+named for discussion stays only if little else and no article is left, an advertisement only round the sole article.
 
 Null and empty pages, and pages without text, give an empty text. Broken markup is read as browsers do for the cases
 that matter here: open paragraphs and list items end at the next one, unknown ends are skipped, and what is cut off at
@@ -42,11 +46,20 @@ _ENDS = {
     "li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
 }
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification "
-    "alert popup modal overlay sidebar aside widget menu navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
-    "comment comments disqus replies reply respond share sharing social related recommended newsletter subscribe subscription signup login search "
-    "copyright disclaimer skip".split())
+_LAYOUT, _TALK, _AD = 1, 2, 3
+_WORDS = {
+    **dict.fromkeys(
+        "banner promo promotion notice notification alert popup modal overlay sidebar aside widget menu navbar nav navigation breadcrumb breadcrumbs "
+        "pagination pager footer masthead topbar toolbar share sharing social newsletter subscribe subscription signup login search copyright "
+        "disclaimer skip".split(), _LAYOUT),
+    **dict.fromkeys("comment comments disqus replies reply respond related recommended".split(), _TALK),
+    **dict.fromkeys("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split(), _AD),
+}
+# Parts of a class that say what a page has or how it stands, and last parts that say nothing of what an element holds.
+_STATES = frozenset("has have with without no not non is free less open opened closed on off active enabled disabled visible supported".split())
+_TAILS = frozenset(
+    "area bar bars block box button buttons col column container footer form group header holder icons inner item items left link links list main "
+    "outer panel posts primary right row secondary section slot top bottom unit wrap wrapper zone x".split())
 _HEADERS = frozenset("header site-header page-header".split())
 _BLOCK_END = frozenset("p div section article main body ul ol table blockquote".split())
 
@@ -56,32 +69,48 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _PUNCTUATION = re.compile(r"[,.;:!?…。、，；：！？]")
 
 
-def _left_out(name: str, rest: str, in_article: bool) -> bool:
+def _left_out(name: str, rest: str, in_article: bool) -> tuple[bool, str]:
+    """Whether the element is never content, and the word of its class or id by which it may be left out."""
     if name in _NEVER or (name == "header" and not in_article):
-        return True
+        return True, ""
     if not rest or "=" not in rest:
-        return bool(rest) and bool(_HIDDEN.search(rest))
+        return bool(rest) and bool(_HIDDEN.search(rest)), ""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)}
     if found.get("role", "").lower() in _ROLES or found.get("aria-hidden") == "true" or _HIDDEN.search(_ATTRIBUTE.sub(" ", rest)):
-        return True
+        return True, ""
     if "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
+        return True, ""
     if name in ("body", "html", "main", "article"):
-        return False
-    labels = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    if not in_article and not _HEADERS.isdisjoint(labels.split()):
-        return True
-    return not _WORDS.isdisjoint(re.split(r"[^a-z]+", labels))
+        return False, ""
+    words = []
+    for token in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", token) if p]
+        if token in _HEADERS and not in_article:
+            words.append("banner")
+        if not _STATES.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in _TAILS and parts[-1] not in _WORDS:
+            parts.pop()
+        if parts and parts[-1] in _WORDS:
+            words += [p for p in parts if p in _WORDS]
+    return False, max(words, key=_WORDS.get, default="")
 
 
 class _Page:
-    """Blocks of a page in order: (path, ancestors, outermost article or main or 0, text, characters in links)."""
+    """Blocks of a page in order: (path, ancestors, outermost article or main or 0, text, characters in links).
+
+    Until the page is read, a block has the numbers of its first piece and of the piece after it in place of its text.
+    """
 
     def __init__(self, page: str):
         self.blocks: list[tuple[tuple[str, ...], tuple[int, ...], int, str, int]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, left out
-        self.text: list[tuple[str, bool]] = []
-        self.made = self.out = self.articles = self.links = 0
+        self.cut: list[tuple[tuple[str, ...], tuple[int, ...], int, int, int]] = []
+        self.open: list[tuple[str, int, bool, int]] = []  # name, number, left out, place in named or -1
+        self.pieces: list[tuple[str, bool, int, tuple[int, ...]]] = []  # text, linked, innermost article or main, named elements around
+        self.named: list[list] = []  # number, word, stands in an article, first piece, piece after it
+        self.around: tuple[int, ...] = ()
+        self.articles: list[int] = []
+        self.made = self.out = self.links = self.begun = 0
         at = 0
         while True:
             token = _TOKEN.search(page, at)
@@ -102,24 +131,81 @@ class _Page:
                     at = close.end() if close else len(page)
                     self._end(name)
         self._close_block()
+        while self.open:
+            self._pop()
+        dropped = self._dropped()
+        for names, inside, article, a, b in self.cut:
+            left = [(t, linked) for t, linked, _, around in self.pieces[a:b] if dropped.isdisjoint(around)]
+            text = " ".join("".join(t for t, _ in left).split())
+            if text:
+                self.blocks.append((names, inside, article, text, sum(len(t) for t, linked in left if linked)))
+
+    def _add(self, text: str, linked: bool) -> None:
+        self.pieces.append((text, linked, self.articles[-1] if self.articles else 0, self.around))
+
+    def _dropped(self) -> set[int]:
+        """The named elements that are left out, after a comparison with what is left."""
+        if not self.named:
+            return set()
+        size = [0 if linked else len(" ".join(t.split())) for t, linked, _, _ in self.pieces]
+        held, articles = [0] * len(self.named), [0] * len(self.named)
+        for n, (_, _, inner, around) in zip(size, self.pieces, strict=True):
+            for k in around:
+                held[k] += n
+                articles[k] += n * (inner > self.named[k][0])
+        closed = [len(around) for *_, around in self.pieces]  # named elements around that don't stay so far
+        free = sum(n for n, c in zip(size, closed, strict=True) if not c)
+        free_articles = sum(n for n, c, p in zip(size, closed, self.pieces, strict=True) if not c and p[2])
+        dropped = set(range(len(self.named)))
+        total = sum(size)
+
+        def stay(k: int) -> None:
+            nonlocal free, free_articles
+            dropped.remove(k)
+            for i in range(*self.named[k][3:]):
+                closed[i] -= 1
+                if not closed[i]:
+                    free += size[i]
+                    free_articles += size[i] if self.pieces[i][2] else 0
+
+        for k in sorted(dropped, key=lambda k: (-held[k], k)):
+            _, word, within, first, after = self.named[k]
+            if first == after or any(a in dropped for a in self.pieces[first][3] if a < k):
+                continue
+            if _WORDS[word] == _AD:
+                keeps = articles[k] and not free_articles
+            elif _WORDS[word] == _TALK:
+                keeps = not free_articles and 4 * free < held[k]
+            else:
+                keeps = articles[k] and articles[k] >= free_articles or 2 * held[k] > total and (within or 4 * free_articles < held[k])
+            if keeps:
+                stay(k)
+        of: dict[str, int] = {}
+        for n, (*_, around) in zip(size, self.pieces, strict=True):
+            outer = next((self.named[k][1] for k in around if k in dropped), "")
+            of[outer] = of.get(outer, 0) + n
+        for k in sorted(dropped):
+            word = self.named[k][1]
+            if _WORDS[word] == _LAYOUT and 4 * of.get("", 0) < of.get(word, 0):
+                stay(k)
+        return dropped
 
     def _say(self, raw: str) -> None:
         if not self.out:
             cut = raw.rfind("<") if re.search(r"<[a-zA-Z/!][^>]*\Z", raw) else -1
-            self.text.append((html.unescape(raw if cut < 0 else raw[:cut]), self.links > 0))
+            self._add(html.unescape(raw if cut < 0 else raw[:cut]), self.links > 0)
 
     def _close_block(self) -> None:
-        text = " ".join("".join(t for t, _ in self.text).split())
-        if text:
-            links = sum(len(t) for t, linked in self.text if linked)
-            names = tuple(n for n, _, _ in self.open if n not in _INLINE)
-            article = next((k for n, k, _ in self.open if n in ("article", "main")), 0)
-            self.blocks.append((names, tuple(k for n, k, _ in self.open if n not in _INLINE and n != "p"), article, text, links))
-        self.text = []
+        if len(self.pieces) > self.begun:
+            names = tuple(n for n, *_ in self.open if n not in _INLINE)
+            article = next((k for n, k, *_ in self.open if n in ("article", "main")), 0)
+            inside = tuple(k for n, k, *_ in self.open if n not in _INLINE and n != "p")
+            self.cut.append((names, inside, article, self.begun, len(self.pieces)))
+            self.begun = len(self.pieces)
 
     def _start(self, name: str, rest: str) -> None:
         if name == "br":
-            self.text.append((" ", False))
+            self._add(" ", False)
         if name in _VOID:
             if name == "hr":
                 self._close_block()
@@ -128,11 +214,15 @@ class _Page:
             self._close_block()
             if name in _ENDS or name in _BLOCK_END or name[0] == "h" and name[1:].isdigit():
                 self._imply(_ENDS.get(name, ("p",)))
-        leave = _left_out(name, rest, self.articles > 0)
+        leave, word = _left_out(name, rest, bool(self.articles))
         self.made += 1
-        self.open.append((name, self.made, leave))
+        self.open.append((name, self.made, leave, len(self.named) if word else -1))
+        if word:
+            self.around += (len(self.named),)
+            self.named.append([self.made, word, bool(self.articles), len(self.pieces), 0])
         self.out += leave
-        self.articles += name in ("article", "main")
+        if name in ("article", "main"):
+            self.articles.append(self.made)
         self.links += name == "a"
 
     def _imply(self, names: tuple[str, ...]) -> None:
@@ -146,9 +236,13 @@ class _Page:
                 return
 
     def _pop(self) -> None:
-        name, _, leave = self.open.pop()
+        name, _, leave, place = self.open.pop()
+        if place >= 0:
+            self.around = self.around[:-1]
+            self.named[place][4] = len(self.pieces)
         self.out -= leave
-        self.articles -= name in ("article", "main")
+        if name in ("article", "main"):
+            self.articles.pop()
         self.links -= name == "a"
 
     def _end(self, name: str) -> None:

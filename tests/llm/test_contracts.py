@@ -364,6 +364,28 @@ def test_extraction_drops_no_block_of_a_content_path():
     assert both.split("\n\n") == ["T", (LONG * 2).strip(), LONG.strip()]
 
 
+@pytest.mark.parametrize("wrapper", [
+    'class="content has-sidebar"', "class=with-sidebar", "class=no-sidebar", "class=ad-free", 'class="site nav-open"', 'id="post-notice-1"',
+    "class=left-sidebar", "class=page-with-ads", "class='page comments-open'", "class=header"])
+def test_extraction_keeps_wrappers_named_like_menus(wrapper):
+    body = f"<h1>Title</h1><p>{LONG}</p><section class=comments><p>{LONG * 3}</p></section><div class=sidebar><p>Aside, aside.</p></div>"
+    want = ["Title", LONG.strip()]
+    links = "<ul><li><a href=/>Home</a></ul>"
+    for page in (f"<div {wrapper}><article>{body}</article></div>", f"<div {wrapper}>{links}<main>{body}</main></div><div class=ad>{LONG * 5}</div>"):
+        assert tag_paths.extract(f"<body>{page}</body>").split("\n\n") == want, page
+    assert tag_paths.extract(f"<body><div {wrapper}><h1>Title</h1><p>{LONG}</p></div></body>").split("\n\n") == want
+
+
+def test_extraction_compares_what_is_dropped():
+    post = f"<article><p>{LONG}</p></article>"
+    for other in ("id=comments", "class=related-posts", "class=ad-slot", "class=cookie-consent"):
+        assert tag_paths.extract(f"<main>{post}</main><div {other}><article><p>{LONG * 3}</p></article></div>") == LONG.strip(), other
+    widgets = "".join(f"<div class=elementor-widget><p>{k} {LONG}</p></div>" for k in range(5))
+    assert tag_paths.extract(f"<body>{widgets}</body>").count("Some words") == 100
+    assert tag_paths.extract(f"<body>{widgets[:600]}</div>{post * 3}</body>").startswith("Some words")
+    assert tag_paths.extract(f"<p>{LONG}<span class=ad>Buy it.</span> End.</p>") == f"{LONG}End."
+
+
 def test_extraction_of_the_table(spark, medium):
     rows = {r.page_id: r for r in llm_queries()["op7_tag_paths"](spark, medium).collect()}
     pages = spark.read.parquet(f"{medium}/pages.parquet").collect()
