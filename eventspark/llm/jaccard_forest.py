@@ -191,7 +191,8 @@ def text_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """(doc, set_key) of every row, and per set with a copy or a link: its class, links and copies.
 
-    The second has set_key, class_id (least id of the class), label (of the class), n_links, n_texts, n_copies.
+    The second has set_key, class_id (least id of the class), label (of the class), n_links, n_texts, n_copies, and
+    chosen for one set of each class: the least of those with the class's id.
     """
     depth = prefix_depth(similarity, recall)
     rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
@@ -222,10 +223,11 @@ def text_classes(
     linked = counts.join(labels, "set_key")
     merged = sets.select("set_key", "first_doc", "n_copies").join(linked, "set_key", "left").where("n_copies > 1 OR label IS NOT NULL")
     merged = merged.withColumn("label", F.coalesce("label", "set_key"))
-    first = merged.groupBy("label").agg(F.min("first_doc").alias("class_id"))
+    least = F.min(F.struct(F.col("first_doc").isNull(), "first_doc", F.col("set_key").alias("chosen_key"))).alias("least")
+    first = merged.groupBy("label").agg(least).select("label", F.col("least.first_doc").alias("class_id"), "least.chosen_key")
     classes = merged.join(first, "label").select(
         "set_key", "label", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
-        F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"), "n_copies")
+        F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"), "n_copies", (F.col("set_key") == F.col("chosen_key")).alias("chosen"))
     return signed.select("doc", "set_key"), classes
 
 
@@ -257,13 +259,14 @@ def one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
     schema = documents.limit(0).withColumn(key, F.lit(None).cast("binary")).schema
     keyed = documents.mapInArrow(with_key, schema)
-    found = classes.select(F.col("set_key").alias(key), F.struct("label", "class_id", "n_copies").alias("_class_of"))
+    found = classes.select(F.col("set_key").alias(key), F.struct("class_id", "n_copies", "chosen").alias("_class_of"))
     mark = free_name(keyed, "class_of")
     joined = keyed.join(found.withColumnRenamed("_class_of", mark), key, "left")
     alone = F.col(mark).isNull()
-    chosen = F.col(doc_id).eqNullSafe(F.col(mark)["class_id"])
+    # Of a chosen set only copies share the class's id; other sets of the class may have it, too, and don't stay.
+    chosen = F.col(mark)["chosen"] & F.col(doc_id).eqNullSafe(F.col(mark)["class_id"])
     single = joined.where(alone | (chosen & (F.col(mark)["n_copies"] == 1))).select(names)
     repeated = joined.where(~alone & chosen & (F.col(mark)["n_copies"] > 1))
-    once = repeated.withColumn(key, F.col(mark)["label"]).dropDuplicates([key]).select(names)
+    once = repeated.dropDuplicates([key]).select(names)
     return single.union(once)
 

@@ -91,6 +91,17 @@ def test_nulls_empty_repeats_and_clashing_names(spark):
     assert forest.one_of_each_class(df.limit(0)).columns == df.columns
 
 
+def test_one_near_copy_of_equal_and_of_null_ids_stays(spark, base):
+    text = max((t for _, t in base[:50]), key=len)[:3000]
+    other, third = (" ".join(text.split(" ")[::k]) for k in (-1, 3))
+    rows = [(8, text, 1), (8, edited(text, 1), 2), *[(None, edited(other, k), 3) for k in range(6)], (9, third, 4), (9, third, 5), (9, edited(third, 1), 6),
+            (None, edited(third, 2), 7), (3, base[60][1], 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = forest.one_of_each_class(df).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 8, 9] and all(tuple(r) in rows for r in kept)
+    assert [r.n for r in kept if r.doc_id is None] == [3]
+
+
 def test_prefix_is_shortened_to_the_target():
     depth = forest.prefix_depth(0.8, 0.9999)
     assert forest.expected_recall(0.8, depth) >= 0.9999 > forest.expected_recall(0.8, depth + 1)
