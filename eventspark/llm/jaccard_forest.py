@@ -82,16 +82,16 @@ def _sign(size: int, depth: int):
             nodes = _prefixes(sets, depth).view(np.int64)
             count = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(count),
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(count),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * TREES), pa.array(nodes.ravel()))],
-                ["doc", "set_key", "n_shingles", "nodes"],
+                ["doc", "text_hash", "set_key", "n_shingles", "nodes"],
             )
 
     return sign
 
 
 def _fetch(size: int, depth: int):
-    """Sets of the wanted rows; a row whose set is another (an id that repeats) is left out."""
+    """Sets of the wanted rows; a row whose set is another (an id and a text hash that repeat) is left out."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches, 0):
@@ -195,12 +195,14 @@ def text_classes(
     chosen for one set of each class: the least of those with the class's id.
     """
     depth = prefix_depth(similarity, recall)
-    rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     id_type = rows.schema["doc"].dataType.simpleString()
-    signed = keep(rows.mapInArrow(_sign(size, depth), f"doc {id_type}, set_key binary, n_shingles long, nodes array<long>"))
+    signed = keep(rows.mapInArrow(_sign(size, depth), f"doc {id_type}, text_hash long, set_key binary, n_shingles long, nodes array<long>"))
+    # The row of a set that is read again: of the least id, found by the id and the hash of its text.
     sets = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc").alias("first_doc"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("nodes").alias("nodes"))
-    placed = sets.where("n_shingles > 0").select("set_key", "first_doc", "n_copies", "n_shingles", F.posexplode("nodes").alias("tree", "node"))
+        F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col("text_hash"))).alias("least"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("nodes").alias("nodes"))
+    sets = sets.select("set_key", F.col("least.doc").alias("first_doc"), "least.text_hash", "n_copies", "n_shingles", "nodes")
+    placed = sets.where("n_shingles > 0").select("set_key", "first_doc", "text_hash", "n_copies", "n_shingles", F.posexplode("nodes").alias("tree", "node"))
     shared = placed.groupBy("tree", "node").agg(
         F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"),
         F.bit_xor(F.xxhash64("set_key")).alias("mark"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("mark2"))
@@ -208,8 +210,9 @@ def text_classes(
     shared = shared.select("members", "shingles", "at.tree", "at.node")
     members = keep(placed.drop("n_shingles").join(shared, ["tree", "node"]))
 
-    wanted = members.select("set_key", "first_doc", "n_copies").distinct()
-    found = rows.join(wanted, rows["doc"].eqNullSafe(wanted["first_doc"])).select("text", "set_key", "n_copies")
+    wanted = members.select("set_key", "first_doc", F.col("text_hash").alias("wanted_hash"), "n_copies").distinct()
+    same = rows["doc"].eqNullSafe(wanted["first_doc"]) & (rows["text_hash"] == wanted["wanted_hash"])
+    found = rows.join(wanted, same).select("text", "set_key", "n_copies")
     found = found.mapInArrow(_fetch(size, depth), "set_key binary, n_copies long, shingles binary, nodes binary").dropDuplicates(["set_key"])
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks"))

@@ -102,6 +102,28 @@ def test_one_near_copy_of_equal_and_of_null_ids_stays(spark, base):
     assert [r.n for r in kept if r.doc_id is None] == [3]
 
 
+def test_sets_of_one_id_meet_their_own_rows_only(spark, base, monkeypatch):
+    real, read = forest._fetch, spark.sparkContext.accumulator(0)
+
+    def counted(*settings):
+        fetch = real(*settings)
+
+        def run(batches):
+            def each():
+                for batch in batches:
+                    read.add(batch.num_rows)
+                    yield batch
+
+            return fetch(each())
+
+        return run
+
+    monkeypatch.setattr(forest, "_fetch", counted)
+    rows = [(None if k % 2 else 7, f"{edited(base[k][1], v)} {k}") for k in range(40) for v in (1, 2)]
+    kept = forest.text_classes(spark.createDataFrame(rows, "doc_id long, text string"))[1].where("n_texts > 0").count()
+    assert 20 < kept <= 80 and kept <= read.value <= 3 * len(rows)  # a retried or repeated task counts again
+
+
 def test_prefix_is_shortened_to_the_target():
     depth = forest.prefix_depth(0.8, 0.9999)
     assert forest.expected_recall(0.8, depth) >= 0.9999 > forest.expected_recall(0.8, depth + 1)
