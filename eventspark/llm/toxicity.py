@@ -5,8 +5,9 @@ hashed into 2**18 and counted as present or not. For a feature present in p of P
 r = log(((p + 1) / (P + 2)) / ((q + 1) / (Q + 2))). The features of the largest likelihood-ratio statistic are kept;
 a logistic regression with L2 penalty is fitted on features of value r. The score is its probability.
 
-The model is fitted on at most `TRAIN_ROWS` labelled rows, those of the least hash of their id; Spark makes and counts
-their features, and the fit itself sees some 5 MB. Scoring runs over whole texts of all rows.
+The model is fitted on at most `TRAIN_ROWS` labelled rows of at most as many ids, those of the least hash. Rows of one
+id and text count once; of an id with n texts each hash counts n times, so ids take turns and none drives the fit. Spark
+makes and counts the features; the fit sees some 5 MB, and 4 bytes for each chosen feature of a row at most. Scoring runs over whole texts of all rows.
 
 Null and empty texts have no features and get the model's prior. Labels other than 0 and 1 don't count; an id that is
 labelled twice takes the larger label; null ids have no labels. Without both labels the score is the share of toxic
@@ -26,6 +27,8 @@ from eventspark.llm.frames import free_name, keep
 from eventspark.llm.words import SPACED, Texts, U, mix, slices
 
 TRAIN_ROWS = 20_000
+#: Training rows of one task.
+TASK_ROWS = 1250
 ORDERS, BITS, FEATURES = (3, 4, 5), 18, 1500
 PENALTY, STEPS, INNER = 1e-3, 15, 40
 _BOUNDARY = 10
@@ -160,8 +163,14 @@ def train(documents: DataFrame, labels: DataFrame, learns: Column, doc_id: str =
     marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(learns & F.col("label").isin(0, 1))
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = documents.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    # At most `limit` pairs of numbers are broadcast.
-    rows = keep(rows.join(F.broadcast(marked), "doc_id").select("text", "label").repartition(16))
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
+    # At most `limit` rows of numbers are broadcast each time; texts are read when the rows are chosen.
+    keys = keep(rows.join(F.broadcast(marked), "doc_id").select("doc_id", "hash", "label").distinct())
+    turn = F.col("n") * (F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53)))
+    texts_of = keys.groupBy("doc_id").agg(F.count("*").alias("n"))
+    chosen = keys.join(F.broadcast(texts_of), "doc_id").orderBy(turn, "hash", "doc_id").limit(limit).select("doc_id", "hash", "label")
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
+    rows = keep(rows.select("text", "label").repartition(-(-limit // TASK_ROWS)))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     if not n_clean or not n_toxic:

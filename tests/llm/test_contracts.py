@@ -319,6 +319,18 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity_digest(docs.limit(0), labels, F.lit(False)).count() == 0
 
 
+def test_rows_of_one_id_are_bounded_and_take_turns(spark, monkeypatch):
+    rows = [(0, f"a fine day number {k}") for k in range(300)] + [(k, f"you stupid idiot {k}" if k % 2 else f"good morning {k}") for k in range(1, 41)] * 3
+    labels = odd(spark, [(k, k % 2) for k in range(41)], "doc_id int, toxic int")
+    seen, fit = [], toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, ratio: seen.append(rows) or fit(rows, ratio))
+    docs = odd(spark, rows, "doc_id int, text string")
+    for limit, n, toxic in ((50, 50, 15), (1000, 340, 20)):
+        toxicity.train(docs, labels, F.lit(True), limit=limit)
+        got = seen.pop()
+        assert len(got) == n and toxic <= sum(label for label, _ in got) <= 20
+
+
 # --- 7: main text
 
 
