@@ -1,10 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest: prefix tries of signatures, then exact verification.
+"""N-gram Jaccard join by the one level of a MinHash LSH forest that a threshold needs, then exact verification.
 
 A document's set holds the 64-bit hashes of its runs of `size` words (`[^\\x20\\x09-\\x0D]+`, A-Z lowered); a document
 of fewer words, but not none, has the one run of all its words. Documents with equal sets are one text class and are
-compared once. Each of `TREES` trees sorts the classes by a sequence of minima; a trie node is a prefix of it. The
-matched prefix starts at `MAX_DEPTH` minima and is shortened until a pair at the threshold shares a node in some tree
-with at least the target recall. Nodes with the same members in several trees are compared in one of them. Members of
+compared once. Each of `TREES` trees has a sequence of minima; a node is a prefix of it. The prefix has one depth,
+the largest up to `MAX_DEPTH` at which a pair at the threshold shares a node in some tree with at least the target
+recall. It follows from threshold and recall alone (4 for the defaults), so tries are neither built nor walked: who
+shares a longer prefix shares this one, too, so levels matched before it would add no pair. This equals banded LSH of
+`TREES` bands. A forest's shortening by what was matched serves searches for the k nearest, not all pairs. Nodes with the same members in several trees are compared in one of them. Members of
 a node are compared in blocks of bounded bytes, so a node of any size is spread over tasks, and only counts and one
 edge per member leave a task, never pairs. A pair counts in the first tree where it meets, so counts are exact.
 
