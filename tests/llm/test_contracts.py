@@ -468,3 +468,20 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, medium):
     pieces = corpus_pipeline.STAGES[-1][1](spark, left, medium)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "benchmark", "packing"]
+
+
+def test_pipeline_equals_brute_force(spark, small, whole_ids):
+    import corpus_pipeline
+    from test_jaccard_forest import brute
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    toxic = {r.doc_id for r in llm_queries()["op6_toxicity"](spark, small).where("predicted = 1").collect()}
+    calm = set(docs) - toxic
+    duck = connect(small)
+    table = f"read_parquet('{small}/documents.parquet') WHERE doc_id IN ({','.join(map(str, calm))})"
+    duck.execute(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM {table}")
+    good = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({llm_sql()['op3_quality_rules']}) WHERE kept").fetchall()}
+    firsts = {k for k, (first, *_) in brute([(k, docs[k]) for k in good]).items() if k == first}
+    dirty = {r[0] for r in connect(small).execute(f"SELECT doc_id FROM ({llm_sql()['op4_decontamination']}) WHERE contaminated").fetchall()}
+    assert toxic and calm - good and good - firsts and firsts & dirty and firsts - dirty
+    check_pieces(corpus_pipeline.run(spark, small).collect(), {k: [*whole_ids(docs[k]), 0] for k in firsts - dirty})
