@@ -185,6 +185,13 @@ def op10_jaccard_forest(spark, sf_dir):
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op11_periodic_runs(spark, sf_dir):
+    from eventspark.llm.periodic_runs import runs_digest
+
+    return runs_digest(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def pipeline(spark, sf_dir):
     import corpus_pipeline
