@@ -192,6 +192,13 @@ def op11_periodic_runs(spark, sf_dir):
     return runs_digest(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op13_winnowing(spark, sf_dir):
+    from eventspark.llm.winnowing import fingerprint_digest
+
+    return fingerprint_digest(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def pipeline(spark, sf_dir):
     import corpus_pipeline
