@@ -192,6 +192,13 @@ def op11_periodic_runs(spark, sf_dir):
     return runs_digest(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op12_conversation_repair(spark, sf_dir):
+    from eventspark.llm.conversation_repair import repair_digest
+
+    return repair_digest(_table(spark, sf_dir, "conversations"))
+
+
 @_query()
 def op13_winnowing(spark, sf_dir):
     from eventspark.llm.winnowing import fingerprint_digest
