@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.operators.sizes import join_lookup
+from eventspark.operators.rule_index import match_index, parsed_rules
 from eventspark.sources.config import load_active
 
 RESULT = "rule_id string, result_type string, original_event_id string, tenant_id string, result_data string"
@@ -98,31 +98,13 @@ def run_rule_stages(
 
 
 def match_rules(events: DataFrame, rules: DataFrame, type_col: str = "type", data: str = "data") -> DataFrame:
-    """All threshold rules in one pass over the events.
+    """All threshold rules in one pass over the events, by an index (see `rule_index`).
 
     A rule's config is `{"event_type", "field", "op", "threshold"}`, `op` one of > >= < <= =; the event
     must be of the type and its payload field compare true.
     """
     active = latest_version(rules, "rule_name", "rule_version")
-    part = lambda path: F.get_json_object("rule_config", path)
-    wanted = active.select(
-        F.col("rule_name").alias("rule_id"),
-        part("$.event_type").alias("_event_type"),
-        F.concat(F.lit("$."), part("$.field")).alias("_path"),
-        F.coalesce(part("$.op"), F.lit(">")).alias("_op"),
-        part("$.threshold").cast("double").alias("threshold"),
-    )
-    joined = join_lookup(events, wanted, F.col(type_col) == F.col("_event_type"), "inner")
-    value = F.call_function("get_json_object", F.col(data), F.col("_path")).try_cast("double")
-    limit = F.col("threshold")
-    tested = joined.withColumn("matched_value", value)
-    value = F.col("matched_value")
-    true = (
-        F.when(F.col("_op") == ">", value > limit).when(F.col("_op") == ">=", value >= limit)
-        .when(F.col("_op") == "<", value < limit).when(F.col("_op") == "<=", value <= limit)
-        .when(F.col("_op") == "=", value == limit)
-    )
-    return tested.filter(true).select(*events.columns, "rule_id", "threshold", "matched_value")
+    return match_index(events, parsed_rules(active), type_col, data)
 
 
 def backtest_rules(

@@ -60,6 +60,37 @@ def threshold_rules(t):
     return found.select("event_id", "rule_id", "threshold", "matched_value")
 
 
+# A rule per customer on one of two fields, with all comparisons; most hold for few events.
+CUSTOMER_RULES = """
+SELECT concat('rule-', CAST(c_custkey AS STRING)) AS rule_name, 'THRESHOLD' AS rule_type, '' AS rule_definition,
+  CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'error' ELSE 'signup' END AS event_type,
+  CASE WHEN c_custkey % 2 = 0 THEN 'who.id' ELSE 'value' END AS field,
+  CASE c_custkey % 7 WHEN 0 THEN '>' WHEN 1 THEN '>=' WHEN 2 THEN '<' WHEN 3 THEN '<=' ELSE '=' END AS op,
+  CASE WHEN c_custkey % 7 < 2 THEN 250 + c_custkey % 300 WHEN c_custkey % 7 < 4 THEN c_custkey % 3 ELSE c_custkey % 1000 END AS threshold FROM customer
+"""
+MEASURED = """
+SELECT event_id, event_type, user_id, floor(value) AS whole FROM events
+"""
+
+
+@query(f"""
+WITH r AS ({CUSTOMER_RULES}), e AS ({MEASURED}), m AS (
+  SELECT e.event_id, r.rule_name, r.threshold, CASE WHEN r.field = 'value' THEN whole ELSE user_id END AS v, r.op
+  FROM e JOIN r ON e.event_type = r.event_type)
+SELECT event_id, count(*) AS n_rules, CAST(sum(threshold) AS DOUBLE) AS thresholds, min(rule_name) AS first_rule FROM m
+WHERE (op = '>' AND v > threshold) OR (op = '>=' AND v >= threshold) OR (op = '<' AND v < threshold) OR (op = '<=' AND v <= threshold) OR (op = '=' AND v = threshold)
+GROUP BY event_id""")
+def rule_index(t):
+    given = t.view(CUSTOMER_RULES)
+    config = F.to_json(F.struct("event_type", "field", "op", "threshold"))
+    rules = given.select("rule_name", F.lit(1).alias("rule_version"), "rule_type", "rule_definition", config.alias("rule_config"), F.lit(True).alias("is_active"))
+    payload = F.to_json(F.struct(F.struct(F.col("user_id").alias("id")).alias("who"), F.col("whole").cast("long").alias("value")))
+    events = t.view(MEASURED).select("event_id", "event_type", payload.alias("data"))
+    found = X.match_rules(events, rules, type_col="event_type")
+    return found.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("n_rules"), F.sum("threshold").alias("thresholds"), F.min("rule_id").alias("first_rule"))
+
+
 @query(f"""
 WITH std AS ({STD}), h AS (SELECT tenant_id, CAST(timestamp AS DATE) AS day, value FROM std
   WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-25'),
