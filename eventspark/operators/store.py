@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventspark.operators import id_filter
 from eventspark.operators.sizes import is_small
 from eventspark.schema import DEAD_LETTERS, EVENTS_TABLE
+from eventspark.session import materialise
 from eventspark.sources.history import MONTH, month_of
 
 # Ages in days up to which an event is hot, then warm; older ones are cold.
@@ -73,6 +75,8 @@ def new_events(df: DataFrame, stored: DataFrame | None) -> DataFrame:
 def append_events(df: DataFrame, path: str, within_month: bool = False) -> DataFrame:
     """Append history rows to the month-partitioned table, skipping ids already there.
 
+    A Bloom filter per month (see `id_filter`) tells which ids may be there; the history is read for those only, in
+    the months that may have them, and not at all if there are none. A table without a filter gets one first.
     Returns the rows without an id, which the table can't hold.
     `within_month` looks only at the months that arrive: enough where a repeated event keeps its time,
     as in a replay.
@@ -84,15 +88,29 @@ def append_events(df: DataFrame, path: str, within_month: bool = False) -> DataF
             "created_at": F.coalesce("created_at", now),
         }
     ).select(*EVENTS_TABLE.names)
-    stored = df.sparkSession.read.parquet(path) if _exists(df, path) else None
-    if stored is not None and within_month:
+    spark = df.sparkSession
+    arriving = df.filter("event_id IS NOT NULL").select("event_id", month_of("event_timestamp").alias(MONTH))
+    stored = None
+    if _exists(df, path):
+        if not id_filter.has_filter(spark, path):
+            id_filter.add_ids(spark.read.parquet(path).select("event_id", MONTH), path)
         # One value per month.
-        months = [r[0] for r in df.select(month_of("event_timestamp")).distinct().collect()]
-        stored = stored.filter(F.col(MONTH).isin(months))
+        months = [r[0] for r in arriving.select(MONTH).distinct().collect()] if within_month else None
+        maybe = materialise(id_filter.maybe_stored(arriving.select("event_id").distinct(), path, months))
+        there = [r[0] for r in maybe.select(MONTH).distinct().collect()]
+        if there:
+            stored = _looked_up(spark.read.parquet(path).filter(id_filter.in_months(there)), maybe)
+    id_filter.add_ids(arriving, path)
     _write_by_month(new_events(df, stored), "event_timestamp", path, "append")
     return df.filter("event_id IS NULL")
 
 
+def _looked_up(history: DataFrame, maybe: DataFrame) -> DataFrame:
+    """The ids of `maybe` that the history has."""
+    ids = maybe.select("event_id").distinct()
+    return history.select("event_id").join(F.broadcast(ids) if is_small(ids) else ids, "event_id", "left_semi")
+
+
 def archive(df: DataFrame, path: str, ts: str = "event_timestamp") -> None:
     """Cold archive: month-partitioned, zstd-compressed Parquet."""
     _write_by_month(df, ts, path, "append")

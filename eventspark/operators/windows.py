@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions.clock import elapsed_ms, interval_text, micros
+from eventspark.operators import rollups
 from eventspark.operators.ordered import Running, numbered, prefix, split
 
 # name -> (kind, column); kinds as in `aggregate_column`.
@@ -189,18 +190,8 @@ def tenant_usage(df: DataFrame, size: str = "1d", ts: str = "timestamp") -> Data
     return _flat(counted)
 
 
-def partial_rollup(df: DataFrame, size: str, keys: list[str], aggs: Aggs, ts: str = "timestamp") -> DataFrame:
-    """A rollup that can be maintained; aggregates must be mergeable."""
-    if any(spec[0] not in MERGEABLE for spec in aggs.values()):
-        raise ValueError(f"a maintained rollup takes only {sorted(MERGEABLE)}")
-    return tumbling(df, size, keys, aggs, ts)
-
-
-def maintain_rollup(new: DataFrame, rollup: DataFrame, size: str, keys: list[str], aggs: Aggs, ts: str = "timestamp") -> DataFrame:
-    """The rollup after new rows: their partial aggregates merged into the stored ones."""
-    delta = partial_rollup(new, size, keys, aggs, ts)
-    merged = [aggregate_column(MERGEABLE[spec[0]], name).alias(name) for name, spec in aggs.items()]
-    return rollup.unionByName(delta).groupBy("window_start", "window_end", *keys).agg(*merged)
+# Rollups that can be maintained (see `rollups`); a batch and a stream's micro-batch alike.
+partial_rollup, maintain_rollup = rollups.partial_rollup, rollups.maintain_rollup
 
 
 def latest_state(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from eventspark.operators import rollups as R
 from eventspark.operators import windows as W
 from eventspark.plans.catalog import query
 from eventspark.plans.tables import ARRIVAL, STD, USER_EVENTS
@@ -140,6 +141,27 @@ def rollup_hourly(t):
     return merged.withColumn("total", F.col("total").cast("double")).drop("window_end")
 
 
+@query("""
+SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS spread,
+  TRUE AS p90_is_close, TRUE AS users_are_close FROM events GROUP BY ALL""")
+def rollup_sketches(t):
+    # Hourly rollups of two halves, merged, then made daily; sketched figures are held against exact ones.
+    aggs = {"n": ("count",), "mean": ("avg", "value"), "spread": ("stddev", "value"), "p90": ("percentile", "value", 0.9), "users": ("distinct", "user_id")}
+    keys, half = ["event_type"], "event_id % 2 = 0"
+    stored = R.partial_rollup(t.events.filter(half), "1h", keys, aggs, ts="ts")
+    hourly = R.maintain_rollup(t.events.filter(f"NOT {half}"), stored, "1h", keys, aggs, ts="ts")
+    daily = R.rollup_values(R.coarsen(hourly, "1d", keys, aggs), keys, aggs)
+    rows = t.events.select(F.date_trunc("day", "ts").alias("window_start"), "event_type", "value", "user_id")
+    share = lambda test: F.avg(test.cast("double"))
+    held = rows.join(daily, ["window_start", *keys]).groupBy(*daily.columns).agg(
+        share(F.col("value") < F.col("p90")).alias("below"), share(F.col("value") <= F.col("p90")).alias("upto"), F.countDistinct("user_id").alias("exact"))
+    # The quantile of a sketch is one of the values: its ranks may pass the wanted one by one value more.
+    far = F.greatest(F.col("below") - 0.9, 0.9 - F.col("upto")) - 1 / F.col("n")
+    return held.select(
+        "window_start", "event_type", "n", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"),
+        (far <= 2 * R.KLL_RANK_ERROR).alias("p90_is_close"), (F.abs(F.col("users") - F.col("exact")) <= 4 * R.HLL_ERROR * F.col("exact")).alias("users_are_close"))
+
+
 @query("""
 SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts
 FROM events GROUP BY user_id""")

@@ -11,20 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventspark.operators import store
 from eventspark.operators.rules import match_rules, run_rules
-from eventspark.operators.windows import MERGEABLE, Aggs, aggregate_column, partial_rollup
-
-BATCH = "batch_id"
-
+from eventspark.operators.rollups import Aggs, merge_rollup, partial_rollup, rollup_values
+from eventspark.operators.compaction import BATCH, compact, read_live, runs
 
 def _others(spark: SparkSession, path: str, run: str) -> bool:
     """Whether the target has micro-batches of another checkpoint."""
-    try:
-        files = spark.read.parquet(path).inputFiles()
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
-    return any(f"{BATCH}={run}_" not in name for name in files)
+    return bool(runs(spark, path) - {run})
 
 
 def _start(
@@ -63,7 +55,8 @@ def write_exactly_once(stream: DataFrame, path: str, checkpoint: str, **trigger)
 
 
 def read_exactly_once(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All rows of the stream so far, each once, compacted or not."""
+    return read_live(spark, path)
 
 
 def append_history(
@@ -93,8 +86,12 @@ def write_rollup(
 
 def read_rollup(spark: SparkSession, path: str, keys: list[str], aggs: Aggs) -> DataFrame:
     """The rollup as of now: the stored partial aggregates merged."""
-    merged = [aggregate_column(MERGEABLE[spec[0]], name).alias(name) for name, spec in aggs.items()]
-    return spark.read.parquet(path).groupBy("window_start", "window_end", *keys).agg(*merged)
+    return rollup_values(merge_rollup(read_live(spark, path), keys, aggs), keys, aggs)
+
+
+def compact_rollup(spark: SparkSession, path: str, keys: list[str], aggs: Aggs, **options) -> int:
+    """Merge micro-batch folders of a rollup and their partial rows (see `compaction`)."""
+    return compact(spark, path, lambda rows: merge_rollup(rows, keys, aggs), **options)
 
 
 def run_rules_stream(

@@ -1,13 +1,19 @@
 """Operators that keep state per key between micro-batches.
 
-Each function takes a stream and gives a stream. Rows of a key are put in time order within a
-micro-batch; rows older than ones already seen are taken in as they come, so put `stream_late` or a
-watermark ahead where order matters. A key's rows of one micro-batch are held together: bound
-micro-batches with the source's per-trigger limit.
+Each function takes a stream and gives a stream, and comes in two forms.
+
+With `delay` rows wait in the state until the watermark, so far behind the latest time, has passed them. An event-time
+timer per millisecond then hands them on, in time order whatever order they came in, so results are those of the batch
+operator on all rows that were not later than `delay`; later ones are dropped by Spark. What a key keeps is let go by
+another timer once it can't matter any more: a begun match after its range, a token bucket when it is full again.
+
+Without `delay` rows are taken at once: a key's rows of one micro-batch in time order, held together (bound them with
+the source's per-trigger limit), and rows older than ones already seen as they come. State then stays.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
@@ -30,10 +36,15 @@ def _in_order(rows: Iterable[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r[US], r[TIE]))
 
 
-def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema, mode: str = "None") -> DataFrame:
+def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema, mode: str = "None", ts: str | None = None, delay: str | None = None) -> DataFrame:
+    """The processor over a prepared stream; with `delay` behind a watermark on `ts`, which the stream then has."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     processor.out = schema.names
+    if delay is not None:
+        df = df.withWatermark(ts, f"{micros(delay)} microseconds")
+        processor, mode = _Waiting(processor, df.schema), "EventTime"
+        processor.out = schema.names
     return df.groupBy(key).transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode
     )
@@ -55,6 +66,53 @@ class _Processor(StatefulProcessor):
         pass
 
 
+    #: Microseconds after a key's last row when its state can't matter any more; None: it always may.
+    idle: int | None = None
+
+    def forget(self) -> None:
+        """Let the key's state go."""
+
+
+class _Waiting(_Processor):
+    """Holds rows back until the watermark has passed them and hands them to another processor in time order."""
+
+    def __init__(self, inner: _Processor, schema: StructType):
+        self.inner, self.names = inner, schema.names
+        self.kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema.fields)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.inner.init(handle)
+        self.waiting = handle.getMapState("waiting", "at long", f"rows array<struct<{self.kind}>>")
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        arrived: dict[int, list[tuple]] = {}
+        for row in rows:
+            arrived.setdefault(-(-row[US] // 1000), []).append(tuple(row[n] for n in self.names))
+        for at, some in arrived.items():
+            if self.waiting.containsKey((at,)):
+                some = [*(tuple(r) for r in self.waiting.getValue((at,))[0]), *some]
+            else:
+                self.handle.registerTimer(at)
+            self.waiting.updateValue((at,), (some,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.waiting.containsKey((at,)):
+            made = Row(*self.names)
+            rows = [made(*r) for r in self.waiting.getValue((at,))[0]]
+            self.waiting.removeKey((at,))
+            yield from self.inner.handleInputRows(key, rows, timerValues)
+            if self.inner.idle is not None:
+                self.last.update((at,))
+                self.handle.registerTimer(at + self.inner.idle // 1000 + 2)
+        elif self.last.exists() and self.last.get()[0] + self.inner.idle // 1000 + 2 <= at:
+            self.inner.forget()
+            self.last.clear()
+
+
 class _Value(_Processor):
     """One value of a fixed schema per key."""
 
@@ -66,6 +124,9 @@ class _Value(_Processor):
     def read(self, *default):
         return tuple(self.value.get()) if self.value.exists() else default
 
+    def forget(self) -> None:
+        self.value.clear()
+
 
 class _CountWindows(_Value):
     STATE = "window long, n long, first long"
@@ -84,11 +145,14 @@ class _CountWindows(_Value):
         self.value.update((window, n, first))
 
 
-def stream_count_windows(df: DataFrame, n: int, key: str, ts: str = "timestamp", tie: str = "id") -> DataFrame:
-    """Windows of `n` events per key, given out when full; the open one stays in the state."""
+def stream_count_windows(
+    df: DataFrame, n: int, key: str, ts: str = "timestamp", tie: str = "id", delay: str | None = None
+) -> DataFrame:
+    """Windows of `n` events per key, given out when full; the open one stays in the state, three numbers a key."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, window_index long, event_count long, first_us long, last_us long, complete boolean"
-    found = _run(_prepare(df, ts, tie).select(key, US, TIE), key, _CountWindows(n), schema)
+    prepared = _prepare(df, ts, tie).select(key, US, TIE, *[ts] * (delay is not None))
+    found = _run(prepared, key, _CountWindows(n), schema, ts=ts, delay=delay)
     return found.select(
         key, "window_index", "event_count", F.timestamp_micros("first_us").alias("first_ts"),
         F.timestamp_micros("last_us").alias("last_ts"), "complete",
@@ -120,6 +184,7 @@ def stream_late(df: DataFrame, key: str, delay: str, arrival: str, ts: str = "ti
 class _Relaxed(_Processor):
     def __init__(self, steps: int, within: int, id_type: str):
         self.steps, self.within, self.id_type = steps, within, id_type
+        self.idle = within
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # Begun matches: what they have so far, all waiting for step `len(ids)`.
@@ -146,17 +211,56 @@ class _Relaxed(_Processor):
         else:
             self.open.clear()
 
+    def forget(self) -> None:
+        self.open.clear()
+
+
+class _Strict(_Processor):
+    """The last rows of a key, one fewer than there are steps: a new row completes them or not."""
+
+    def __init__(self, steps: int, within: int, id_type: str):
+        self.steps, self.within, self.id_type = steps, within, id_type
+        self.idle = within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getValueState("recent", f"ids array<{self.id_type}>, times array<long>, met array<array<boolean>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        recent = list(zip(*self.recent.get(), strict=True)) if self.recent.exists() else []
+        for row in _in_order(rows):
+            recent.append((row[TIE], row[US], list(row["_met"])))
+            recent = recent[-self.steps :]
+            if len(recent) == self.steps and row[US] - recent[0][1] <= self.within and all(met[k] for k, (_, _, met) in enumerate(recent)):
+                yield self.row(key[0], [i for i, _, _ in recent], [at for _, at, _ in recent])
+        recent = recent[1 - self.steps :] if self.steps > 1 else []
+        self.recent.update(tuple([list(x) for x in zip(*recent, strict=True)] or [[], [], []]))
+
+    def forget(self) -> None:
+        self.recent.clear()
+
+
+def stream_match_strict(
+    df: DataFrame, key: str, steps: list[tuple[str, Column]], within: str, ts: str = "timestamp", id_col: str = "id", delay: str | None = None
+) -> DataFrame:
+    """The streaming form of `match_strict`; give `delay`, as one row out of order hides or makes a match."""
+    return _matched(df, key, steps, within, ts, id_col, delay, _Strict)
+
 
 def stream_match_relaxed(
-    df: DataFrame, key: str, steps: list[tuple[str, Column]], within: str, ts: str = "timestamp", id_col: str = "id"
+    df: DataFrame, key: str, steps: list[tuple[str, Column]], within: str, ts: str = "timestamp", id_col: str = "id", delay: str | None = None
 ) -> DataFrame:
     """The streaming form of `match_relaxed`; begun matches older than `within` are forgotten."""
+    return _matched(df, key, steps, within, ts, id_col, delay, _Relaxed)
+
+
+def _matched(df: DataFrame, key: str, steps: list[tuple[str, Column]], within: str, ts: str, id_col: str, delay: str | None, kind) -> DataFrame:
     met = F.array(*[F.coalesce(condition, F.lit(False)) for _, condition in steps])
     key_type, id_type = (df.schema[c].dataType.simpleString() for c in (key, id_col))
-    prepared = _prepare(df, ts, id_col).withColumn("_met", met).select(key, US, TIE, "_met")
-    prepared = prepared.filter(F.exists("_met", lambda m: m))
-    processor = _Relaxed(len(steps), micros(within), id_type)
-    found = _run(prepared, key, processor, f"{key} {key_type}, ids array<{id_type}>, times array<long>")
+    prepared = _prepare(df, ts, id_col).withColumn("_met", met).select(key, US, TIE, "_met", *[ts] * (delay is not None))
+    if kind is _Relaxed:  # other rows are no part of a match
+        prepared = prepared.filter(F.exists("_met", lambda m: m))
+    processor = kind(len(steps), micros(within), id_type)
+    found = _run(prepared, key, processor, f"{key} {key_type}, ids array<{id_type}>, times array<long>", ts=ts, delay=delay)
     columns = []
     for place, (name, _) in enumerate(steps):
         columns += [F.col("ids")[place].alias(f"{name}_id"), F.timestamp_micros(F.col("times")[place]).alias(f"{name}_ts")]
@@ -166,12 +270,15 @@ def stream_match_relaxed(
 class _Threshold(_Processor):
     def __init__(self, n: int, within: int, names: list[str]):
         self.n, self.within, self.names = n, within, names
+        self.idle = within
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "times array<long>")
+        self.seen = handle.getValueState("seen", "times array<long>, counts array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times = deque(self.seen.get()[0]) if self.seen.exists() else deque()
+        # An instant and how many rows it has: rows of one instant are one entry.
+        times = deque(zip(*self.seen.get(), strict=True)) if self.seen.exists() else deque()
+        held = sum(n for _, n in times)
         rows = _in_order(rows)
         same = Counter(row[US] for row in rows)
         counted = set()
@@ -180,21 +287,25 @@ class _Threshold(_Processor):
             if now not in counted:
                 # Rows of one instant see each other.
                 counted.add(now)
-                times.extend([now] * same[now])
-                while times and times[0] < now - self.within:
-                    times.popleft()
-            if len(times) >= self.n:
-                yield self.row(*_plain(row, self.names), len(times))
-        self.seen.update((list(times),))
+                times.append((now, same[now]))
+                held += same[now]
+                while times and times[0][0] < now - self.within:
+                    held -= times.popleft()[1]
+            if held >= self.n:
+                yield self.row(*_plain(row, self.names), held)
+        self.seen.update(([at for at, _ in times], [n for _, n in times]))
+
+    def forget(self) -> None:
+        self.seen.clear()
 
 
 def stream_threshold(
-    df: DataFrame, key: str, condition: Column, n: int, within: str, ts: str = "timestamp", tie: str = "id"
+    df: DataFrame, key: str, condition: Column, n: int, within: str, ts: str = "timestamp", tie: str = "id", delay: str | None = None
 ) -> DataFrame:
-    """The streaming form of `match_threshold`; the state holds the times of the trailing `within`."""
+    """The streaming form of `match_threshold`; the state holds the instants of the trailing `within`."""
     prepared = _prepare(df.filter(condition), ts, tie)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", match_count long"
-    return _run(prepared, key, _Threshold(n, micros(within), df.columns), schema)
+    return _run(prepared, key, _Threshold(n, micros(within), df.columns), schema, ts=ts, delay=delay)
 
 
 class _Bucket(_Value):
@@ -202,6 +313,7 @@ class _Bucket(_Value):
 
     def __init__(self, rate: float, burst: int, names: list[str]):
         self.rate, self.burst, self.names = rate, burst, names
+        self.idle = math.ceil(1_000_000 * burst / rate) if rate > 0 else None  # full again, as at first
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # As in the batch form: millionths of tokens, under a nanosecond's shortfall passes.
@@ -218,11 +330,11 @@ class _Bucket(_Value):
 
 
 def stream_token_bucket(
-    df: DataFrame, key: str, rate: float, burst: int, ts: str = "timestamp", tie: str = "id"
+    df: DataFrame, key: str, rate: float, burst: int, ts: str = "timestamp", tie: str = "id", delay: str | None = None
 ) -> DataFrame:
     """The streaming form of `token_bucket`, adding `allowed`."""
     schema = StructType([*df.schema.fields, StructField("allowed", BooleanType())])
-    return _run(_prepare(df, ts, tie), key, _Bucket(rate, burst, df.columns), schema)
+    return _run(_prepare(df, ts, tie), key, _Bucket(rate, burst, df.columns), schema, ts=ts, delay=delay)
 
 
 class _Groups(_Processor):
