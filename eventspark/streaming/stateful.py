@@ -28,21 +28,28 @@ US = "_us"
 TIE = "_tie"
 
 
-def _prepare(df: DataFrame, ts: str, tie: str) -> DataFrame:
+def _prepare(df: DataFrame, ts: str, tie: str, delay: str | None = None) -> DataFrame:
+    if delay is not None:
+        df = df.withWatermark(ts, f"{micros(delay)} microseconds")
     return df.withColumns({US: F.unix_micros(ts), TIE: F.col(tie)})
 
 
+def _only(df: DataFrame, condition: Column, ts: str, delay: str | None) -> DataFrame:
+    """Rows that meet a condition. Behind a watermark it names the time as well, or Spark would filter first and rows
+    that are no part of a result would not tell the time."""
+    return df.filter(condition if delay is None else F.when(F.col(ts).isNotNull(), condition))
+
+
 def _in_order(rows: Iterable[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r[US], r[TIE]))
 
 
-def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema, mode: str = "None", ts: str | None = None, delay: str | None = None) -> DataFrame:
-    """The processor over a prepared stream; with `delay` behind a watermark on `ts`, which the stream then has."""
+def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema, mode: str = "None", delay: str | None = None) -> DataFrame:
+    """The processor over a prepared stream; with `delay` it waits for the stream's watermark."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     processor.out = schema.names
     if delay is not None:
-        df = df.withWatermark(ts, f"{micros(delay)} microseconds")
         processor, mode = _Waiting(processor, df.schema), "EventTime"
         processor.out = schema.names
     return df.groupBy(key).transformWithState(
@@ -151,8 +158,8 @@ def stream_count_windows(
     """Windows of `n` events per key, given out when full; the open one stays in the state, three numbers a key."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, window_index long, event_count long, first_us long, last_us long, complete boolean"
-    prepared = _prepare(df, ts, tie).select(key, US, TIE, *[ts] * (delay is not None))
-    found = _run(prepared, key, _CountWindows(n), schema, ts=ts, delay=delay)
+    prepared = _prepare(df, ts, tie, delay).select(key, US, TIE, *[ts] * (delay is not None))
+    found = _run(prepared, key, _CountWindows(n), schema, delay=delay)
     return found.select(
         key, "window_index", "event_count", F.timestamp_micros("first_us").alias("first_ts"),
         F.timestamp_micros("last_us").alias("last_ts"), "complete",
@@ -256,11 +263,11 @@ def stream_match_relaxed(
 def _matched(df: DataFrame, key: str, steps: list[tuple[str, Column]], within: str, ts: str, id_col: str, delay: str | None, kind) -> DataFrame:
     met = F.array(*[F.coalesce(condition, F.lit(False)) for _, condition in steps])
     key_type, id_type = (df.schema[c].dataType.simpleString() for c in (key, id_col))
-    prepared = _prepare(df, ts, id_col).withColumn("_met", met).select(key, US, TIE, "_met", *[ts] * (delay is not None))
+    prepared = _prepare(df, ts, id_col, delay).withColumn("_met", met).select(key, US, TIE, "_met", *[ts] * (delay is not None))
     if kind is _Relaxed:  # other rows are no part of a match
-        prepared = prepared.filter(F.exists("_met", lambda m: m))
+        prepared = _only(prepared, F.exists("_met", lambda m: m), ts, delay)
     processor = kind(len(steps), micros(within), id_type)
-    found = _run(prepared, key, processor, f"{key} {key_type}, ids array<{id_type}>, times array<long>", ts=ts, delay=delay)
+    found = _run(prepared, key, processor, f"{key} {key_type}, ids array<{id_type}>, times array<long>", delay=delay)
     columns = []
     for place, (name, _) in enumerate(steps):
         columns += [F.col("ids")[place].alias(f"{name}_id"), F.timestamp_micros(F.col("times")[place]).alias(f"{name}_ts")]
@@ -303,9 +310,9 @@ def stream_threshold(
     df: DataFrame, key: str, condition: Column, n: int, within: str, ts: str = "timestamp", tie: str = "id", delay: str | None = None
 ) -> DataFrame:
     """The streaming form of `match_threshold`; the state holds the instants of the trailing `within`."""
-    prepared = _prepare(df.filter(condition), ts, tie)
+    prepared = _only(_prepare(df, ts, tie, delay), condition, ts, delay)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", match_count long"
-    return _run(prepared, key, _Threshold(n, micros(within), df.columns), schema, ts=ts, delay=delay)
+    return _run(prepared, key, _Threshold(n, micros(within), df.columns), schema, delay=delay)
 
 
 class _Bucket(_Value):
@@ -334,7 +341,7 @@ def stream_token_bucket(
 ) -> DataFrame:
     """The streaming form of `token_bucket`, adding `allowed`."""
     schema = StructType([*df.schema.fields, StructField("allowed", BooleanType())])
-    return _run(_prepare(df, ts, tie), key, _Bucket(rate, burst, df.columns), schema, ts=ts, delay=delay)
+    return _run(_prepare(df, ts, tie, delay), key, _Bucket(rate, burst, df.columns), schema, delay=delay)
 
 
 class _Groups(_Processor):

@@ -86,9 +86,18 @@ def test_token_bucket(shuffled, tmp_path):
 
 
 def test_state_of_idle_keys_goes(spark, shuffled, tmp_path):
-    events, stream = shuffled
-    funnel = steps("view", "click", "purchase")
-    drain(stream_match_strict(stream(), "user_id", funnel, "96h", "ts", "event_id", delay=DELAY), tmp_path)
-    read = spark.read.format("statestore").option("stateVarName", "recent").load(str(tmp_path / "out" / "ckpt"))
-    assert events.select("user_id").distinct().count() > 10
-    assert read.count() <= 1  # but for the row in 2030
+    events, _ = shuffled
+    source = tmp_path / "in"
+    row = lambda k, at: events.limit(1).select(F.lit(k).cast("long").alias("event_id"), F.lit("end").alias("event_type"), F.lit(-k).cast("long").alias("user_id"), F.lit(at).cast("timestamp").alias("ts"))
+    events.unionByName(row(-1, "2030-01-01")).coalesce(1).write.parquet(str(source))
+
+    def held():
+        stream = spark.readStream.schema(events.schema).parquet(str(source))
+        drain(stream_match_strict(stream, "user_id", steps("view", "click", "purchase"), "96h", "ts", "event_id", delay=DELAY), tmp_path)
+        read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "out" / "ckpt"))
+        return read("recent").count(), read("last").count()
+
+    keys = events.select("user_id").distinct().count()
+    assert keys > 10 and held() == (keys, keys)  # rows were handed on, their timers come next
+    row(-2, "2031-01-01").coalesce(1).write.mode("append").parquet(str(source))
+    assert max(held()) <= 1  # but for the row in 2030
