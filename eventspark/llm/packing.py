@@ -107,11 +107,11 @@ def _pack(path: str, window: int, with_ids: bool, names: list[str]):
             return out
 
         def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-            columns = [
-                pa.array([r[0] for r in rows], kind), *(pa.array([f(r) for r in rows], pa.int64()) for f in (
-                    lambda r: r[1], lambda r: len(r[2]), lambda r: zlib.crc32(r[2]), lambda r: r[3], lambda r: r[4], lambda r: r[5]))]
+            docs, starts, ids, totals, numbers, places = zip(*rows, strict=True)
+            lengths, sums = list(map(len, ids)), list(map(zlib.crc32, ids))
+            columns = [pa.array(docs, kind), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals, numbers, places))]
             if with_ids:
-                columns.append(pa.array([r[2].tobytes() for r in rows], pa.binary()))
+                columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
             return pa.RecordBatch.from_arrays(columns, names)
 
         kind = None
@@ -121,8 +121,8 @@ def _pack(path: str, window: int, with_ids: bool, names: list[str]):
             for at in range(0, batch.num_rows, 500):
                 rows = []
                 docs = batch.column(0).slice(at, 500).to_pylist()
-                for doc, text in zip(docs, texts.slice(at, 500).to_pylist(), strict=True):
-                    ids = np.append(encode.ids([text])[0], np.uint32(END_ID)).astype("<u4")
+                for doc, own in zip(docs, encode.ids(texts.slice(at, 500).to_pylist()), strict=True):
+                    ids = np.append(own, np.uint32(END_ID)).astype("<u4", copy=False)
                     full = len(ids) // window * window
                     for start in range(0, full, window):
                         rows.append((doc, start, ids[start : start + window], len(ids), number, 0))

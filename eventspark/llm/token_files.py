@@ -33,8 +33,9 @@ BLOCK_DOCS, BLOCK_IDS = 1000, 1 << 21
 _BLOCK = "part long, block long, dictionary_sha256 string, n_ids long, doc_ids binary, counts binary, frame_at binary, frames binary"
 
 
-def _ids(encode, text: str | None, end: int, kind: str) -> bytes:
-    return np.append(encode.ids([text])[0], np.uint32(end)).astype(kind).tobytes()
+def _ids(encode, texts: list[str | None], end: int, kind: str) -> list[bytes]:
+    last = np.array([end], kind).tobytes()
+    return [ids.astype(kind).tobytes() + last for ids in encode.ids(texts)]
 
 
 def _ipc(column: pa.Array) -> bytes:
@@ -75,16 +76,18 @@ def _write_blocks(tokenizer: str, end: int, kind: str, shared):
 
         size, held = np.dtype(kind).itemsize, 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                raw = _ids(encode, batch.column(1)[k].as_py(), end, kind)
-                docs.append(batch.column(0).slice(k, 1))
-                counts.append(len(raw) // size)
-                frames.append(pack.compress(raw))
-                held += counts[-1]
-                if len(docs) >= BLOCK_DOCS or held >= BLOCK_IDS:
-                    held = 0
-                    yield block()
-        if docs:
+            ids, texts, taken = batch.column(0), batch.column(1), 0
+            for at in range(0, batch.num_rows, 100):
+                for k, raw in enumerate(_ids(encode, texts.slice(at, 100).to_pylist(), end, kind), at + 1):
+                    counts.append(len(raw) // size)
+                    frames.append(pack.compress(raw))
+                    held += counts[-1]
+                    if len(counts) >= BLOCK_DOCS or held >= BLOCK_IDS:
+                        docs.append(ids.slice(taken, k - taken))
+                        taken, held = k, 0
+                        yield block()
+            docs.append(ids.slice(taken))
+        if counts:
             yield block()
 
     return blocks
@@ -100,7 +103,7 @@ def write_corpus(documents: DataFrame, tokenizer: str, path: str, doc_id: str =
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encode = encoder(tokenizer)
-            yield pa.RecordBatch.from_arrays([pa.array([_ids(encode, t, end, kind) for t in batch.column(0).to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(encode, batch.column(0).to_pylist(), end, kind), pa.binary())], ["ids"])
 
     chosen = rows.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(some)) == 0).select("text").limit(SAMPLE_DOCS)
     samples = sorted(r.ids for r in chosen.mapInArrow(sample, "ids binary").collect())

@@ -2,23 +2,26 @@
 
 A byte-level vocabulary never merges across the places where its pattern splits a text. A text is cut before each
 single space and around each line break, which are such places as long as no white-space run is longer than two and
-none ends the text; other texts are encoded whole. A new piece of Latin letters and signs is split by the pattern and
+none ends the text; other texts, and those that spell out a special token, are encoded whole. A new piece of Latin letters and signs is split by the pattern and
 its words go to the library's merge model; any other piece goes through the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 import regex
 
 #: Pieces in the younger half of a worker's memo; the older half is as large.
-MEMO_PIECES = 350_000
+MEMO_PIECES = 900_000
 _RUN = regex.compile(r"\s\s\s|\s\s\Z|\x00")
 _PAIRS = ("  ", "\n\n", "\n ", " \n")
 _LAST_PLAIN = "ɏ"
+#: A word of Latin letters after at most one space, and a sign behind it: two words to the pattern.
+_PLAIN = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([,.;:!?]?)")
 
 
 def _must_stay_whole(text: str) -> bool:
@@ -35,8 +38,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Memo(dict):
+    """Pieces and their ids as bytes; a piece that is asked for the first time is learned."""
+
+    def __init__(self, learn):
+        super().__init__({"": b""})
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = found = self.learn(piece)
+        return found
+
+
 class Encoder:
-    """`ids(texts)` gives one little-endian unsigned 32-bit id array per text (None: empty)."""
+    """`ids(texts)` gives one little-endian unsigned 32-bit id array per text (None: empty), as the library's
+    `encode(text, add_special_tokens=False)` does: a special token that a text spells out becomes its id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,65 +61,59 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
         self.level = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = _byte_letters()
         self.space = self.letters[32]
         self.raw = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.young: dict[str, bytes] = {"": b""}
+        self.young = _Memo(self._learned)
         self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        """The ids of what the pattern takes as one word, by the library's merge model."""
+        if word.isascii():
+            mapped = word.replace(" ", self.space)
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenize(mapped)])
+
+    def _part(self, word: str) -> bytes:
         found = self.young.get(word) or self.old.get(word)
         if found is None:
-            if word.isascii():
-                mapped = word.replace(" ", self.space)
-            else:
-                mapped = word.encode().decode("latin-1").translate(self.letters)
-            found = b"".join([self.raw[t.id] for t in self.model.tokenize(mapped)])
-            self.young[word] = found
+            self.young[word] = found = self._word(word)
         return found
 
     def _learned(self, piece: str) -> bytes:
-        found = self.young.get(piece) or self.old.get(piece)
-        if found is None:
-            bare = piece[1:] if piece[0] == " " else piece
-            if not bare.isprintable() or max(bare, default="\n") > _LAST_PLAIN:
-                found = self._whole(piece)
-            elif bare.isalpha():
-                found = self._word(piece)
-            elif bare[:-1].isalpha() and bare[-1] in ",.;:!?":
-                found = self._word(piece[:-1]) + self._word(piece[-1])
-            else:
-                found = b"".join(map(self._word, self.pattern.findall(piece)))
-        self.young[piece] = found
-        return found
+        found = self.old.get(piece)
+        if found is not None:
+            return found
+        plain = _PLAIN.fullmatch(piece)
+        if plain:
+            word, sign = plain.groups()
+            return self._part(word) + self._part(sign) if sign else self._word(word)
+        bare = piece[1:] if piece[0] == " " else piece
+        if not bare.isprintable() or max(bare, default="\n") > _LAST_PLAIN:
+            return self._whole(piece)
+        return b"".join(map(self._part, self.pattern.findall(piece)))
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        young = self.young
         for text in texts:
             if not text:
                 out.append(np.empty(0, "<u4"))
-                continue
-            if not self.level or _must_stay_whole(text):
+            elif not self.level or _must_stay_whole(text) or any(token in text for token in self.special):
                 out.append(np.frombuffer(self._whole(text), "<u4"))
-                continue
-            if len(young) > MEMO_PIECES:
-                self.old, self.young = young, {"": b""}
-                young = self.young
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            found = list(map(young.get, pieces))
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                found[at] = self._learned(pieces[at])
-            out.append(np.frombuffer(b"".join(found), "<u4"))
+            else:
+                if len(self.young) > MEMO_PIECES:
+                    self.old, self.young = self.young, _Memo(self._learned)
+                pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                out.append(np.frombuffer(b"".join(map(self.young.__getitem__, pieces)), "<u4"))
         return out
 
 

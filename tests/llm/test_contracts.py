@@ -206,7 +206,6 @@ def test_small_blocks_spans_and_odd_rows(spark, monkeypatch):
 @pytest.fixture(scope="module")
 def whole_ids():
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     return lambda text: library.encode(text or "", add_special_tokens=False).ids
 
 
