@@ -1,34 +1,26 @@
 """Payload schemas stored as data: binding, checks, compatibility and evolution.
 
-Schema definitions are Avro schema text, read as JSON.
+Schema definitions are Avro or JSON Schema texts (column `schema_type`; without it Avro), read as JSON.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.operators.ordered import Running, prefix, split
+from eventspark.operators.schema_tree import Envelope, problems, rules, tree
 from eventspark.operators.sizes import join_lookup
 from eventspark.sources.config import load_active
 
 _DEFINITION = "struct<name string, fields array<struct<name string, type variant, `default` variant>>>"
 NAME = ["schema_name", "schema_version"]
 
-# Kinds a payload value may have for each Avro type. Any other name is a reference to a named type.
-KINDS = {
-    "string": "STRING", "bytes": "STRING", "fixed": "STRING", "enum": "STRING", "boolean": "BOOLEAN",
-    "int": "BIGINT", "long": "BIGINT", "null": "VOID",
-    "float": "DOUBLE|DECIMAL|BIGINT", "double": "DOUBLE|DECIMAL|BIGINT",
-    "array": "ARRAY", "map": "OBJECT", "record": "OBJECT",
-}
-NAMED = "OBJECT|STRING"
-# old>new types a reader may promote.
-PROMOTIONS = [
-    "int>long", "int>float", "int>double", "long>float", "long>double", "float>double", "string>bytes", "bytes>string",
-]
 # The compatibility levels that are checked; others are refused.
-LEVELS = ["BACKWARD", "FORWARD", "FULL", "NONE"]
+LEVELS = ["BACKWARD", "FORWARD", "FULL", "NONE", "BACKWARD_TRANSITIVE", "FORWARD_TRANSITIVE", "FULL_TRANSITIVE"]
 # Problems that break each compatibility level.
 BACKWARD = ["added_without_default", "type_changed"]
 FORWARD = ["removed_without_default", "type_changed_back"]
@@ -80,69 +72,108 @@ def bind_schema(events: DataFrame, schemas: DataFrame, type_col: str = "type") -
     return join_lookup(events, renamed, on, "left").drop("_version")
 
 
-def _base(name: Column) -> Column:
-    return F.substring_index(name, ":", 1)
-
+_RULE = ("array<struct<path string, kind string, open boolean, fields array<struct<name string, path string, kinds array<string>, "
+         "optional boolean, small boolean, symbols array<string>>>>>")
+_ERRORS = "array<struct<field:string,code:string>>"
 
-def _content(name: Column) -> Column:
-    """What a complex type holds; empty for others."""
-    return F.substring(name, F.length(_base(name)) + 2, F.length(name))
 
+def _typed(schemas: DataFrame) -> Column:
+    return F.col("schema_type") if "schema_type" in schemas.columns else F.lit("AVRO")
 
-def _is_of(value: Column, name: Column) -> Column:
-    """Whether a value has the kind of a type, looking into it for an `int`'s range only."""
-    pattern = F.lit(NAMED)
-    for avro, kinds in KINDS.items():
-        pattern = F.when(_base(name) == avro, F.lit(kinds)).otherwise(pattern)
-    kind = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
-    in_range = (name != "int") | F.try_variant_get(value, "$", "int").isNotNull()
-    return F.array_contains(F.split(pattern, r"\|"), kind) & in_range
 
+def schema_rules(schemas: DataFrame) -> DataFrame:
+    """Schema versions with `rules`, their flattened paths by the path that holds them (null: can't be read)."""
+    @F.udf(_RULE, useArrow=True)
+    def flat(definition: str, kind: str):
+        return rules(tree(definition, kind))
 
-def _kind_ok(value: Column, types: Column) -> Column:
-    def accepts(name: Column) -> Column:
-        base, content = _base(name), _content(name)
-        inner = F.when(base == "array", F.try_variant_get(value, "$", "array<variant>")).when(
-            base == "map", F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))
-        held = F.coalesce(F.forall(inner, lambda v: _is_of(v, content)), F.lit(True)) | (content == "")
-        symbol = (base != "enum") | (content == "") | F.array_contains(F.split(content, ","), F.try_variant_get(value, "$", "string"))
-        return F.coalesce(_is_of(value, name) & held & symbol, F.lit(False))
+    found = schemas.withColumn("_rules", flat("schema_definition", _typed(schemas)))
+    by_path = F.map_from_entries(F.transform("_rules", lambda r: F.struct(r["path"], r.dropFields("path"))))
+    return found.withColumn("rules", by_path).drop("_rules")
 
-    return F.exists(types, accepts)
 
+def _depth(schemas: DataFrame) -> int:
+    """How many levels of objects, arrays and maps the schemas have."""
+    level = F.array_max(F.transform(F.map_keys("rules"), lambda p: F.length(F.regexp_replace(p, r"[^.\[{]", "")) + F.when(p == "", 1).otherwise(2)))
+    return schemas.select(level.alias("n")).agg(F.max("n")).first()[0] or 1
 
-def _errors(data: Column, fields: Column) -> Column:
-    """Array of (field, code): missing, wrong_type, unknown."""
-    members = F.try_variant_get(F.try_parse_json(data), "$", "map<string,variant>")
 
-    def entry(name: Column, code: str) -> Column:
-        return F.struct(name.alias("field"), F.lit(code).alias("code"))
+def _children(at: Column, rules: Column) -> Column:
+    """(rule of the member, value, where an error is told) of everything that one object, array or map holds."""
+    rule = F.try_element_at(rules, at["path"])
+    members = F.try_variant_get(at["value"], "$", "map<string,variant>")
+    only = F.get(rule["fields"], F.lit(0))
 
-    def of_field(f: Column) -> Column:
-        value = F.try_element_at(members, f["name"])
-        return F.when(value.isNull() & ~f["has_default"], entry(f["name"], "missing")).when(
-            value.isNotNull() & ~_kind_ok(value, f["types"]), entry(f["name"], "wrong_type")
-        )
+    def all_of(values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(only.alias("f"), v.alias("value"), at["path"].alias("told")))
 
-    known = F.transform(fields, lambda f: f["name"])
-    unknown = F.transform(F.array_except(F.map_keys(members), known), lambda k: entry(k, "unknown"))
-    none = F.array().cast("array<struct<field:string,code:string>>")
-    not_object = F.array(entry(F.lit("data"), "not_an_object"))
+    fields = F.transform(rule["fields"], lambda f: F.struct(f.alias("f"), F.try_element_at(members, f["name"]).alias("value"), f["path"].alias("told")))
     return (
-        F.when(fields.isNull(), none)
-        .when(members.isNull(), not_object)
-        .otherwise(F.concat(F.array_compact(F.transform(fields, of_field)), unknown))
-    )
+        F.when(rule["kind"] == "record", F.when(members.isNotNull(), fields))
+        .when(rule["kind"] == "map", all_of(F.map_values(members)))
+        .otherwise(all_of(F.try_variant_get(at["value"], "$", "array<variant>"))))
+
+
+def _fits(c: Column) -> Column:
+    f, value = c["f"], c["value"]
+    kind = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+    in_range = ~f["small"] | (kind != "BIGINT") | F.try_variant_get(value, "$", "int").isNotNull()
+    symbol = f["symbols"].isNull() | (kind != "STRING") | F.array_contains(f["symbols"], F.try_variant_get(value, "$", "string"))
+    right = F.array_contains(f["kinds"], kind) & in_range & F.coalesce(symbol, F.lit(True))
+    return F.coalesce(F.array_contains(f["kinds"], "ANY") | right, F.lit(False))
+
+
+def _entry(name: Column, code: str) -> Column:
+    return F.struct(name.alias("field"), F.lit(code).alias("code"))
+
+
+def _unknown(at: Column, rules: Column) -> Column:
+    rule = F.try_element_at(rules, at["path"])
+    keys = F.map_keys(F.try_variant_get(at["value"], "$", "map<string,variant>"))
+    left = F.array_except(keys, F.transform(rule["fields"], lambda f: f["name"]))
+    told = F.transform(left, lambda k: _entry(F.when(at["path"] == "", k).otherwise(F.concat(at["path"], F.lit("."), k)), "unknown"))
+    return F.when((rule["kind"] == "record") & ~rule["open"] & keys.isNotNull(), told).otherwise(F.array().cast(_ERRORS))
+
+
+def with_errors(df: DataFrame, data: str, levels: int, name: str = "payload_errors") -> DataFrame:
+    """Adds an array of (field, code): missing, wrong_type, unknown; the schema's paths are in column `rules`.
+
+    The payload is parsed once and walked a level of the schema at a time; only values that fit are entered.
+    """
+    none = F.array().cast(_ERRORS)
+    root = F.try_parse_json(data)
+    found = df.withColumn("_root", root)
+    is_object = F.try_variant_get("_root", "$", "map<string,variant>").isNotNull()
+    start = F.when(F.col("rules").isNotNull() & is_object, F.array(F.struct(F.lit("").alias("path"), F.col("_root").alias("value"))))
+    found = found.withColumns({"_at": start, "_errors": F.when(F.col("rules").isNotNull() & ~F.coalesce(is_object, F.lit(False)), F.array(_entry(F.lit("data"), "not_an_object"))).otherwise(none)})
+    for _ in range(levels):
+        found = found.withColumn("_held", F.flatten(F.filter(F.transform("_at", lambda at: _children(at, F.col("rules"))), lambda x: x.isNotNull())))
+        judged = F.transform("_held", lambda c: F.struct(
+            c["told"].alias("told"), c["f"]["path"].alias("path"), c["value"].alias("value"), c["f"]["optional"].alias("optional"),
+            F.when(c["value"].isNotNull(), _fits(c)).alias("fits")))
+        found = found.withColumn("_held", judged)
+        wrong = F.array_compact(F.transform("_held", lambda c: F.when(c["value"].isNull() & ~c["optional"], _entry(c["told"], "missing")).when(
+            ~c["fits"], _entry(c["told"], "wrong_type"))))
+        unknown = F.flatten(F.transform("_at", lambda at: _unknown(at, F.col("rules"))))
+        into = F.filter("_held", lambda c: c["fits"] & F.map_contains_key("rules", c["path"]))
+        found = found.withColumns({
+            "_errors": F.concat("_errors", F.coalesce(wrong, none), F.coalesce(unknown, none)),
+            "_at": F.transform(into, lambda c: F.struct(c["path"].alias("path"), c["value"].alias("value")))})
+    return found.withColumn(name, F.array_distinct("_errors")).drop("_root", "_at", "_errors", "_held")
 
 
 def check_payload(events: DataFrame, schemas: DataFrame, type_col: str = "type", data: str = "data") -> DataFrame:
-    """Events with `payload_errors` against their registered schema, and `schema_found`."""
-    slim = schema_fields(schemas).select(*NAME, "is_active", "fields")
-    bound = bind_schema(events, slim, type_col)
-    checked = bound.withColumns(
-        {"schema_found": F.col("schema_name").isNotNull(), "payload_errors": _errors(F.col(data), F.col("fields"))}
-    )
-    return checked.drop("schema_name", "is_active", "fields")
+    """Events with `payload_errors` against their registered schema, and `schema_found`.
+
+    Errors have the path of the field, `a.b` in a record, `a[].b` in an array of records; an item or a map's value of
+    the wrong type counts against the array or map. A schema that can't be read is the error `unreadable` of `schema`.
+    """
+    slim = schema_rules(schemas).select(*NAME, "is_active", "rules").withColumn("_read", F.col("rules").isNotNull())
+    bound = bind_schema(events, slim, type_col).withColumn("schema_found", F.col("schema_name").isNotNull())
+    checked = with_errors(bound, data, _depth(slim))
+    unread = F.array(_entry(F.lit("schema"), "unreadable"))
+    checked = checked.withColumn("payload_errors", F.when(~F.col("_read"), unread).otherwise(F.col("payload_errors")))
+    return checked.drop("schema_name", "is_active", "rules", "_read")
 
 
 def _changes(schemas: DataFrame) -> DataFrame:
@@ -186,50 +217,67 @@ def schema_lineage(schemas: DataFrame) -> DataFrame:
     return _changes(schemas).select(*NAME, "previous_version", F.inline("changes"))
 
 
-def _readable(written: Column, reader: Column) -> Column:
-    """Every written type is also a reader type or can be promoted to one, also inside arrays and maps.
+def _against(level: Column) -> Column:
+    """The problems that a level doesn't allow."""
+    level = F.regexp_replace(level, "_TRANSITIVE$", "")
+    return (
+        F.when(level == "BACKWARD", F.array(*map(F.lit, BACKWARD)))
+        .when(level == "FORWARD", F.array(*map(F.lit, FORWARD)))
+        .when(level == "FULL", F.array(*map(F.lit, BACKWARD + FORWARD)))
+        .otherwise(F.array().cast("array<string>")))
 
-    An enumeration is read by one that has all its symbols. Records are read by equal ones only.
+
+def _transitive(versions: DataFrame) -> DataFrame:
+    """(schema_name, schema_version, _all): problems against all earlier versions of the name.
+
+    A name's versions pass one task in order, as a stream that keeps what all versions so far have had.
     """
-    def read(w: Column, r: Column) -> Column:
-        same = _base(w) == _base(r)
-        inner = F.concat(_content(w), F.lit(">"), _content(r)).isin(PROMOTIONS) & _base(w).isin("array", "map")
-        symbols = (_base(w) == "enum") & (F.size(F.array_except(F.split(_content(w), ","), F.split(_content(r), ","))) == 0)
-        return (w == r) | F.concat(w, F.lit(">"), r).isin(PROMOTIONS) | (same & (inner | symbols))
-
-    return F.forall(written, lambda w: F.exists(reader, lambda r: read(w, r)))
-
-
-def _problems(c: Column) -> Column:
-    changed = c["change"] == "type_changed"
-    return F.array(
-        F.when((c["change"] == "added") & ~c["new_default"], "added_without_default"),
-        F.when((c["change"] == "removed") & ~c["old_default"], "removed_without_default"),
-        F.when(changed & ~_readable(c["old_types"], c["new_types"]), "type_changed"),
-        F.when(changed & ~_readable(c["new_types"], c["old_types"]), "type_changed_back"),
-    )
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, before, read = None, Envelope(), True
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                if row["schema_name"] != name:
+                    name, before, read = row["schema_name"], Envelope(), True
+                new = tree(row["schema_definition"], row["_type"])
+                read = read and new is not None
+                found.append(sorted(before.problems(new)) if read else ["unreadable"])
+                if new is not None:
+                    before.add(new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["schema_name", "schema_version", "_all"])
+
+    rows = versions.select(*NAME, "schema_definition", "_type").repartition("schema_name").sortWithinPartitions(*NAME)
+    return rows.mapInArrow(walk, "schema_name string, schema_version int, _all array<string>")
 
 
 def check_compat(schemas: DataFrame) -> DataFrame:
     """Each version after the first: `problems` against the one before and whether its level allows them.
 
-    Levels count without regard to case. One that isn't checked here, such as the transitive ones, is the problem
-    `unknown_level` and not compatible.
+    Versions are compared path by path at any depth. A transitive level counts the problems against all earlier
+    versions. Levels count without regard to case; another level is the problem `unknown_level` and not compatible,
+    and so is a schema text that can't be read (`unreadable`), unless the level is NONE.
     """
-    problems = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform("changes", _problems)))))
-    level = F.upper(F.coalesce("compatibility_level", F.lit("BACKWARD")))
-    against = (
-        F.when(level == "BACKWARD", F.array(*map(F.lit, BACKWARD)))
-        .when(level == "FORWARD", F.array(*map(F.lit, FORWARD)))
-        .when(level == "FULL", F.array(*map(F.lit, BACKWARD + FORWARD)))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    checked = _changes(schemas).select(*NAME, "previous_version", "compatibility_level", problems.alias("problems"))
-    unknown = ~level.isin(LEVELS)
-    return checked.withColumns({
-        "is_compatible": ~unknown & ~F.arrays_overlap(F.col("problems"), against),
-        "problems": F.when(unknown, F.array_append("problems", F.lit("unknown_level"))).otherwise(F.col("problems")),
-    })
+    versions = schemas.withColumn("_type", _typed(schemas)).withColumn("_level", F.upper(F.coalesce("compatibility_level", F.lit("BACKWARD"))))
+    own = F.struct(F.col("schema_version").alias("version"), F.col("schema_definition").alias("text"), F.col("_type").alias("kind"))
+    rows = prefix(split(versions, ["schema_name"], ["schema_version"]), {"_before": Running("last", own)}, inclusive=False).result()
+
+    @F.udf("array<string>", useArrow=True)
+    def compared(old: str, old_kind: str, new: str, new_kind: str):
+        return problems(tree(old, old_kind), tree(new, new_kind))
+
+    later = rows.filter(F.col("_before").isNotNull())
+    later = later.withColumn("problems", compared("_before.text", "_before.kind", "schema_definition", "_type"))
+    wide = versions.filter(F.col("_level").endswith("_TRANSITIVE")).select("schema_name").distinct()
+    if not wide.isEmpty():
+        whole = _transitive(versions.join(wide, "schema_name", "left_semi"))
+        later = later.join(whole, NAME, "left").withColumn(
+            "problems", F.when(F.col("_level").endswith("_TRANSITIVE"), F.col("_all")).otherwise(F.col("problems")))
+    unknown = ~F.col("_level").isin(LEVELS)
+    unread = F.array_contains("problems", "unreadable") & (F.col("_level") != "NONE")
+    return later.select(
+        *NAME, F.col("_before.version").alias("previous_version"), "compatibility_level",
+        F.when(unknown, F.array_append("problems", F.lit("unknown_level"))).otherwise(F.col("problems")).alias("problems"),
+        (~unknown & ~unread & ~F.arrays_overlap("problems", _against(F.col("_level")))).alias("is_compatible"))
 
 
 def newest_schemas(schemas: DataFrame) -> DataFrame:
@@ -241,11 +289,11 @@ def breaking_events(events: DataFrame, schemas: DataFrame, type_col: str = "type
 
     A field the newest schema does not know is no break (a reader skips it); a promotable number is none either.
     """
-    fields = schema_fields(newest_schemas(schemas)).select(F.col("schema_name").alias("_name"), "fields")
-    bound = join_lookup(events, fields, F.col(type_col) == F.col("_name"), "inner")
-    errors = F.filter(_errors(F.col(data), F.col("fields")), lambda e: e["code"] != "unknown")
-    return bound.groupBy(F.col(type_col).alias("schema_name"), "schema_version").agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_if(F.size(errors) > 0).alias("broken_count")
+    newest = schema_rules(newest_schemas(schemas)).select(F.col("schema_name").alias("_name"), "rules")
+    bound = join_lookup(events, newest, F.col(type_col) == F.col("_name"), "inner")
+    errors = F.filter("_found", lambda e: e["code"] != "unknown")
+    return with_errors(bound, data, _depth(newest), "_found").groupBy(F.col(type_col).alias("schema_name"), "schema_version").agg(
+        F.count(F.lit(1)).alias("event_count"), F.count_if((F.size(errors) > 0) | F.col("rules").isNull()).alias("broken_count")
     )
 
 

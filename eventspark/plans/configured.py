@@ -222,7 +222,7 @@ def breaking_events_found(t):
     return G.breaking_events(_versioned(t).withColumn("data", made), newest)
 
 
-# Pairs of versions by what changes; each is checked at every level, written in either case.
+# Pairs of versions of a field's type by what changes.
 PAIRS = {
     "items": ('{"type":"array","items":"string"}', '{"type":"array","items":"long"}'), "wider": ('{"type":"array","items":"int"}', '{"type":"array","items":"long"}'),
     "nested": ('{"type":"record","name":"N","fields":[{"name":"x","type":"int"}]}', '{"type":"record","name":"N","fields":[{"name":"x","type":"string"}]}'),
@@ -231,22 +231,59 @@ PAIRS = {
 
 
 @query("""
-WITH k AS (SELECT DISTINCT event_id % 5 AS pair, event_id % 4 AS level FROM events)
-SELECT concat(['items', 'wider', 'nested', 'symbols', 'bytes'][pair + 1], '-', ['backward', 'FORWARD', 'FULL', 'BACKWARD_TRANSITIVE'][level + 1]) AS schema_name,
-  level <> 3 AND (pair = 4 OR (pair = 1 AND level = 0) OR (pair = 3 AND level = 1)) AS is_compatible, level = 3 AS unknown_level FROM k""")
+WITH k AS (SELECT event_id, event_id % 5 AS pair, (event_id // 5) % 5 AS level FROM events)
+SELECT event_id, level <> 4 AND (pair = 4 OR (pair = 1 AND level IN (0, 3)) OR (pair = 3 AND level = 1)) AS is_compatible FROM k""")
 def schema_compat_nested(t):
-    # One schema name per event, so the check grows with the table; its verdicts are told once each.
-    kinds = t.events.select("event_id", (F.col("event_id") % 5).alias("pair"), (F.col("event_id") % 4).alias("level"))
-    level = F.element_at(F.array(*map(F.lit, ("backward", "FORWARD", "FULL", "BACKWARD_TRANSITIVE"))), (F.col("level") + 1).cast("int"))
+    # A schema per event with two versions.
+    levels = ("backward", "FORWARD", "FULL", "BACKWARD_TRANSITIVE", "SIDEWAYS")
+    kinds = t.events.select("event_id", (F.col("event_id") % 5).alias("pair"), (F.floor(F.col("event_id") / 5) % 5).alias("level"))
+    level = F.element_at(F.array(*map(F.lit, levels)), (F.col("level") + 1).cast("int"))
     name = F.element_at(F.array(*map(F.lit, PAIRS)), (F.col("pair") + 1).cast("int"))
     both = F.create_map(*[F.lit(x) for k, pair in PAIRS.items() for x in (k, json.dumps(pair))])
     texts = F.from_json(both[name], "array<string>")
-    versions = kinds.select(F.concat(name, F.lit("-"), level, F.lit("-"), "event_id").alias("schema_name"), level.alias("compatibility_level"), F.posexplode(texts).alias("v", "type"))
+    versions = kinds.select(F.col("event_id").cast("string").alias("schema_name"), level.alias("compatibility_level"), F.posexplode(texts).alias("v", "type"))
     schemas = versions.select(
         "schema_name", (F.col("v") + 1).alias("schema_version"), "compatibility_level", F.lit(True).alias("is_active"),
         F.concat(F.lit('{"type":"record","name":"E","fields":[{"name":"f","type":'), "type", F.lit("}]}")).alias("schema_definition"))
-    kind = F.regexp_replace("schema_name", "-[^-]*$", "").alias("schema_name")
-    return G.check_compat(schemas).select(kind, "is_compatible", F.array_contains("problems", "unknown_level").alias("unknown_level")).distinct()
+    return G.check_compat(schemas).select(F.col("schema_name").cast("long").alias("event_id"), "is_compatible")
+
+
+# A customer's orders as versions, one record deeper; each level counts against all versions before.
+@query(f"""
+WITH v AS ({VERSIONS}), k AS (SELECT *, CASE kind WHEN 'int' THEN 1 WHEN 'long' THEN 2 ELSE 3 END AS place FROM v),
+w AS (SELECT schema_name, schema_version, field, place, has_default,
+    count(*) OVER (PARTITION BY schema_name ORDER BY schema_version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    count(*) OVER f AS same, count(*) FILTER (place = 1) OVER f AS ints, count(*) FILTER (place = 2) OVER f AS longs, count(*) FILTER (place = 3) OVER f AS texts FROM k
+  WINDOW f AS (PARTITION BY schema_name, field ORDER BY schema_version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT schema_name, schema_version, NOT ((before > same AND NOT has_default) OR (place = 1 AND longs + texts > 0) OR (place = 2 AND texts > 0) OR (place = 3 AND ints + longs > 0)) AS is_compatible
+FROM w WHERE before > 0""")
+def schema_compat_transitive(t):
+    default = F.when(F.col("has_default"), F.lit(',"default":0')).otherwise("")
+    definition = F.concat(
+        F.lit('{"type":"record","name":"R","fields":[{"name":"in","type":{"type":"record","name":"I","fields":[{"name":"'), "field",
+        F.lit('","type":"'), "kind", F.lit('"'), default, F.lit("}]}}]}"))
+    versions = t.view(VERSIONS).withColumns({"schema_definition": definition, "compatibility_level": F.lit("BACKWARD_TRANSITIVE")})
+    return G.check_compat(versions).select("schema_name", "schema_version", "is_compatible")
+
+
+# Orders in two-deep payloads: a text for a number inside an array of records, a field missing, one unknown.
+@query("""
+SELECT event_id, concat_ws(',', CASE WHEN event_id % 3 = 0 THEN 'order.lines[].price:wrong_type' END, CASE WHEN event_id % 4 = 0 THEN 'order.lines[].part:missing' END,
+  CASE WHEN event_id % 5 = 0 THEN 'order.note:unknown' END, CASE WHEN event_id % 7 = 0 THEN 'order.tags:wrong_type' END) AS payload_errors FROM events""")
+def payload_check_nested(t):
+    line = '{"type":"record","name":"L","fields":[{"name":"part","type":"int"},{"name":"price","type":"double"}]}'
+    order = ('{"type":"record","name":"O","fields":[{"name":"lines","type":{"type":"array","items":%s}},{"name":"tags","type":{"type":"map","values":"string"}}]}' % line)
+    schemas = t.spark.createDataFrame(
+        [(kind, 1, '{"type":"record","name":"E","fields":[{"name":"order","type":%s}]}' % order, "BACKWARD", True) for kind in ("view", "click", "purchase", "error", "signup")], SCHEMAS)
+    every = lambda n: F.col("event_id") % n == 0
+    data = F.concat(
+        F.lit('{"order":{"lines":[{"part":1,"price":2.5},{'), F.when(every(4), "").otherwise('"part":2,'), F.lit('"price":'), F.when(every(3), '"2"').otherwise("2"),
+        F.lit('}],"tags":{"a":'), F.when(every(7), "1").otherwise('"x"'), F.lit("}"), F.when(every(5), ',"note":0').otherwise(""), F.lit("}}"))
+    events = t.events.select("event_id", F.col("event_type").alias("type"), F.lit(1).alias("schema_version"), data.alias("data"))
+    places = F.array(*map(F.lit, ("order.lines[].price", "order.lines[].part", "order.note", "order.tags")))
+    text = F.transform(F.array_sort(F.transform("payload_errors", lambda e: F.struct(F.array_position(places, e["field"]).alias("p"), e["field"].alias("f"), e["code"].alias("c")))),
+                       lambda e: F.concat_ws(":", e["f"], e["c"]))
+    return G.check_payload(events, schemas).select("event_id", F.array_join(text, ",").alias("payload_errors"))
 
 
 @query("""

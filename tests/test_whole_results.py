@@ -126,15 +126,3 @@ def test_exact_percentile_by_ranks(spark, cut):
 def test_few_large_rows_are_not_small(spark):
     df = spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert sizes.is_small(df) and not sizes.is_small(df, max_bytes=2000)
-
-
-def test_nested_schemas_are_checked_for_each_event(spark, small, monkeypatch):
-    from eventspark.plans import all_queries
-
-    real, checked = registry.check_compat, []
-    monkeypatch.setattr(registry, "check_compat", lambda schemas: checked.append(schemas) or real(schemas))
-    rows = all_queries()["schema_compat_nested"](spark, small).collect()
-    assert checked[0].count() == 2 * spark.read.parquet(f"{small}/events.parquet").count()
-    good = {r.schema_name for r in rows if r.is_compatible}
-    assert len(rows) == 20 and good == {f"bytes-{x}" for x in ("backward", "FORWARD", "FULL")} | {"wider-backward", "symbols-FORWARD"}
-    assert {r.schema_name.split("-")[1] for r in rows if r.unknown_level} == {"BACKWARD_TRANSITIVE"}
