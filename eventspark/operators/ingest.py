@@ -54,6 +54,10 @@ def ingest(
     return accepted, rejected
 
 
+# The code and text by which an empty typed batch is refused.
+INVALID_ARGUMENT, BATCH_EMPTY = "InvalidArgument", "batch cannot be empty"
+
+
 def ingest_batch(
     df: DataFrame, batch_id: str, idx: str, fail_fast: bool = False, send_failed: Column | None = None
 ) -> DataFrame:
@@ -76,6 +80,17 @@ def ingest_batch(
     return before.df.filter(F.coalesce("_bad", F.lit(0)) == 0).select(*checked.columns)
 
 
+def open_batches(batches: DataFrame, batch_id: str, events: str = "events") -> tuple[DataFrame, DataFrame]:
+    """Typed batches, a row each with an array of events: (an event a row with `idx`, refused batches with `error`).
+
+    A batch without events is refused, as a batch of rows can't tell.
+    """
+    rest = [c for c in batches.columns if c != events]
+    opened = batches.select(*rest, F.posexplode(events).alias("idx", "_event")).select(*rest, "idx", "_event.*")
+    empty = batches.filter(F.coalesce(F.size(events), F.lit(0)) <= 0)
+    return opened, empty.select(batch_id, F.lit(INVALID_ARGUMENT).alias("code"), F.lit(BATCH_EMPTY).alias("error"))
+
+
 def batch_summary(results: DataFrame, batch_id: str) -> DataFrame:
     return results.groupBy(batch_id).agg(
         F.count_if(F.col("status") == ACCEPTED).alias("success_count"),

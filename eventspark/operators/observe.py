@@ -133,14 +133,19 @@ def status_classes(requests: DataFrame) -> DataFrame:
     )
 
 
-def alert_for(df: DataFrame, keys: list[str], condition: Column, lasting: str, ts: str = "ts") -> DataFrame:
+def alert_for(df: DataFrame, keys: list[str], condition: Column, lasting: str, ts: str = "ts", every: str | None = None) -> DataFrame:
     """Stretches in which every sample of the key meets the condition, for at least `lasting` from first to last.
 
-    One row per stretch: `started_at`, `ended_at`, `sample_count`, and `fired_at`.
+    One row per stretch: `started_at`, `ended_at`, `sample_count`, and `fired_at`. Samples come `every` so often: a
+    longer gap is a sample that doesn't meet the condition.
     """
     marked = df.select(*keys, ts, F.coalesce(condition, F.lit(False)).alias("_on"))
-    rows = prefix(split(marked, keys, [ts]), {"_was": Running("last", F.col("_on"))}, inclusive=False)
-    begins = F.col("_on") & ~F.coalesce("_was", F.lit(False))
+    before = {"_was": Running("last", F.struct(F.col("_on").alias("on"), F.col(ts).alias("at")))}
+    rows = prefix(split(marked, keys, [ts]), before, inclusive=False)
+    was = F.coalesce(F.col("_was.on"), F.lit(False))
+    if every is not None:
+        was = was & (F.unix_micros(ts) - F.unix_micros("_was.at") <= micros(every))
+    begins = F.col("_on") & ~was
     rows = prefix(rows, {"started_at": Running("last", F.when(begins, F.col(ts)))})
     stretches = rows.result().filter("_on").groupBy(*keys, "started_at").agg(
         F.max(ts).alias("ended_at"), F.count(F.lit(1)).alias("sample_count")
@@ -150,6 +155,73 @@ def alert_for(df: DataFrame, keys: list[str], condition: Column, lasting: str, t
     return stretches.filter(held >= micros(lasting)).withColumn("fired_at", fired)
 
 
+def _trailing_windows(requests: DataFrame, window: str, slide: str, series: list[str], aggs: list[Column], ts: str) -> DataFrame:
+    """Sums of counts per series at every multiple of `slide`, over the `window` before it: `at`, the series, the counts.
+
+    Rows are counted once per slide, which then goes into the windows it lies in; a slide before no request is no row.
+    """
+    panes = requests.groupBy(F.window(ts, interval_text(slide)).start.alias("_pane"), *series).agg(*aggs)
+    names = [c for c in panes.columns if c not in ("_pane", *series)]
+    found = panes.groupBy(F.window("_pane", interval_text(window), interval_text(slide)).end.alias("at"), *series)
+    return found.agg(*[F.sum(n).alias(n) for n in names])
+
+
+def high_error_rate(
+    requests: DataFrame, window: str = "5m", threshold: float = 0.1, lasting: str = "5m", slide: str = "15s", status: str = "^5..$", ts: str = "ts",
+) -> DataFrame:
+    """HighErrorRate: per method, endpoint and status that matches, more than `threshold` requests per second for `lasting`.
+
+    The rate at a time, every `slide`, is the count of the window before it by the window's length.
+    """
+    series = ["method", "endpoint", "status"]
+    matching = requests.withColumn("status", F.col("status").cast("string")).filter(F.col("status").rlike(status))
+    counted = _trailing_windows(matching, window, slide, series, [F.count(F.lit(1)).alias("n")], ts)
+    high = F.col("n") / parse_duration(window) > threshold
+    return _fired(alert_for(counted, series, high, lasting, "at", slide), "HighErrorRate")
+
+
+def latency_quantiles(
+    requests: DataFrame, window: str = "5m", q: float = 0.99, slide: str = "15s", duration: str = "duration_seconds", buckets: list[float] = BUCKETS, ts: str = "ts",
+) -> DataFrame:
+    """(method, endpoint, at, quantile_value): the latency quantile of the window before each multiple of `slide`, by buckets."""
+    series, limits = ["method", "endpoint"], [*buckets, INFINITY]
+    counts = [F.count_if(F.col(duration) <= F.lit(le)).alias(f"_b{i}") for i, le in enumerate(limits)]
+    sums = _trailing_windows(requests, window, slide, series, counts, ts)
+    long = F.array(*[F.struct(F.lit(le).alias("le"), F.col(f"_b{i}").alias("cumulative")) for i, le in enumerate(limits)])
+    return histogram_quantile(sums.select(*series, "at", F.inline(long)), q, [*series, "at"])
+
+
+def high_latency(
+    requests: DataFrame, window: str = "5m", q: float = 0.99, threshold: float = 0.1, lasting: str = "5m", slide: str = "15s", duration: str = "duration_seconds", ts: str = "ts",
+) -> DataFrame:
+    """HighLatency: per method and endpoint, a latency quantile above `threshold` seconds for `lasting`."""
+    found = latency_quantiles(requests, window, q, slide, duration, ts=ts)
+    return _fired(alert_for(found, ["method", "endpoint"], F.col("quantile_value") > threshold, lasting, "at", slide), "HighLatency")
+
+
+def _fired(stretches: DataFrame, name: str) -> DataFrame:
+    return stretches.select(F.lit(name).alias("alertname"), F.lit("warning").alias("severity"), "*")
+
+
+def inhibit_while(alerts: DataFrame, until: str, ts: str = "ts") -> DataFrame:
+    """Drop a warning raised while a critical alert with the same alert name, device and instance is firing.
+
+    An alert fires from `ts` to before `until`; null: still. One pass in time order per set of labels, in which starts
+    of critical alerts count up and their ends down; a start counts before a warning of the same instant, an end too.
+    """
+    labels = [F.coalesce(label, F.lit("")).alias(f"_l_{label}") for label in INHIBIT_LABELS]
+    keys = [f"_l_{label}" for label in INHIBIT_LABELS]
+    row = F.struct(*[F.col(c) for c in alerts.columns])
+    firing = alerts.filter((F.col("severity") == "critical") & (F.col(until).isNull() | (F.col(until) > F.col(ts))))
+    moves = firing.select(*labels, F.explode(F.array(F.struct(F.col(ts).alias("at"), F.lit(1).alias("d")), F.struct(F.col(until).alias("at"), F.lit(-1).alias("d")))).alias("m"))
+    moves = moves.filter("m.at IS NOT NULL").groupBy(*keys, F.col("m.at").alias("_at")).agg(F.sum("m.d").alias("_d"))
+    moves = moves.select("*", F.lit(0).alias("_rank"), F.lit(None).cast(alerts.schema).alias("_row"))
+    others = alerts.select(*labels, F.col(ts).alias("_at"), F.lit(0).cast("long").alias("_d"), F.lit(1).alias("_rank"), row.alias("_row"))
+    open_ = prefix(split(moves.unionByName(others), keys, ["_at", "_rank"]), {"_open": Running("sum", F.col("_d"))}).result()
+    kept = open_.filter((F.col("_rank") == 1) & ~((F.col("_row.severity") == "warning") & (F.col("_open") > 0)).eqNullSafe(F.lit(True)))
+    return kept.select("_row.*")
+
+
 def inhibit(alerts: DataFrame) -> DataFrame:
     """Drop a warning while a critical alert has the same alert name, device and instance (missing equals empty)."""
     def labels(prefix_: str = "") -> list[Column]:

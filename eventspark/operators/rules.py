@@ -6,6 +6,7 @@ Loops run over rules (configuration); events are only ever touched by Spark plan
 from __future__ import annotations
 
 import json
+import uuid
 from contextlib import contextmanager
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventspark.functions.clock import interval_text
 from eventspark.operators.rule_index import match_index, parsed_rules
 from eventspark.sources.config import load_active
 
@@ -36,10 +38,61 @@ def _literal_text(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def _query(spark: SparkSession, text: str) -> DataFrame:
-    # As a subquery only a read can be written; commands do not parse.
-    with _literal_text(spark):
-        return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n) AS rule_result")
+class _Views:
+    """Named frames for rule texts. Names live in the rule's own query, so the session's views are left alone and two
+    callers don't see each other's."""
+
+    def __init__(self, spark: SparkSession, views: dict[str, DataFrame], ts: str | None = None):
+        self.spark, self.ts = spark, ts
+        self.names: dict[str, str] = {}
+        self.columns: dict[str, list[str]] = {}
+        for name, frame in views.items():
+            self.add(name, frame)
+
+    def add(self, name: str, frame: DataFrame) -> None:
+        self.names[name] = f"rule_view_{uuid.uuid4().hex}"
+        self.columns[name] = frame.columns
+        frame.createOrReplaceTempView(self.names[name])
+
+    def _known(self, filtered: str = "") -> str:
+        own = lambda n: ", ".join(f"`{c}`" for c in self.columns[n])
+        timed = lambda n: filtered if self.ts in self.columns[n] else ""
+        return ", ".join(f"`{n}` AS (SELECT {own(n)} FROM `{u}` AS v {timed(n)})" for n, u in self.names.items())
+
+    def query(self, text: str, window: str | None = None) -> DataFrame:
+        """A rule's rows; with a window those of each tumbling window of `ts` by itself, and the window.
+
+        As a subquery only a read can be written; commands do not parse.
+        """
+        rule = f"SELECT * FROM (\n{text.strip().rstrip(';')}\n) AS rule_result"
+        known = self._known()
+        if window is None:
+            whole = f"WITH {known} {rule}" if known else rule
+        else:
+            size = interval_text(window)
+            of = f"window(`{self.ts}`, '{size}')"
+            timed = [u for n, u in self.names.items() if self.ts in self.columns[n]]
+            if not timed:
+                raise ValueError(f"a rule has a window, but no view has the column {self.ts}")
+            every = " UNION ".join(f"SELECT DISTINCT {of} AS w FROM `{u}` WHERE `{self.ts}` IS NOT NULL" for u in timed)
+            # Spark makes a lateral query of equal windows a join and a grouping by window.
+            inner = self._known(f"WHERE window(v.`{self.ts}`, '{size}').start = every.window_start")
+            whole = (f"SELECT every.window_start, every.window_end, r.* FROM (SELECT w.start AS window_start, w.end AS window_end FROM ({every})) AS every, "
+                     f"LATERAL (WITH {inner} {rule}) AS r")
+        with _literal_text(self.spark):
+            return self.spark.sql(whole)
+
+    def __enter__(self) -> _Views:
+        return self
+
+    def __exit__(self, *_) -> None:
+        # Plans that were made hold what the names stood for.
+        for name in self.names.values():
+            self.spark.catalog.dropTempView(name)
+
+
+def _window(rule, ts: str | None) -> str | None:
+    return json.loads(rule.rule_config or "{}").get("window") if ts else None
 
 
 def _result_rows(found: DataFrame, name: str, kind: str, event_id: str, tenant: str) -> DataFrame:
@@ -60,38 +113,63 @@ def _rule_rows(rules: DataFrame) -> list:
 
 
 def run_rules(
-    spark: SparkSession, rules: DataFrame, views: dict[str, DataFrame], event_id: str = "event_id", tenant: str = "tenant_id"
+    spark: SparkSession, rules: DataFrame, views: dict[str, DataFrame], event_id: str = "event_id", tenant: str = "tenant_id", ts: str | None = None,
 ) -> DataFrame:
-    """Run the latest active version of every SQL rule over the named views; one lazy plan."""
-    for name, view in views.items():
-        view.createOrReplaceTempView(name)
-    parts = [
-        _result_rows(_query(spark, rule.rule_definition), rule.rule_name, rule.rule_type, event_id, tenant)
-        for rule in _rule_rows(latest_version(rules, "rule_name", "rule_version"))
-    ]
+    """Run the latest active version of every SQL rule over the named views; one lazy plan.
+
+    With `ts`, a rule whose config has a `window` runs on each tumbling window of that column by itself, and its rows
+    have `window_start` and `window_end`.
+    """
+    with _Views(spark, views, ts) as known:
+        parts = [
+            _result_rows(known.query(rule.rule_definition, _window(rule, ts)), rule.rule_name, rule.rule_type, event_id, tenant)
+            for rule in _rule_rows(latest_version(rules, "rule_name", "rule_version"))
+        ]
     if not parts:
         return spark.createDataFrame([], RESULT)
     return reduce(DataFrame.unionByName, parts)
 
 
+def rule_outputs(spark: SparkSession, rules: DataFrame, views: dict[str, DataFrame], ts: str) -> dict[str, DataFrame]:
+    """The rows of each rule whose config names an `output`, by that name, with the window's columns if it has one.
+
+    Rules of one output are one frame and must have the same columns.
+    """
+    found: dict[str, DataFrame] = {}
+    with _Views(spark, views, ts) as known:
+        for rule in _rule_rows(latest_version(rules, "rule_name", "rule_version")):
+            output = json.loads(rule.rule_config or "{}").get("output")
+            if output:
+                rows = known.query(rule.rule_definition, _window(rule, ts))
+                found[output] = found[output].unionByName(rows) if output in found else rows
+    return found
+
+
+def upsert_output(rows: DataFrame, path: str, by: str = "window_start") -> None:
+    """Write an output's rows; the windows (or other values of `by`) that they have replace those stored before.
+
+    Run again, it changes nothing.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def run_rule_stages(
     spark: SparkSession, rules: DataFrame, views: dict[str, DataFrame], event_id: str = "event_id", tenant: str = "tenant_id"
 ) -> DataFrame:
     """As `run_rules`, by `rule_config.stage` (default 0); a rule's rows are a view, named as the rule, for later stages."""
-    for name, view in views.items():
-        view.createOrReplaceTempView(name)
     rows = _rule_rows(latest_version(rules, "rule_name", "rule_version"))
     stage = lambda rule: int(json.loads(rule.rule_config or "{}").get("stage", 0))
     parts, waiting, current = [], [], None
-    for rule in sorted(rows, key=lambda r: (stage(r), r.rule_name)):
-        if current is not None and stage(rule) != current:
-            for name, found in waiting:
-                found.createOrReplaceTempView(name)
-            waiting = []
-        current = stage(rule)
-        found = _query(spark, rule.rule_definition)
-        waiting.append((rule.rule_name, found))
-        parts.append(_result_rows(found, rule.rule_name, rule.rule_type, event_id, tenant))
+    with _Views(spark, views) as known:
+        for rule in sorted(rows, key=lambda r: (stage(r), r.rule_name)):
+            if current is not None and stage(rule) != current:
+                for name, found in waiting:
+                    known.add(name, found)
+                waiting = []
+            current = stage(rule)
+            found = known.query(rule.rule_definition)
+            waiting.append((rule.rule_name, found))
+            parts.append(_result_rows(found, rule.rule_name, rule.rule_type, event_id, tenant))
     if not parts:
         return spark.createDataFrame([], RESULT)
     return reduce(DataFrame.unionByName, parts)
@@ -116,20 +194,21 @@ def backtest_rules(
     Returns matches per rule, tenant and day with their change from active to candidate, and the
     rules that do not analyse or lack the time or tenant column.
     """
-    events.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end))).createOrReplaceTempView(view)
+    within = events.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
     counts, problems = {True: [], False: []}, []
     newest = rules.groupBy("rule_name", "is_active").agg(F.max_by(F.struct("*"), "rule_version").alias("_r"))
-    for rule in _rule_rows(newest.select("_r.*")):
-        try:
-            found = _query(spark, rule.rule_definition)
-            by_day = found.groupBy(
-                F.lit(rule.rule_name).alias("rule_id"), F.col(tenant).alias("tenant_id"),
-                F.to_date(ts).alias("day"),
-            ).agg(F.count(F.lit(1)).alias("matches"))
-        except PySparkException as error:
-            problems.append((rule.rule_name, rule.rule_version, str(error).splitlines()[0]))
-            continue
-        counts[bool(rule.is_active)].append(by_day)
+    with _Views(spark, {view: within}) as known:
+        for rule in _rule_rows(newest.select("_r.*")):
+            try:
+                found = known.query(rule.rule_definition)
+                by_day = found.groupBy(
+                    F.lit(rule.rule_name).alias("rule_id"), F.col(tenant).alias("tenant_id"),
+                    F.to_date(ts).alias("day"),
+                ).agg(F.count(F.lit(1)).alias("matches"))
+            except PySparkException as error:
+                problems.append((rule.rule_name, rule.rule_version, str(error).splitlines()[0]))
+                continue
+            counts[bool(rule.is_active)].append(by_day)
     empty = spark.createDataFrame([], "rule_id string, tenant_id string, day date, matches long")
     keys = ["rule_id", "tenant_id", "day"]
     old = reduce(DataFrame.unionByName, counts[True], empty).withColumnRenamed("matches", "active_matches")

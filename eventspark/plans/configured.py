@@ -60,6 +60,33 @@ def threshold_rules(t):
     return found.select("event_id", "rule_id", "threshold", "matched_value")
 
 
+# The two declared sample rules.
+DECLARED = [
+    ("fraud_detection", 1, "CEP", "SELECT * FROM user_events WHERE amount > 1000", '{"threshold": 1000, "window": "5m"}', True),
+    ("user_activity_aggregation", 1, "AGGREGATION", "SELECT userId, COUNT(*) as activity_count FROM user_events GROUP BY userId",
+     '{"window": "1h", "output": "user_activity_hourly"}', True),
+]
+SPENDING = "SELECT event_id, CAST(user_id AS STRING) AS userId, value * 20 AS amount, ts FROM events"
+
+
+@query(f"""
+WITH e AS ({SPENDING}) SELECT 'fraud_detection' AS rule_id, CAST(event_id AS VARCHAR) AS original_event_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, userId AS user_id,
+  CAST(NULL AS BIGINT) AS activity_count FROM e WHERE amount > 1000
+UNION ALL SELECT 'user_activity_aggregation', NULL, date_trunc('hour', ts), userId, count(*) FROM e GROUP BY ALL""")
+def declared_rules(t):
+    found = X.run_rules(t.spark, t.spark.createDataFrame(DECLARED, RULES), {"user_events": t.view(SPENDING)}, ts="ts")
+    part = lambda name: F.get_json_object("result_data", f"$.{name}")
+    return found.select(
+        "rule_id", "original_event_id", part("window_start").cast("timestamp").alias("window_start"), part("userId").alias("user_id"),
+        part("activity_count").cast("long").alias("activity_count"))
+
+
+@query(f"WITH e AS ({SPENDING}) SELECT date_trunc('hour', ts) AS window_start, userId, count(*) AS activity_count FROM e GROUP BY ALL")
+def declared_output(t):
+    found = X.rule_outputs(t.spark, t.spark.createDataFrame(DECLARED, RULES), {"user_events": t.view(SPENDING)}, "ts")
+    return found["user_activity_hourly"].drop("window_end")
+
+
 # A rule per customer on one of two fields, with all comparisons; most hold for few events.
 CUSTOMER_RULES = """
 SELECT concat('rule-', CAST(c_custkey AS STRING)) AS rule_name, 'THRESHOLD' AS rule_type, '' AS rule_definition,

@@ -125,6 +125,45 @@ def alert_inhibit(t):
     return M.inhibit(t.alerts).select("event_id")
 
 
+# Critical alerts fire for twelve hours.
+@query(f"""
+WITH a AS ({ALERTS}) SELECT event_id FROM a WHERE NOT (severity = 'warning' AND EXISTS (SELECT 1 FROM a c WHERE c.severity = 'critical'
+  AND c.alertname = a.alertname AND c.dev IS NOT DISTINCT FROM a.dev AND c.instance = a.instance AND c.ts <= a.ts AND a.ts < c.ts + INTERVAL 12 HOUR))""")
+def alert_inhibit_while(t):
+    return M.inhibit_while(t.alerts.withColumn("until", F.expr("ts + INTERVAL 12 HOURS")), "until").select("event_id")
+
+
+# The declared alerts, with windows and limits for as few requests as the tables have: six hours at every full hour.
+TICKS = f"""
+WITH r AS ({REQUESTS}), s AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR * k AS tick FROM r CROSS JOIN (SELECT unnest(range(1, 7)) AS k)),
+"""
+STRETCHES = """
+g AS (SELECT *, sum(CASE WHEN high AND NOT coalesce(was, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY method, endpoint, status ORDER BY tick) AS island
+  FROM (SELECT *, lag(high) OVER w AND tick - lag(tick) OVER w <= INTERVAL 1 HOUR AS was FROM c WINDOW w AS (PARTITION BY method, endpoint, status ORDER BY tick)))
+SELECT method, endpoint, status, min(tick) AS started_at, max(tick) AS ended_at, count(*) AS sample_count FROM g WHERE high
+GROUP BY method, endpoint, status, island HAVING max(tick) - min(tick) >= INTERVAL 2 HOUR
+"""
+
+
+@query(TICKS + """
+c AS (SELECT method, endpoint, CAST(status AS VARCHAR) AS status, tick, count(*) / 21600 > 0.00008 AS high FROM s WHERE status BETWEEN 500 AND 599 GROUP BY ALL),""" + STRETCHES)
+def alert_error_rate(t):
+    found = M.high_error_rate(t.requests, window="6h", threshold=0.00008, lasting="2h", slide="1h")
+    return found.select("method", "endpoint", "status", "started_at", "ended_at", "sample_count")
+
+
+@query(TICKS + f"""
+b AS (SELECT unnest([{', '.join(map(str, M.BUCKETS))}, CAST('inf' AS DOUBLE)]) AS le),
+h AS (SELECT method, endpoint, tick, le, count(*) FILTER (duration_seconds <= le) AS cumulative FROM s CROSS JOIN b GROUP BY ALL),
+l AS (SELECT *, 0.99 * max(cumulative) OVER (PARTITION BY method, endpoint, tick) AS r, coalesce(lag(le) OVER w, 0) AS lower, coalesce(lag(cumulative) OVER w, 0) AS below
+  FROM h WINDOW w AS (PARTITION BY method, endpoint, tick ORDER BY le)),
+c AS (SELECT method, endpoint, CAST(NULL AS VARCHAR) AS status, tick, arg_min(CASE WHEN le = CAST('inf' AS DOUBLE) THEN lower ELSE lower + (le - lower) * (r - below) / (cumulative - below) END, le) > 0.1 AS high
+  FROM l WHERE cumulative >= r AND cumulative > 0 GROUP BY method, endpoint, tick),""" + STRETCHES)
+def alert_latency(t):
+    found = M.high_latency(t.requests, window="6h", lasting="2h", slide="1h")
+    return found.select("method", "endpoint", F.lit(None).cast("string").alias("status"), "started_at", "ended_at", "sample_count")
+
+
 # A group's flush times: 10 minutes after its first alert and every 10 minutes from there; known alerts again after 6 hours.
 def _flushes(alerts: str) -> str:
     return f"""
