@@ -152,8 +152,11 @@ def quality_digest(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def keep_good(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that pass the base rule and the adaptive rules, with their columns as they are."""
-    whole = documents.select(F.struct(*documents.columns).alias("row"), figures_of(F.col(text)).alias("x"))
-    groups = documents.select(F.col(lang).alias("lang"), F.col(source).alias("source"), figures_of(F.col(text)).alias("x"))
+    """The rows that pass the base rule and the adaptive rules, with their columns as they are.
+
+    Rows and their figures are kept in the shared folder, so that figures are worked out once.
+    """
+    whole = keep(documents.select(F.struct(*documents.columns).alias("row"), figures_of(F.col(text)).alias("x")))
+    groups = whole.select(F.col(f"row.{lang}").alias("lang"), F.col(f"row.{source}").alias("source"), "x")
     judged = _with_limits(whole, whole["row"][lang], whole["row"][source], groups)
     return judged.where(~base_failed(F.col("x")) & passes(F.col("x"), F.col("limits"))).select("row.*")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventspark.llm.frames import free_name
+from eventspark.llm.frames import free_name, repeated
 
 SHARDS, BLOCK_ROWS = 24, 500_000
 _STEP = np.uint64(2862933555777941757)
@@ -81,8 +81,7 @@ def shard_digest(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     per_block = equal.groupBy("shard", "block").agg(F.sum("rows").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offset = per_block.select("shard", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    placed = inside.join(offset, ["shard", "block"])
-    start = F.col("offset") + F.col("first")
+    placed = repeated(inside.join(offset, ["shard", "block"]), "rows", "copy")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(start, start + F.col("rows") - 1)).alias("slot"), "grown_shard")
+        (F.col("offset") + F.col("first") + F.col("copy")).alias("slot"), "grown_shard")

@@ -6,8 +6,9 @@ characters are added up. Characters per block and punctuation per block, each sm
 by a narrow bell curve, are fused by their geometric mean and weighed by the share of text outside links; a path is
 content if its mean is at least `SHARE` of the best path's, unless only its neighbours lift it there: its own value
 without smoothing must be `OWN` of the best. No block of a content path is dropped. Where most content
-stands in article or main elements, these stay whole (an article within a main as part of it): headings, lists and
-short paragraphs, too. Else the smallest element that holds all content stays whole, or the page if there is none.
+stands in article or main elements, these stay (an article within a main as part of it): headings, lists and
+short paragraphs, too. Else the smallest element that holds all content stays, or the page if there is none. What stands
+between content there and is no content itself goes if most characters of its path are links: a list of links.
 
 Never content: elements that are scripts, styles, forms, menus, asides, page headers and footers by their tag or role,
 and hidden ones. A header within an article stays. Elements are also left out by the last word of a token of their class
@@ -18,7 +19,7 @@ named for discussion stays only if little else and no article is left, an advert
 
 Null and empty pages, and pages without text, give an empty text. Broken markup is read as browsers do for the cases
 that matter here: open paragraphs and list items end at the next one, unknown ends are skipped, and what is cut off at
-the end of the page counts up to there.
+the end of the page counts up to there. Time grows with the page's length, however deep its elements stand.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ _WORDS = {
         "banner promo promotion notice notification alert popup modal overlay sidebar aside widget menu navbar nav navigation breadcrumb breadcrumbs "
         "pagination pager footer masthead topbar toolbar share sharing social newsletter subscribe subscription signup login search copyright "
         "disclaimer skip".split(), _LAYOUT),
-    **dict.fromkeys("comment comments disqus replies reply respond related recommended".split(), _TALK),
+    **dict.fromkeys("comment comments discussion disqus replies reply respond related recommended".split(), _TALK),
     **dict.fromkeys("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split(), _AD),
 }
 # Parts of a class that say what a page has or how it stands, and last parts that say nothing of what an element holds.
@@ -66,6 +67,7 @@ _BLOCK_END = frozenset("p div section article main body ul ol table blockquote".
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_HEADING = re.compile(r"h[1-6]")
 _PUNCTUATION = re.compile(r"[,.;:!?…。、，；：！？]")
 
 
@@ -97,20 +99,30 @@ def _left_out(name: str, rest: str, in_article: bool) -> tuple[bool, str]:
 
 
 class _Page:
-    """Blocks of a page in order: (path, ancestors, outermost article or main or 0, text, characters in links).
+    """Blocks of a page in order: (path, element, outermost article or main or 0, text, characters in links).
 
-    Until the page is read, a block has the numbers of its first piece and of the piece after it in place of its text.
+    A path is the number of a node in a tree of names with links to parents, an element its number in page order; an
+    element holds those with numbers up to its `last`. So nothing here grows with the depth at which it stands, and the
+    ends of elements are found by the places where each name is open.
     """
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[tuple[str, ...], tuple[int, ...], int, str, int]] = []
-        self.cut: list[tuple[tuple[str, ...], tuple[int, ...], int, int, int]] = []
-        self.open: list[tuple[str, int, bool, int]] = []  # name, number, left out, place in named or -1
-        self.pieces: list[tuple[str, bool, int, tuple[int, ...]]] = []  # text, linked, innermost article or main, named elements around
-        self.named: list[list] = []  # number, word, stands in an article, first piece, piece after it
-        self.around: tuple[int, ...] = ()
+        self.blocks: list[tuple[int, int, int, str, int]] = []
+        self.cut: list[tuple[int, int, int, int, int]] = []  # as blocks, but with first piece and piece after it
+        self.open: list[tuple] = []  # name, number, left out, named element or -1, path, innermost block element but p, path's name is a heading
+        self.where: dict[str, list[int]] = {}  # places in `open` by name
+        self.walls: list[int] = []  # places of block elements
+        self.hard: list[int] = []  # of those but p
+        self.paths: dict[tuple[int, str], int] = {}
+        self.names: list[str] = [""]
+        self.parent: list[int] = [0]  # innermost block element but p around each element
+        self.last: list[int] = [0]
+        self.pieces: list[tuple[str, bool, int, int]] = []  # text, linked, innermost article or main, innermost named element or -1
+        self.named: list[tuple[int, str, bool, int]] = []  # number, word, stands in an article, named element around or -1
+        self.within = -1
         self.articles: list[int] = []
-        self.made = self.out = self.links = self.begun = 0
+        self.of_article: dict[int, int] = {}  # named element around an article or main
+        self.out = self.links = self.begun = 0
         at = 0
         while True:
             token = _TOKEN.search(page, at)
@@ -133,62 +145,78 @@ class _Page:
         self._close_block()
         while self.open:
             self._pop()
-        dropped = self._dropped()
-        for names, inside, article, a, b in self.cut:
-            left = [(t, linked) for t, linked, _, around in self.pieces[a:b] if dropped.isdisjoint(around)]
+        closed = self._closed()
+        for path, inside, article, a, b in self.cut:
+            left = [(t, linked) for t, linked, _, k in self.pieces[a:b] if k < 0 or not closed[k]]
             text = " ".join("".join(t for t, _ in left).split())
             if text:
-                self.blocks.append((names, inside, article, text, sum(len(t) for t, linked in left if linked)))
+                self.blocks.append((path, inside, article, text, sum(len(t) for t, linked in left if linked)))
 
     def _add(self, text: str, linked: bool) -> None:
-        self.pieces.append((text, linked, self.articles[-1] if self.articles else 0, self.around))
+        self.pieces.append((text, linked, self.articles[-1] if self.articles else 0, self.within))
 
-    def _dropped(self) -> set[int]:
-        """The named elements that are left out, after a comparison with what is left."""
-        if not self.named:
-            return set()
+    def _closed(self) -> list[bool]:
+        """For each named element whether it or one around it is left out, after a comparison with what is left."""
+        n = len(self.named)
+        if not n:
+            return []
         size = [0 if linked else len(" ".join(t.split())) for t, linked, _, _ in self.pieces]
-        held, articles = [0] * len(self.named), [0] * len(self.named)
-        for n, (_, _, inner, around) in zip(size, self.pieces, strict=True):
-            for k in around:
-                held[k] += n
-                articles[k] += n * (inner > self.named[k][0])
-        closed = [len(around) for *_, around in self.pieces]  # named elements around that don't stay so far
-        free = sum(n for n, c in zip(size, closed, strict=True) if not c)
-        free_articles = sum(n for n, c, p in zip(size, closed, self.pieces, strict=True) if not c and p[2])
-        dropped = set(range(len(self.named)))
-        total = sum(size)
-
-        def stay(k: int) -> None:
-            nonlocal free, free_articles
-            dropped.remove(k)
-            for i in range(*self.named[k][3:]):
-                closed[i] -= 1
-                if not closed[i]:
-                    free += size[i]
-                    free_articles += size[i] if self.pieces[i][2] else 0
-
-        for k in sorted(dropped, key=lambda k: (-held[k], k)):
-            _, word, within, first, after = self.named[k]
-            if first == after or any(a in dropped for a in self.pieces[first][3] if a < k):
+        own, own_article, held, articles = [0] * n, [0] * n, [0] * n, [0] * n
+        some = [False] * n
+        free = free_articles = 0
+        for v, (_, _, article, k) in zip(size, self.pieces, strict=True):
+            if k < 0:
+                free += v
+                free_articles += v if article else 0
+                continue
+            some[k] = True
+            own[k] += v
+            own_article[k] += v if article else 0
+            held[k] += v
+            # An article counts for the named elements it stands in, not for those in it.
+            if article and self.of_article[article] >= 0:
+                articles[self.of_article[article]] += v
+        for k in range(n - 1, -1, -1):
+            around = self.named[k][3]
+            if around >= 0:
+                held[around] += held[k]
+                articles[around] += articles[k]
+                some[around] |= some[k]
+        total, dropped = sum(size), [True] * n
+        blocked = [False] * n  # an element around stays left out
+        for k in sorted(range(n), key=lambda k: (-held[k], k)):
+            _, word, inside, around = self.named[k]
+            blocked[k] = around >= 0 and (dropped[around] or blocked[around])
+            if blocked[k] or not some[k]:
                 continue
             if _WORDS[word] == _AD:
                 keeps = articles[k] and not free_articles
             elif _WORDS[word] == _TALK:
                 keeps = not free_articles and 4 * free < held[k]
             else:
-                keeps = articles[k] and articles[k] >= free_articles or 2 * held[k] > total and (within or 4 * free_articles < held[k])
+                keeps = articles[k] and articles[k] >= free_articles or 2 * held[k] > total and (inside or 4 * free_articles < held[k])
             if keeps:
-                stay(k)
-        of: dict[str, int] = {}
-        for n, (*_, around) in zip(size, self.pieces, strict=True):
-            outer = next((self.named[k][1] for k in around if k in dropped), "")
-            of[outer] = of.get(outer, 0) + n
-        for k in sorted(dropped):
+                dropped[k] = False
+                free += own[k]
+                free_articles += own_article[k]
+        outer = self._outermost(dropped)
+        of: dict[str, int] = {"": sum(v for v, (*_, k) in zip(size, self.pieces, strict=True) if k < 0)}
+        for k in range(n):
+            word = self.named[outer[k]][1] if outer[k] >= 0 else ""
+            of[word] = of.get(word, 0) + own[k]
+        for k in range(n):
             word = self.named[k][1]
-            if _WORDS[word] == _LAYOUT and 4 * of.get("", 0) < of.get(word, 0):
-                stay(k)
-        return dropped
+            if dropped[k] and _WORDS[word] == _LAYOUT and 4 * of[""] < of.get(word, 0):
+                dropped[k] = False
+        return [k >= 0 for k in self._outermost(dropped)]
+
+    def _outermost(self, dropped: list[bool]) -> list[int]:
+        """For each named element the outermost one left out of it and those around it, or -1."""
+        out: list[int] = []
+        for k, (*_, around) in enumerate(self.named):
+            above = out[around] if around >= 0 else -1
+            out.append(above if above >= 0 else k if dropped[k] else -1)
+        return out
 
     def _say(self, raw: str) -> None:
         if not self.out:
@@ -197,10 +225,8 @@ class _Page:
 
     def _close_block(self) -> None:
         if len(self.pieces) > self.begun:
-            names = tuple(n for n, *_ in self.open if n not in _INLINE)
-            article = next((k for n, k, *_ in self.open if n in ("article", "main")), 0)
-            inside = tuple(k for n, k, *_ in self.open if n not in _INLINE and n != "p")
-            self.cut.append((names, inside, article, self.begun, len(self.pieces)))
+            path, inside = self.open[-1][4:6] if self.open else (0, 0)
+            self.cut.append((path, inside, self.articles[0] if self.articles else 0, self.begun, len(self.pieces)))
             self.begun = len(self.pieces)
 
     def _start(self, name: str, rest: str) -> None:
@@ -210,51 +236,80 @@ class _Page:
             if name == "hr":
                 self._close_block()
             return
-        if name not in _INLINE:
+        block = name not in _INLINE
+        if block:
             self._close_block()
             if name in _ENDS or name in _BLOCK_END or name[0] == "h" and name[1:].isdigit():
                 self._imply(_ENDS.get(name, ("p",)))
         leave, word = _left_out(name, rest, bool(self.articles))
-        self.made += 1
-        self.open.append((name, self.made, leave, len(self.named) if word else -1))
+        number = len(self.parent)
+        path, inside = self.open[-1][4:6] if self.open else (0, 0)
+        self.parent.append(inside)
+        self.last.append(number)
+        if block:
+            path = self.paths.setdefault((path, name), len(self.names))
+            if path == len(self.names):
+                self.names.append(name)
+            inside = number if name != "p" else inside
+        place = len(self.open)
+        self.where.setdefault(name, []).append(place)
+        if block:
+            self.walls.append(place)
+            if name != "p":
+                self.hard.append(place)
+        self.open.append((name, number, leave, len(self.named) if word else -1, path, inside))
         if word:
-            self.around += (len(self.named),)
-            self.named.append([self.made, word, bool(self.articles), len(self.pieces), 0])
+            self.named.append((number, word, bool(self.articles), self.within))
+            self.within = len(self.named) - 1
         self.out += leave
         if name in ("article", "main"):
-            self.articles.append(self.made)
+            self.articles.append(number)
+            self.of_article[number] = self.within
         self.links += name == "a"
 
+    def _top(self, names: tuple[str, ...]) -> int:
+        """The highest place where one of these names is open, or -1."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
     def _imply(self, names: tuple[str, ...]) -> None:
         """End the open elements of these names that the new one can't stand in."""
         walls = {"li": ("ul", "ol"), "dt": ("dl",), "tr": ("table",), "td": ("table", "tr")}.get(names[0], ())
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                while len(self.open) > k:
-                    self._pop()
-            elif self.open[k][0] in walls or names == ("p",) and self.open[k][0] not in _INLINE:
-                return
+        wall = self._top(walls) if names != ("p",) else self.hard[-1] if self.hard else -1
+        while (place := self._top(names)) > wall:
+            while len(self.open) > place:
+                self._pop()
 
     def _pop(self) -> None:
-        name, _, leave, place = self.open.pop()
-        if place >= 0:
-            self.around = self.around[:-1]
-            self.named[place][4] = len(self.pieces)
+        name, number, leave, named, *_ = self.open.pop()
+        self.where[name].pop()
+        self.last[number] = len(self.parent) - 1
+        if name not in _INLINE:
+            self.walls.pop()
+            if name != "p":
+                self.hard.pop()
+        if named >= 0:
+            self.within = self.named[named][3]
         self.out -= leave
         if name in ("article", "main"):
             self.articles.pop()
         self.links -= name == "a"
 
     def _end(self, name: str) -> None:
-        if name not in _INLINE:
+        inline = name in _INLINE
+        if not inline:
             self._close_block()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if name in _INLINE and self.open[k][0] not in _INLINE:
-                return
+        place = self._top((name,))
+        if place > (self.walls[-1] if inline and self.walls else -1):
+            while len(self.open) > place:
+                self._pop()
+
+    def holder(self, inside: list[int]) -> int:
+        """The smallest element that holds all of these, or 0."""
+        low, high = min(inside), max(inside)
+        k = low
+        while k and self.last[k] < high:
+            k = self.parent[k]
+        return k
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -268,17 +323,18 @@ def _smoothed(values: list[float]) -> list[float]:
 
 def extract(page: str | None) -> str:
     """The main text's blocks, joined by empty lines."""
-    blocks = _Page(page).blocks if page else []
+    found = _Page(page) if page else None
+    blocks = found.blocks if found else []
     if not blocks:
         return ""
-    paths: dict[tuple[str, ...], list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for path, _, _, text, links in blocks:
         sums = paths.setdefault(path, [0, 0, 0, 0])
         for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), links)):
             sums[k] += v
     length = _smoothed([paths[p][1] / paths[p][0] for p, *_ in blocks])
     marks = _smoothed([(paths[p][2] + 0.5) / paths[p][0] for p, *_ in blocks])
-    fused: dict[tuple[str, ...], list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for (path, *_), a, b in zip(blocks, length, marks, strict=True):
         fused.setdefault(path, []).append(math.sqrt(a * b) * max(0.0, 1 - paths[path][3] / paths[path][1]))
     score = {p: sum(v) / len(v) for p, v in fused.items()}
@@ -287,13 +343,14 @@ def extract(page: str | None) -> str:
     chosen = {p for p in paths if score[p] >= SHARE * best}
     chosen = {p for p in chosen if alone[p] >= OWN * most} or chosen
     content = [b for b in blocks if b[0] in chosen]
+    # Of the other paths around content, those made of links are lists of links and not the article's.
+    listed = {p for p, (_, c, _, linked) in paths.items() if p not in chosen and 2 * linked > c and not _HEADING.fullmatch(found.names[p])}
     if 2 * sum(len(b[3]) for b in content if b[2]) >= sum(len(b[3]) for b in content):
         articles = {b[2] for b in content} - {0}
-        kept = [b for b in blocks if b[2] in articles or b[0] in chosen]
+        kept = [b for b in blocks if b[0] in chosen or b[2] in articles and b[0] not in listed]
     else:
-        # Elements are numbered in page order, so of those around all content the smallest has the largest number.
-        around = max(set(content[0][1]).intersection(*(b[1] for b in content)), default=None)
-        kept = [b for b in blocks if around is None or around in b[1]]
+        around = found.holder([b[1] for b in content])
+        kept = [b for b in blocks if b[0] in chosen or around <= b[1] <= found.last[around] and b[0] not in listed or not around and b[0] not in listed]
     return "\n\n".join(b[3] for b in kept)
 
 

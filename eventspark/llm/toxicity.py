@@ -16,6 +16,7 @@ labels (0 without any).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,8 +160,13 @@ def _fit(rows: list[tuple[int, bytes]], ratio: dict[int, float]) -> Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, learns: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = TRAIN_ROWS) -> Model:
-    """Fit on labelled rows that `learns` (an expression of `doc_id`) marks."""
+    """Fit on labelled rows that `learns` (an expression of `doc_id`) marks.
+
+    Only labels of documents that are there count towards `limit`. Without rows of both classes there is nothing to
+    learn: every row then gets the score of the only class, and a warning says so.
+    """
     marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(learns & F.col("label").isin(0, 1))
+    marked = marked.join(documents.select(F.col(doc_id).alias("doc_id")).distinct(), "doc_id", "left_semi")
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = documents.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
@@ -174,6 +180,7 @@ def train(documents: DataFrame, labels: DataFrame, learns: Column, doc_id: str =
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     if not n_clean or not n_toxic:
+        warnings.warn(f"{n_toxic} toxic and {n_clean} other labelled texts: every score is the same", stacklevel=2)
         return Model({}, 500.0 if n_toxic else -500.0)
     counts = rows.mapInArrow(_count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean"), F.sum("toxic"))
     feature, clean, toxic = np.array([tuple(r) for r in counts.collect()] or [(0, 0, 0)], np.int64).T
