@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventspark.functions.text import format_error
 from eventspark.operators.ordered import Running, prefix, split
 from eventspark.operators.records import DEFAULT_PARTITIONS, with_offsets, with_partition
+from eventspark.session import materialise
 from eventspark.operators.validate import (
     http_error, stamp_metadata, validate_http, validate_typed, with_defaults, with_request_id,
 )
@@ -128,6 +129,18 @@ def ingest_batch_http(df: DataFrame, batch_id: str, idx: str) -> tuple[DataFrame
     return accepted, summary
 
 
+def accept_batch_http(df: DataFrame, batch_id: str, idx: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As `ingest_batch_http`, and what an accepted batch becomes: (events, a result per event, one row per batch).
+
+    Events get a new id and time and the stamps of the request with their `batch_index`. They are fixed in the shared
+    folder, so that results name the ids that the events have.
+    """
+    accepted, summary = ingest_batch_http(df, batch_id, idx)
+    events = materialise(with_defaults(stamp_metadata(accepted, batch_index=idx), always=True))
+    results = events.select(batch_id, idx, F.col("id").alias("event_id"), F.lit("accepted").alias("status"))
+    return events, results, summary
+
+
 def send_batch(df: DataFrame, batch_id: str, idx: str, failed: str) -> DataFrame:
     """Sequential send: adds `sent`, false from a batch's first failure on; earlier rows stay sent."""
     flag = F.coalesce(F.col(failed), F.lit(False)).cast("long")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +9,6 @@ from eventspark.functions.clock import elapsed_ms, interval_text, micros
 from eventspark.operators.ordered import Running, numbered, prefix, split, trailing
 from eventspark.operators.sizes import join_lookup
 
-TYPES_PER_PASS = 200
-
-
 def enrich(events: DataFrame, dim: DataFrame, on: str | list[str] | Column) -> DataFrame:
     """Events with the columns of a static table; no event is dropped."""
     return join_lookup(events, dim, on, "left")
@@ -24,8 +19,9 @@ def interval_join(
 ) -> DataFrame:
     """Pairs of equal key with `b_ts` in `(a_ts, a_ts + within]`; apart from the key, names must differ.
 
-    Batch: time is cut into bins of that width and a pair meets in its b-row's bin, so a hot key is
-    spread over its bins. Stream: both sides need watermarks.
+    Batch: time is cut into bins of that width, so a hot key is spread over its bins. A b-row is put into its own bin
+    and the one before, in which any a-row stands that it can pair with; an a-row stands in one bin, so a left join is
+    one join. Stream: both sides need watermarks.
     """
     width = micros(within)
     if a.isStreaming or b.isStreaming:
@@ -36,16 +32,9 @@ def interval_join(
         raise ValueError("how must be inner or left")
     close = (F.unix_micros(b_ts) > F.unix_micros(a_ts)) & (F.unix_micros(b_ts) - F.unix_micros(a_ts) <= width)
     bin_of = lambda ts: F.floor(F.unix_micros(ts) / F.lit(width))
-    right = b.withColumn("_bin", bin_of(b_ts)).withColumnRenamed(on, "_on")
+    right = b.withColumnRenamed(on, "_on").withColumn("_bin", F.explode(F.array(bin_of(b_ts), bin_of(b_ts) - 1)))
     meets = (F.col(on) == F.col("_on")) & (F.col("_a_bin") == F.col("_bin")) & close
-    left = a.withColumn("_a_bin", F.explode(F.array(bin_of(a_ts), bin_of(a_ts) + 1)))
-    pairs = left.join(right, meets, "inner").drop("_a_bin", "_bin", "_on")
-    if how == "inner":
-        return pairs
-    alone = a
-    for ahead in (0, 1):
-        alone = alone.withColumn("_a_bin", bin_of(a_ts) + ahead).join(right, meets, "left_anti").drop("_a_bin")
-    return pairs.unionByName(alone, allowMissingColumns=True)
+    return a.withColumn("_a_bin", bin_of(a_ts)).join(right, meets, how).drop("_a_bin", "_bin", "_on")
 
 
 def trace_summary(df: DataFrame, key: str = "correlation_id", ts: str = "timestamp", id_col: str = "id") -> DataFrame:
@@ -78,27 +67,28 @@ def type_correlation(df: DataFrame, key: str, within: str, ts: str = "timestamp"
     """Ordered type pairs: how often b follows a within `within` (later, same key).
 
     `support` is pairs per event, `confidence` pairs per a-event, `lift` confidence over b's share.
-    Pairs are counted, not made: each event adds the trailing number of events of every type.
+    Pairs are counted, not made: each event adds the trailing number of events of every type that its key has in the
+    event's bin of time or the one before (bins are as wide as `within`); other types can't have any. Types stay data:
+    however many there are, none is brought to the driver, and a hot key is spread over its bins.
     """
-    totals = df.groupBy(type_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col(type_col).isNotNull())
-    names = [row[0] for row in totals.select(type_col).orderBy(type_col).toLocalIterator()]
-    slim = df.filter(F.col(type_col).isNotNull()).select(key, ts, type_col)
-    passes = []
-    for start in range(0, len(names), TYPES_PER_PASS):
-        chunk = names[start:start + TYPES_PER_PASS]
-        columns = {f"n{i}": (F.col(type_col) == name).cast("long") for i, name in enumerate(chunk)}
-        counted = trailing(slim, [key], ts, micros(within), columns, include_current=False)
-        summed = counted.groupBy(type_col).agg(*[F.sum(c).alias(c) for c in columns])
-        pairs = F.array(*[
-            F.struct(F.lit(name).alias("type_a"), F.col(f"n{i}").alias("pairs")) for i, name in enumerate(chunk)
-        ])
-        passes.append(summed.select(F.col(type_col).alias("type_b"), F.inline(pairs)))
-    if not passes:
-        raise ValueError("no event types")
-    found = reduce(DataFrame.unionByName, passes).filter(F.col("pairs") > 0)
+    width = micros(within)
+    slim = df.filter(F.col(type_col).isNotNull()).select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(type_col).alias("_type"))
+    totals = slim.groupBy(F.col("_type").alias(type_col)).agg(F.count(F.lit(1)).alias("n"))
+    binned = slim.filter(F.col("_ts").isNotNull()).withColumn("_bin", F.floor(F.unix_micros("_ts") / F.lit(width)))
+    near = binned.select("_key", F.explode(F.array(F.col("_bin"), F.col("_bin") + 1)).alias("_near"), F.col("_type").alias("_a")).distinct()
+    # Rows of equal key, type and time ask and count together.
+    each = binned.groupBy("_key", "_ts", "_bin", "_type").agg(F.count(F.lit(1)).alias("_n"))
+    on = near.withColumnRenamed("_key", "_near_key")
+    asks = each.join(on, F.col("_key").eqNullSafe(F.col("_near_key")) & (F.col("_bin") == F.col("_near"))).select(
+        "_key", "_ts", "_a", F.col("_type").alias("_b"), F.col("_n").alias("_times"), F.lit(0).cast("long").alias("_one"))
+    events = each.select("_key", "_ts", F.col("_type").alias("_a"), F.lit(None).cast("string").alias("_b"), F.lit(0).cast("long").alias("_times"), F.col("_n").alias("_one"))
+    both = asks.withColumn("_b", F.col("_b").cast("string")).unionByName(events)
+    counted = trailing(both, ["_key", "_a"], "_ts", width, {"_before": F.col("_one")}, include_current=False)
+    found = counted.filter("_times > 0").groupBy(F.col("_a").alias("type_a"), F.col("_b").cast(df.schema[type_col].dataType).alias("type_b")).agg(
+        F.sum(F.col("_before") * F.col("_times")).alias("pairs")).filter(F.col("pairs") > 0)
     of_a = totals.select(F.col(type_col).alias("type_a"), F.col("n").alias("n_a"))
     of_b = totals.select(F.col(type_col).alias("type_b"), F.col("n").alias("n_b"))
-    whole = df.filter(F.col(type_col).isNotNull()).count()
+    whole = slim.count()
     return (
         found.join(of_a, "type_a").join(of_b, "type_b")
         .withColumns({

@@ -300,6 +300,16 @@ def ingest_batch_http_events(t):
     return accepted.select("batch_id", "idx", "id")
 
 
+@query(BATCHED + """
+SELECT batch_id, idx, 'accepted' AS status, CAST(idx AS VARCHAR) AS batch_index, TRUE AS has_own_id FROM b QUALIFY count(http) OVER (PARTITION BY batch_id) = 0""")
+def http_batch_accepted(t):
+    events, results, _ = I.accept_batch_http(_batched(t), "batch_id", "idx")
+    stamped = events.select(F.col("id").alias("event_id"), F.col("metadata")["batch_index"].alias("batch_index"), F.col("timestamp").isNotNull().alias("has_time"))
+    # Every event's id is told once, by its own result.
+    return results.join(stamped, "event_id").select(
+        "batch_id", "idx", "status", "batch_index", (F.col("has_time") & (F.length("event_id") > 20)).alias("has_own_id"))
+
+
 @query(BATCHED + """
 SELECT id, max(CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY idx) = 0 AS sent FROM b""")
 def send_batch_stop(t):

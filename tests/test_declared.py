@@ -83,3 +83,26 @@ def test_typed_batches_as_arrays(spark):
     assert sorted(map(tuple, refused.collect())) == [("b2", "InvalidArgument", "batch cannot be empty"), ("b3", "InvalidArgument", "batch cannot be empty")]
     results = ingest.ingest_batch(events, "batch", "idx").orderBy("idx").collect()
     assert [(r.batch, r.idx, r.status) for r in results] == [("b1", 0, "ACCEPTED"), ("b1", 1, "REJECTED")]
+
+
+def test_many_types_in_one_plan(spark):
+    import random
+
+    from eventspark.operators import joins
+
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 2, None]), rng.randrange(4000), f"t{rng.randrange(10_000)}" if k % 3 else rng.choice("ab")) for k in range(600)]
+    frame = spark.createDataFrame(rows, "k int, at long, type string").withColumn("ts", F.timestamp_seconds("at"))
+    want = {}
+    for ka, ta, a in rows:
+        for kb, tb, b in rows:
+            if ka == kb and 0 < tb - ta <= 100:
+                want[a, b] = want.get((a, b), 0) + 1
+    found = joins.type_correlation(frame, "k", "100s", "ts", "type")
+    assert {(r.type_a, r.type_b): r.pairs for r in found.collect()} == want
+    assert joins.type_correlation(frame.limit(0), "k", "100s", "ts", "type").count() == 0
+
+
+@pytest.mark.parametrize("name", ["http_batch_accepted", "interval_join_left", "interval_join_view_purchase", "type_correlation"])
+def test_joins_and_batches(spark, medium, name):
+    assert spark_rows(all_queries()[name](spark, medium)) == duck_rows(connect(medium), all_sql()[name])
