@@ -32,8 +32,8 @@ def ingest(
     """Validate, fill, place and number events: (accepted with partition and offset, rejected).
 
     `arrival` lists the columns giving arrival order; without it no offsets are assigned (as on a
-    stream, where the topic sink does). Materialise the input first if ids or times are generated
-    and the result is used more than once.
+    stream, where the topic sink does), and ids and times that are generated differ from reading to reading. With it
+    the accepted events are fixed in the shared folder first.
     """
     prepared = with_request_id(df)
     if protocol == "http":
@@ -51,7 +51,8 @@ def ingest(
         {"status": F.lit(REJECTED), "error_type": kind, "error_message": F.col("error")}).drop("error")
     accepted = with_partition(accepted, topic_partitions, key="type")
     if arrival:
-        accepted = with_offsets(accepted, arrival)
+        # Offsets are worked out from one reading of the rows; ids and times made for them must be those of that reading.
+        accepted = with_offsets(materialise(accepted), arrival)
     return accepted, rejected
 
 

@@ -98,10 +98,15 @@ def _depth(schemas: DataFrame) -> int:
     return schemas.select(level.alias("n")).agg(F.max("n")).first()[0] or 1
 
 
+def _entered(path: Column, value: Column) -> Column:
+    """A value to look into, with its members if it is an object."""
+    return F.struct(path.alias("path"), value.alias("value"), F.try_variant_get(value, "$", "map<string,variant>").alias("members"))
+
+
 def _children(at: Column, rules: Column) -> Column:
     """(rule of the member, value, where an error is told) of everything that one object, array or map holds."""
     rule = F.try_element_at(rules, at["path"])
-    members = F.try_variant_get(at["value"], "$", "map<string,variant>")
+    members = at["members"]
     only = F.get(rule["fields"], F.lit(0))
 
     def all_of(values: Column) -> Column:
@@ -129,7 +134,7 @@ def _entry(name: Column, code: str) -> Column:
 
 def _unknown(at: Column, rules: Column) -> Column:
     rule = F.try_element_at(rules, at["path"])
-    keys = F.map_keys(F.try_variant_get(at["value"], "$", "map<string,variant>"))
+    keys = F.map_keys(at["members"])
     left = F.array_except(keys, F.transform(rule["fields"], lambda f: f["name"]))
     told = F.transform(left, lambda k: _entry(F.when(at["path"] == "", k).otherwise(F.concat(at["path"], F.lit("."), k)), "unknown"))
     return F.when((rule["kind"] == "record") & ~rule["open"] & keys.isNotNull(), told).otherwise(F.array().cast(_ERRORS))
@@ -141,11 +146,11 @@ def with_errors(df: DataFrame, data: str, levels: int, name: str = "payload_erro
     The payload is parsed once and walked a level of the schema at a time; only values that fit are entered.
     """
     none = F.array().cast(_ERRORS)
-    root = F.try_parse_json(data)
-    found = df.withColumn("_root", root)
-    is_object = F.try_variant_get("_root", "$", "map<string,variant>").isNotNull()
-    start = F.when(F.col("rules").isNotNull() & is_object, F.array(F.struct(F.lit("").alias("path"), F.col("_root").alias("value"))))
-    found = found.withColumns({"_at": start, "_errors": F.when(F.col("rules").isNotNull() & ~F.coalesce(is_object, F.lit(False)), F.array(_entry(F.lit("data"), "not_an_object"))).otherwise(none)})
+    found = df.withColumn("_root", F.try_parse_json(data))
+    found = found.withColumn("_at", F.when(F.col("rules").isNotNull(), F.array(_entered(F.lit(""), F.col("_root")))))
+    is_object = F.get("_at", F.lit(0))["members"].isNotNull()
+    found = found.withColumn("_errors", F.when(F.col("rules").isNotNull() & ~is_object, F.array(_entry(F.lit("data"), "not_an_object"))).otherwise(none))
+    found = found.withColumn("_at", F.when(is_object, F.col("_at")))
     for _ in range(levels):
         found = found.withColumn("_held", F.flatten(F.filter(F.transform("_at", lambda at: _children(at, F.col("rules"))), lambda x: x.isNotNull())))
         judged = F.transform("_held", lambda c: F.struct(
@@ -158,7 +163,7 @@ def with_errors(df: DataFrame, data: str, levels: int, name: str = "payload_erro
         into = F.filter("_held", lambda c: c["fits"] & F.map_contains_key("rules", c["path"]))
         found = found.withColumns({
             "_errors": F.concat("_errors", F.coalesce(wrong, none), F.coalesce(unknown, none)),
-            "_at": F.transform(into, lambda c: F.struct(c["path"].alias("path"), c["value"].alias("value")))})
+            "_at": F.transform(into, lambda c: _entered(c["path"], c["value"]))})
     return found.withColumn(name, F.array_distinct("_errors")).drop("_root", "_at", "_errors", "_held")
 
 
