@@ -2,10 +2,14 @@
 
 Every value is a whole number in ten-thousandths. A sketch is a table of counts by log-linear bin (the number with all
 but its five highest bits cleared, so within 1/16 of it; exact below 32). Sketches merge by adding counts, in any order
-and with one result, and have at most some 400 bins whatever the rows. A group's sketch gives its median m and lower
-quartile q; a document fails a rule where its value is above m + max(SPREADS * (m - q), slack), for the word length
-also where it is as far below. Both are set by the better half of a group, so half of it may be junk. Groups of fewer
-than `LEAST_ROWS` rows take the thresholds of the sketch merged over the language, or else over all rows.
+and with one result, and have at most some 400 bins whatever the rows. They are made of the rows that pass the base rule.
+
+A group's limits come from its sketch's quantiles. Word length and capitals, which all texts have, may lie `SPREADS`
+times the distance between the quartiles beyond the nearer one, word length on both sides. Repeated lines and repeated
+words, which most texts have none of, may be as far above a tail quantile (`TAILS`) as that is above the median. Half of a
+group may be junk by its symbols, so their quantile is the median. `LEAST` is how far a limit is at least from the
+median (for the first two: a share of it). It is the limit for symbols, and else binds where a group's texts are all
+alike. Groups of fewer than `LEAST_ROWS` rows take the limits of the sketch merged over the language, or else over all rows.
 
 Everything is DataFrame functions. Null texts have no words and so fail the base rule; null languages and sources are
 groups of their own. Repeated rows count each. Extra columns stay as they are; an empty table gives an empty one.
@@ -18,11 +22,13 @@ from pyspark.sql import functions as F
 
 from eventspark.llm.frames import keep
 
-#: Least distance in ten-thousandths from the median to the threshold; symbols, letters, capitals and words in repeated
-#: windows are per word, repeated lines per line.
-SLACK = {"symbols": 3000, "letters": 25000, "capitals": 15000, "lines": 5000, "repeats": 1800}
+RULES = ("symbols", "letters", "capitals", "lines", "repeats")
+#: Per cent and times its distance from the median beyond it.
+TAILS = {"symbols": (50, 1), "lines": (99, 1), "repeats": (99, 1)}
 TWO_SIDED = ("letters",)
-SPREADS, LEAST_ROWS = 6, 100
+#: Least distance from the median in ten-thousandths; symbols and words in repeated windows are per word, repeated lines per line.
+LEAST = {"symbols": 3000, "lines": 500, "repeats": 500}
+SPREADS, LEAST_SHARE, LEAST_ROWS = 5, 8, 100
 #: Threshold rows that are broadcast, of some 100 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -88,33 +94,39 @@ def bin_of(value: Column) -> Column:
 
 
 def sketches(groups: DataFrame) -> DataFrame:
-    """(lang, source, rule, bin, n) of rows with lang, source and x, their figures."""
+    """(lang, source, rule, bin, n) of rows with lang, source and x, their figures, that pass the base rule."""
     values = F.array(*(F.struct(F.lit(rule).alias("rule"), bin_of(value).alias("bin")) for rule, value in rule_values(F.col("x")).items()))
-    rows = groups.select("lang", "source", F.explode(values).alias("v")).select("lang", "source", "v.rule", "v.bin")
+    rows = groups.where(~base_failed(F.col("x"))).select("lang", "source", F.explode(values).alias("v")).select("lang", "source", "v.rule", "v.bin")
     return rows.groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
 
 
 def _limits(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of the group, median and lower quartile from merged sketches, as low_<rule> and high_<rule> columns."""
+    """Rows of the group and its limits from merged sketches, as low_<rule> and high_<rule> columns."""
     group = [*by, "rule"]
     merged = sketch.groupBy(*group, "bin").agg(F.sum("n").alias("n"))
     below = F.sum("n").over(Window.partitionBy(*group).orderBy("bin"))
     total = F.sum("n").over(Window.partitionBy(*group))
-    marks = merged.select(*group, "bin", below.alias("below"), total.alias("total")).groupBy(*group).agg(
-        F.first("total").alias("total"), F.min(F.when(2 * F.col("below") >= F.col("total"), F.col("bin"))).alias("m"),
-        F.min(F.when(4 * F.col("below") >= F.col("total"), F.col("bin"))).alias("q"))
+    counted = merged.select(*group, "bin", below.alias("below"), total.alias("total"))
+    quantile = lambda p: F.min(F.when(100 * F.col("below") >= p * F.col("total"), F.col("bin"))).alias(f"q{p}")
+    marks = counted.groupBy(*group).agg(F.first("total").alias("total"), *map(quantile, (25, 50, 75, 90, 99)))
+    share = F.call_function("div", F.col("q50"), F.lit(LEAST_SHARE).cast("long"))
+    wide = F.greatest(SPREADS * (F.col("q75") - F.col("q25")), share)
 
-    def far(rule: str) -> Column:
-        return F.greatest(SPREADS * (F.col("m") - F.col("q")), F.lit(SLACK[rule]))
+    def high(rule: str) -> Column:
+        if rule not in TAILS:
+            return F.col("q75") + wide
+        p, times = TAILS[rule]
+        t, m = F.col(f"q{p}"), F.col("q50")
+        return F.greatest(t + times * (t - m), m + LEAST[rule])
 
-    wide = [F.max(F.when(F.col("rule") == rule, F.col("m") + far(rule))).alias(f"high_{rule}") for rule in SLACK]
-    wide += [F.max(F.when(F.col("rule") == rule, F.col("m") - far(rule))).alias(f"low_{rule}") for rule in TWO_SIDED]
-    return marks.groupBy(*by).agg(F.max("total").alias("total"), *wide)
+    limits = [F.max(F.when(F.col("rule") == rule, high(rule))).alias(f"high_{rule}") for rule in RULES]
+    limits += [F.max(F.when(F.col("rule") == rule, F.col("q25") - wide)).alias(f"low_{rule}") for rule in TWO_SIDED]
+    return marks.groupBy(*by).agg(F.max("total").alias("total"), *limits)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per language and source with its limits; small groups have those of the language or of all rows."""
-    names = [f"high_{rule}" for rule in SLACK] + [f"low_{rule}" for rule in TWO_SIDED]
+    names = [f"high_{rule}" for rule in RULES] + [f"low_{rule}" for rule in TWO_SIDED]
 
     def part(by: list[str], name: str) -> DataFrame:
         return _limits(sketch, by).select(*(F.col(c).alias(f"{name}_{c}") for c in by), F.struct(*names).alias(name), F.col("total").alias(f"{name}_n"))

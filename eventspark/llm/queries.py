@@ -118,27 +118,30 @@ value AS (
   SELECT r, lang, source, 'lines', n_dup_lines * 10000 // greatest(n_lines, 1) FROM fig UNION ALL
   SELECT r, lang, source, 'repeats', n_repeat_words * 10000 // greatest(n_words, 1) FROM fig),
 binned AS (
-  SELECT lang, source, rule, CAST(v // (1::BIGINT << greatest(length(bin(v)) - 5, 0)) * (1::BIGINT << greatest(length(bin(v)) - 5, 0)) AS BIGINT) AS b
-  FROM value),
+  SELECT value.lang AS lang, value.source AS source, rule, CAST(v // (1::BIGINT << greatest(length(bin(v)) - 5, 0)) * (1::BIGINT << greatest(length(bin(v)) - 5, 0)) AS BIGINT) AS b
+  FROM value JOIN fig USING (r) WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)),
 mark AS (
-  SELECT level, lang, source, rule, max(total) AS total, min(b) FILTER (2 * below >= total) AS m, min(b) FILTER (4 * below >= total) AS q
+  SELECT level, lang, source, rule, max(total) AS total, min(b) FILTER (100 * below >= 25 * total) AS q25, min(b) FILTER (100 * below >= 50 * total) AS q50,
+    min(b) FILTER (100 * below >= 75 * total) AS q75, min(b) FILTER (100 * below >= 90 * total) AS q90, min(b) FILTER (100 * below >= 99 * total) AS q99
   FROM (
     SELECT *, row_number() OVER (PARTITION BY level, lang, source, rule ORDER BY b) AS below, count(*) OVER (PARTITION BY level, lang, source, rule) AS total
     FROM (SELECT 0 AS level, lang, source, rule, b FROM binned UNION ALL SELECT 1, lang, NULL, rule, b FROM binned
           UNION ALL SELECT 2, NULL, NULL, rule, b FROM binned)) GROUP BY ALL),
 bound AS (
-  SELECT level, lang, source, rule, total, m, greatest(6 * (m - q), CASE rule WHEN 'symbols' THEN 3000 WHEN 'letters' THEN 25000
-    WHEN 'capitals' THEN 15000 WHEN 'lines' THEN 5000 ELSE 1800 END) AS far FROM mark),
+  SELECT level, lang, source, rule, total, CASE rule WHEN 'symbols' THEN q50 + 3000
+    WHEN 'lines' THEN greatest(q99 + (q99 - q50), q50 + 500) WHEN 'repeats' THEN greatest(q99 + (q99 - q50), q50 + 500)
+    ELSE q75 + greatest(5 * (q75 - q25), q50 // 8) END AS high,
+    CASE rule WHEN 'letters' THEN q25 - greatest(5 * (q75 - q25), q50 // 8) ELSE -1 END AS low FROM mark),
 pick AS (
-  SELECT v.r, v.rule, v.v, CASE WHEN o.total >= 100 THEN o.m WHEN l.total >= 100 THEN l.m ELSE e.m END AS m,
-    CASE WHEN o.total >= 100 THEN o.far WHEN l.total >= 100 THEN l.far ELSE e.far END AS far
-  FROM value v JOIN bound o ON o.level = 0 AND o.rule = v.rule AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
-  JOIN bound l ON l.level = 1 AND l.rule = v.rule AND l.lang IS NOT DISTINCT FROM v.lang
-  JOIN bound e ON e.level = 2 AND e.rule = v.rule),
-verdict AS (SELECT r, bool_and(v <= m + far AND (rule <> 'letters' OR v >= m - far)) AS good FROM pick GROUP BY r)
+  SELECT v.r, v.v, CASE WHEN o.total >= 100 THEN o.high WHEN l.total >= 100 THEN l.high ELSE e.high END AS high,
+    CASE WHEN o.total >= 100 THEN o.low WHEN l.total >= 100 THEN l.low ELSE e.low END AS low
+  FROM value v LEFT JOIN bound o ON o.level = 0 AND o.rule = v.rule AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN bound l ON l.level = 1 AND l.rule = v.rule AND l.lang IS NOT DISTINCT FROM v.lang
+  LEFT JOIN bound e ON e.level = 2 AND e.rule = v.rule),
+verdict AS (SELECT r, bool_and(v BETWEEN low AND high) AS good FROM pick GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good AS kept
+  coalesce(NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good, false) AS kept
 FROM fig JOIN verdict USING (r)
 """
 

@@ -112,3 +112,22 @@ def test_labels_of_absent_documents_take_no_place(spark):
     assert all((r[name] >= 0.5) == (r.doc_id % 2 == 1) for r in scored.collect())
     with pytest.warns(UserWarning, match="every score is the same"):
         toxicity.train(docs, labels.where("toxic = 0"), F.lit(True))
+
+
+def test_limits_follow_the_group(spark, medium):
+    """What is usual in one source is rejected in another; most limits come from the sketches' spread."""
+    from eventspark.llm import quality_rules as Q
+
+    rng = random.Random(3)
+    text = lambda n, spread: " ".join("x" * max(1, round(rng.gauss(n, spread))) + chr(97 + rng.randrange(26)) for _ in range(60))
+    rows = [(k, text(5 + rng.random(), 1), "en", "narrow") for k in range(150)] + [(200 + k, text(4 + 12 * rng.random(), 2), "en", "wide") for k in range(150)]
+    rows += [(900, text(13, 1), "en", "narrow"), (901, text(13, 1), "en", "wide")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in Q.quality_digest(docs).where("kept").collect()}
+    assert 900 not in kept and 901 in kept and len(kept) >= 299
+    groups = spark.read.parquet(f"{medium}/documents.parquet").select("lang", "source", Q.figures_of(F.col("text")).alias("x"))
+    sketch = Q.sketches(groups).persist()
+    limits = Q._limits(sketch, ["lang"]).collect()
+    medians = {(r.lang, r.rule): r.m for r in sketch.groupBy("lang", "rule").agg(F.percentile("bin", F.lit(0.5), F.col("n")).alias("m")).collect()}
+    own = [r[f"high_{rule}"] > medians[r.lang, rule] + (Q.LEAST.get(rule) or medians[r.lang, rule] / Q.LEAST_SHARE) + 1 for r in limits for rule in Q.RULES if rule != "symbols"]
+    assert sum(own) > 0.7 * len(own)
