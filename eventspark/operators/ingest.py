@@ -154,9 +154,9 @@ def batch_results(results: DataFrame, batch_id: str, idx: str) -> DataFrame:
     return results.orderBy(batch_id, idx)
 
 
-def by_priority(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Higher priority first, then older first."""
-    return df.orderBy(F.col("priority").desc(), F.col(ts).asc())
+def by_priority(df: DataFrame, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
+    """Higher priority first, then older first, then by `tie`, a row id that makes the order one."""
+    return df.orderBy(F.col("priority").desc(), F.col(ts).asc(), *[tie] * (tie is not None))
 
 
 def union_protocols(http: DataFrame, typed: DataFrame) -> DataFrame:

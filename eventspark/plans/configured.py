@@ -10,6 +10,7 @@ from eventspark.operators import rules as X
 from eventspark.plans.catalog import query
 from eventspark.plans.tables import ORDER_EVENTS, STD
 
+# Fixed values: `fraud_detection` and `user_activity_aggregation` are the declared sample rules' names, here and below.
 RULES = "rule_name string, rule_version int, rule_type string, rule_definition string, rule_config string, is_active boolean"
 
 

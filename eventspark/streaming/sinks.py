@@ -64,14 +64,17 @@ def append_history(
 ) -> StreamingQuery:
     """Append history rows to the month-partitioned table; ids already stored are skipped (see `append_events`).
 
-    Rows without an id go to `<path>_rejected`.
+    Rows without an id go to `<path>_rejected`, which a reset checkpoint would write again: one that has rows of another
+    checkpoint is refused (see `_start`).
     """
+    refused = f"{path.rstrip('/')}_rejected"
+
     def write(batch: DataFrame, batch_id: str) -> None:
         rejected = store.append_events(batch, path, within_month)
         if not rejected.isEmpty():
-            _write_batch(rejected, f"{path.rstrip('/')}_rejected", batch_id)
+            _write_batch(rejected, refused, batch_id)
 
-    return _start(stream, write, checkpoint, trigger)
+    return _start(stream, write, checkpoint, trigger, refused)
 
 
 def write_rollup(

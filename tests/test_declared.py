@@ -106,3 +106,25 @@ def test_many_types_in_one_plan(spark):
 @pytest.mark.parametrize("name", ["http_batch_accepted", "interval_join_left", "interval_join_view_purchase", "type_correlation"])
 def test_joins_and_batches(spark, medium, name):
     assert spark_rows(all_queries()[name](spark, medium)) == duck_rows(connect(medium), all_sql()[name])
+
+
+def test_orders_are_orders(spark):
+    rows = [(k % 3, k * 7 % 5, k) for k in range(60)]
+    frame = spark.createDataFrame(rows, "priority int, at int, n int").withColumn("timestamp", F.timestamp_seconds("at")).repartition(7)
+    assert [r.n for r in ingest.by_priority(frame, tie="n").collect()] == [n for *_, n in sorted(rows, key=lambda r: (-r[0], r[1], r[2]))]
+    results = spark.createDataFrame([(k % 4, k) for k in range(50)], "b int, i int").repartition(6)
+    assert [(r.b, r.i) for r in ingest.batch_results(results, "b", "i").collect()] == sorted((k % 4, k) for k in range(50))
+
+
+def test_a_reset_checkpoint_does_not_refuse_rows_again(spark, tmp_path):
+    from eventspark.schema import EVENTS_TABLE
+    from eventspark.streaming import append_history
+
+    source = str(tmp_path / "in")
+    rows = spark.range(4).select(*[(F.when(F.col("id") > 0, F.col("id").cast("string")) if f.name == "event_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS_TABLE.fields])
+    rows.write.parquet(source)
+    stream = lambda: spark.readStream.schema(EVENTS_TABLE).parquet(source)
+    append_history(stream(), str(tmp_path / "h"), str(tmp_path / "c1")).awaitTermination()
+    with pytest.raises(Exception, match="does not know"):
+        append_history(stream(), str(tmp_path / "h"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "h_rejected")).count() == 1 and spark.read.parquet(str(tmp_path / "h")).count() == 3
