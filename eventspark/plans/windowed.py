@@ -142,7 +142,7 @@ def rollup_hourly(t):
 
 
 @query("""
-SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS spread,
+SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total, round(stddev_samp(value), 3) AS spread,
   TRUE AS p90_is_close, TRUE AS users_are_close FROM events GROUP BY ALL""")
 def rollup_sketches(t):
     # Hourly rollups of two halves, merged, then made daily; sketched figures are held against exact ones.
@@ -158,7 +158,7 @@ def rollup_sketches(t):
     # The quantile of a sketch is one of the values: its ranks may pass the wanted one by one value more.
     far = F.greatest(F.col("below") - 0.9, 0.9 - F.col("upto")) - 1 / F.col("n")
     return held.select(
-        "window_start", "event_type", "n", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"),
+        "window_start", "event_type", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), F.round("spread", 3).alias("spread"),
         (far <= 2 * R.KLL_RANK_ERROR).alias("p90_is_close"), (F.abs(F.col("users") - F.col("exact")) <= 4 * R.HLL_ERROR * F.col("exact")).alias("users_are_close"))
 
 
