@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.functions.clock import interval_text
-from eventspark.operators.rule_index import match_index, parsed_rules
+from eventspark.operators.rule_index import match_index, parsed_rules, total_index
 from eventspark.sources.config import load_active
 
 RESULT = "rule_id string, result_type string, original_event_id string, tenant_id string, result_data string"
@@ -185,6 +185,15 @@ def match_rules(events: DataFrame, rules: DataFrame, type_col: str = "type", dat
     return match_index(events, parsed_rules(active), type_col, data)
 
 
+def match_totals(events: DataFrame, rules: DataFrame, by: list[str], type_col: str = "type", data: str = "data") -> DataFrame:
+    """What `match_rules` finds, counted by the columns `by`: n_rules, thresholds (their sum) and first_rule.
+
+    No row is made for an event and a rule, so the cost grows with events plus rules.
+    """
+    active = latest_version(rules, "rule_name", "rule_version")
+    return total_index(events, parsed_rules(active), by, type_col, data)
+
+
 def backtest_rules(
     spark: SparkSession, rules: DataFrame, events: DataFrame, start, end, view: str = "events",
     ts: str = "event_timestamp", tenant: str = "tenant_id",
