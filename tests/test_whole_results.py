@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventspark.functions import render_template
 from eventspark.operators import dlq, ingest, notify, observe, registry, sizes, store, windows
 from eventspark.operators import validate as V
+from eventspark.plans import all_queries
 from eventspark.sources import decode_requests, explode_batch, history_range
 from eventspark.sources.history import MONTH, month_of
 
@@ -126,3 +127,14 @@ def test_exact_percentile_by_ranks(spark, cut):
 def test_few_large_rows_are_not_small(spark):
     df = spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert sizes.is_small(df) and not sizes.is_small(df, max_bytes=2000)
+
+
+def test_a_round_of_dead_letters_does_not_repeat_the_rounds_before(spark, tmp_path):
+    rows = [(k, k, "view", 1.0, None if k % 2 else "{}", datetime(2024, 1, 5)) for k in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    letters = all_queries()["dead_letter_rounds"](spark, str(tmp_path))
+    plan = letters._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "parquet" not in plan
+    want = {0: ("RESOLVED", 0), 1: ("DEAD", 3), 2: ("WAITING", 1)}
+    found = {int(r.id): (r.state, r.retry_count) for r in letters.collect()}
+    assert found == {k: want[k % 3] for k in range(60) if k % 2 or k % 17 == 0 or k % 19 == 0 or k % 23 == 0}
