@@ -15,8 +15,9 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Pieces in the younger half of a worker's memo; the older half is as large.
-MEMO_PIECES = 900_000
+#: Pieces in the younger half of a worker's memo; the older half is as large. Some 100 MB, which a reused worker keeps
+#: through whatever stages follow.
+MEMO_PIECES = 300_000
 _RUN = regex.compile(r"\s\s\s|\s\s\Z|\x00")
 _PAIRS = ("  ", "\n\n", "\n ", " \n")
 _LAST_PLAIN = "ɏ"

@@ -34,7 +34,7 @@ ORDERS, BITS, FEATURES = (3, 4, 5), 18, 1500
 PENALTY, STEPS, INNER = 1e-3, 15, 40
 _BOUNDARY = 10
 #: Bytes of text whose features of all kinds are held at a time.
-COUNT_SLICE = 1 << 20
+COUNT_SLICE = 1 << 18
 
 
 def _word_grams(words: list[bytes], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

@@ -3,13 +3,17 @@
 import itertools
 import random
 import time
+import tracemalloc
 from collections import Counter
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from eventspark.llm import frames, sharding, tag_paths, toxicity, url_rules
 from eventspark.llm.frames import repeated
+from eventspark.llm.tokens import Encoder
 
 
 def brute_rules(rows, support, confidence):
@@ -131,3 +135,18 @@ def test_limits_follow_the_group(spark, medium):
     medians = {(r.lang, r.rule): r.m for r in sketch.groupBy("lang", "rule").agg(F.percentile("bin", F.lit(0.5), F.col("n")).alias("m")).collect()}
     own = [r[f"high_{rule}"] > medians[r.lang, rule] + (Q.LEAST.get(rule) or medians[r.lang, rule] / Q.LEAST_SHARE) + 1 for r in limits for rule in Q.RULES if rule != "symbols"]
     assert sum(own) > 0.7 * len(own)
+
+
+def test_what_a_worker_keeps_of_pieces_and_holds_of_features_is_bounded():
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=5), 700_000)]
+    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for at in range(0, len(words), 1000):
+        encode.ids([" ".join(words[at : at + 1000])])
+    assert len(encode.young) + len(encode.old) < 610_000
+    texts = [" ".join(words[at : at + 500]) for at in range(0, 180_000, 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 for k in range(len(texts))])], ["text", "label"])
+    tracemalloc.start()
+    list(toxicity._count([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
