@@ -17,6 +17,8 @@ from eventspark.llm.toxicity import drop_toxic
 from eventspark.session import checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Workers keep their memo of pieces through other stages, so it is a third of the usual one.
+MEMO_PIECES = 300_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 token ids."""
     small_batches(spark)
-    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER), pieces=MEMO_PIECES)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("packing", packing)]

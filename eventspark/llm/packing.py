@@ -86,9 +86,9 @@ def cut(size: int, most: int) -> list[int]:
     return [size // n + (k < size % n) for k in range(n)]
 
 
-def _pack(path: str, window: int, with_ids: bool, names: list[str]):
+def _pack(path: str, window: int, with_ids: bool, names: list[str], pieces: int | None):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, pieces)
         number = TaskContext.get().partitionId() << 32
         rests: list[tuple] = []
         held, goal = 0, RUN_WINDOWS * max(1, window - SLACK)
@@ -146,14 +146,17 @@ def _pack(path: str, window: int, with_ids: bool, names: list[str]):
 
 
 def pack_documents(
-    documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False,
+    documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False, pieces: int | None = None,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids as bytes)."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids as bytes).
+
+    `pieces` bounds half the memo that a worker keeps (None: as `tokens` does).
+    """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {id_type}", *(f"{n} long" for n in names[1:7])]) + ", ids binary" * with_ids
-    return rows.mapInArrow(_pack(tokenizer, window, with_ids, names), schema.replace("offset long", "`offset` long"))
+    return rows.mapInArrow(_pack(tokenizer, window, with_ids, names, pieces), schema.replace("offset long", "`offset` long"))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -15,9 +15,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Pieces in the younger half of a worker's memo; the older half is as large. Some 100 MB, which a reused worker keeps
-#: through whatever stages follow.
-MEMO_PIECES = 300_000
+#: Pieces in the younger half of a worker's memo; the older half is as large. Reused workers keep both.
+MEMO_PIECES = 900_000
 _RUN = regex.compile(r"\s\s\s|\s\s\Z|\x00")
 _PAIRS = ("  ", "\n\n", "\n ", " \n")
 _LAST_PLAIN = "ɏ"
@@ -55,12 +54,13 @@ class Encoder:
     """`ids(texts)` gives one little-endian unsigned 32-bit id array per text (None: empty), as the library's
     `encode(text, add_special_tokens=False)` does: a special token that a text spells out becomes its id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.pieces = pieces
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
@@ -111,7 +111,7 @@ class Encoder:
             elif not self.level or _must_stay_whole(text) or any(token in text for token in self.special):
                 out.append(np.frombuffer(self._whole(text), "<u4"))
             else:
-                if len(self.young) > MEMO_PIECES:
+                if len(self.young) > (self.pieces or MEMO_PIECES):
                     self.old, self.young = self.young, _Memo(self._learned)
                 pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
                 out.append(np.frombuffer(b"".join(map(self.young.__getitem__, pieces)), "<u4"))
@@ -119,6 +119,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int | None = None) -> Encoder:
     """One encoder per worker process and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, pieces)

@@ -6,6 +6,7 @@ import time
 import tracemalloc
 from collections import Counter
 
+import corpus_pipeline
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -139,7 +140,7 @@ def test_limits_follow_the_group(spark, medium):
 
 def test_what_a_worker_keeps_of_pieces_and_holds_of_features_is_bounded():
     words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=5), 700_000)]
-    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"), corpus_pipeline.MEMO_PIECES)
     for at in range(0, len(words), 1000):
         encode.ids([" ".join(words[at : at + 1000])])
     assert len(encode.young) + len(encode.old) < 610_000
