@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.llm.tokens import encoder
+from eventspark.llm.tokens import encoder, portions
 
 WINDOW, END_ID = 1024, 0
 RUN_WINDOWS, SLACK, FINE_SHARE = 64, 8, 128
@@ -117,11 +117,10 @@ def _pack(path: str, window: int, with_ids: bool, names: list[str], pieces: int
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, 500):
+            for at, texts in portions(batch.column(1)):
                 rows = []
-                docs = batch.column(0).slice(at, 500).to_pylist()
-                for doc, own in zip(docs, encode.ids(texts.slice(at, 500).to_pylist()), strict=True):
+                docs = batch.column(0).slice(at, len(texts)).to_pylist()
+                for doc, own in zip(docs, encode.ids(texts), strict=True):
                     ids = np.append(own, np.uint32(END_ID)).astype("<u4", copy=False)
                     full = len(ids) // window * window
                     for start in range(0, full, window):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventspark.llm.tokens import encoder
+from eventspark.llm.tokens import encoder, portions
 
 END_ID, SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 2, 2000, 64 << 10, 3
 BLOCK_DOCS, BLOCK_IDS = 1000, 1 << 21
@@ -76,9 +76,9 @@ def _write_blocks(tokenizer: str, end: int, kind: str, shared):
 
         size, held = np.dtype(kind).itemsize, 0
         for batch in batches:
-            ids, texts, taken = batch.column(0), batch.column(1), 0
-            for at in range(0, batch.num_rows, 100):
-                for k, raw in enumerate(_ids(encode, texts.slice(at, 100).to_pylist(), end, kind), at + 1):
+            ids, taken = batch.column(0), 0
+            for at, texts in portions(batch.column(1)):
+                for k, raw in enumerate(_ids(encode, texts, end, kind), at + 1):
                     counts.append(len(raw) // size)
                     frames.append(pack.compress(raw))
                     held += counts[-1]
@@ -103,7 +103,8 @@ def write_corpus(documents: DataFrame, tokenizer: str, path: str, doc_id: str =
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encode = encoder(tokenizer)
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(encode, batch.column(0).to_pylist(), end, kind), pa.binary())], ["ids"])
+            for _, texts in portions(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_ids(encode, texts, end, kind), pa.binary())], ["ids"])
 
     chosen = rows.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(some)) == 0).select("text").limit(SAMPLE_DOCS)
     samples = sorted(r.ids for r in chosen.mapInArrow(sample, "ids binary").collect())

@@ -2,26 +2,36 @@
 
 A byte-level vocabulary never merges across the places where its pattern splits a text. A text is cut before each
 single space and around each line break, which are such places as long as no white-space run is longer than two and
-none ends the text; other texts, and those that spell out a special token, are encoded whole. A new piece of Latin letters and signs is split by the pattern and
-its words go to the library's merge model; any other piece goes through the library whole.
+none ends the text, and between a Latin letter and a sign behind it; other texts, and those that spell out a special
+token, are encoded whole. A new piece of Latin letters and signs is split by the pattern and its words go to the
+library's merge model; any other piece goes through the library whole.
+
+Texts are cut together, as one run of bytes, and each different piece of them is looked up once.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pieces in the younger half of a worker's memo; the older half is as large. Reused workers keep both.
 MEMO_PIECES = 900_000
+#: Bytes of text to cut together, and pieces to look up between two looks at the memo's size.
+PORTION, LOOKED_UP = 2 << 20, 10_000
 _RUN = regex.compile(r"\s\s\s|\s\s\Z|\x00")
 _PAIRS = ("  ", "\n\n", "\n ", " \n")
 _LAST_PLAIN = "ɏ"
-#: A word of Latin letters after at most one space, and a sign behind it: two words to the pattern.
-_PLAIN = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([,.;:!?]?)")
+#: Latin letters after at most one space: one word to the pattern.
+_PLAIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
+_LETTER, _SIGN = (np.array([chr(b).isascii() and test(chr(b)) for b in range(256)])
+                  for test in (str.isalpha, lambda c: c.isprintable() and c != " " and not c.isalnum()))
 
 
 def _must_stay_whole(text: str) -> bool:
@@ -31,6 +41,33 @@ def _must_stay_whole(text: str) -> bool:
     return _RUN.search(text) is not None
 
 
+def _cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces of these UTF-8 bytes start, and their end: at texts' ends, spaces, line breaks, signs behind letters."""
+    cut = np.zeros(len(data) + 1, bool)
+    np.equal(data, 32, out=cut[:-1])
+    breaks = np.flatnonzero(data == 10)
+    cut[breaks] = cut[breaks + 1] = True
+    signs = np.flatnonzero(_SIGN[data])
+    signs = signs[signs > 0]
+    last, lead = data[signs - 1], data[signs - 2]  # a letter beyond ASCII has a byte before its last one
+    beyond = (lead == 0xC3) & (last != 0x97) & (last != 0xB7) | (lead >= 0xC4) & (lead <= 0xC8)  # À to ȿ but × and ÷
+    cut[signs[_LETTER[last] | (last >= 0x80) & beyond]] = True
+    cut[0] = True
+    cut[ends] = True
+    return np.flatnonzero(cut)
+
+
+def portions(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first, texts) of slices of a column that end with the text that fills `most` bytes (`PORTION`)."""
+    sizes = pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).to_numpy()
+    filled = np.cumsum(sizes + 1) // (most or PORTION)
+    at = 0
+    while at < len(texts):
+        upto = int(np.searchsorted(filled, filled[at - 1] if at else 0, "right")) + 1
+        yield at, texts.slice(at, upto - at).to_pylist()
+        at = min(upto, len(texts))
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -94,27 +131,44 @@ class Encoder:
         found = self.old.get(piece)
         if found is not None:
             return found
-        plain = _PLAIN.fullmatch(piece)
-        if plain:
-            word, sign = plain.groups()
-            return self._part(word) + self._part(sign) if sign else self._word(word)
+        if _PLAIN.fullmatch(piece):
+            return self._word(piece)
         bare = piece[1:] if piece[0] == " " else piece
         if not bare.isprintable() or max(bare, default="\n") > _LAST_PLAIN:
             return self._whole(piece)
         return b"".join(map(self._part, self.pattern.findall(piece)))
 
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), LOOKED_UP):
+            if len(self.young) > (self.pieces or MEMO_PIECES):
+                self.old, self.young = self.young, _Memo(self._learned)
+            out.extend(map(self.young.__getitem__, pieces[at : at + LOOKED_UP]))
+        return out
+
+    def _cut(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts that may be cut, none of them empty."""
+        data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+        starts = _cuts(np.frombuffer(data, np.uint8), ends)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        found = self._found(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, offsets, ids = pa.array(found, pa.large_binary()).take(pieces.indices).buffers()
+        at = np.frombuffer(offsets, np.int64)[np.searchsorted(starts, ends)] // 4
+        return np.split(np.frombuffer(ids or b"", "<u4"), at[:-1])
+
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for text in texts:
+        out = [np.empty(0, "<u4")] * len(texts)
+        cut: list[int] = []
+        for k, text in enumerate(texts):
             if not text:
-                out.append(np.empty(0, "<u4"))
-            elif not self.level or _must_stay_whole(text) or any(token in text for token in self.special):
-                out.append(np.frombuffer(self._whole(text), "<u4"))
+                continue
+            if not self.level or _must_stay_whole(text) or any(token in text for token in self.special):
+                out[k] = np.frombuffer(self._whole(text), "<u4")
             else:
-                if len(self.young) > (self.pieces or MEMO_PIECES):
-                    self.old, self.young = self.young, _Memo(self._learned)
-                pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-                out.append(np.frombuffer(b"".join(map(self.young.__getitem__, pieces)), "<u4"))
+                cut.append(k)
+        if cut:
+            for k, ids in zip(cut, self._cut([texts[k].encode() for k in cut]), strict=True):
+                out[k] = ids
         return out
 
 

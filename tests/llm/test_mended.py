@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventspark.llm import frames, sharding, tag_paths, toxicity, url_rules
 from eventspark.llm.frames import repeated
-from eventspark.llm.tokens import Encoder
+from eventspark.llm.tokens import Encoder, _Memo, portions
 
 
 def brute_rules(rows, support, confidence):
@@ -151,3 +151,25 @@ def test_what_a_worker_keeps_of_pieces_and_holds_of_features_is_bounded():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 60 << 20
+
+
+def test_pieces_of_a_call_are_looked_up_once_and_words_learned_without_signs(monkeypatch):
+    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = lambda text: encode.tokenizer.encode(text or "", add_special_tokens=False).ids
+    asked = []
+    monkeypatch.setattr(_Memo, "__getitem__", lambda memo, piece: asked.append(piece) or dict.__getitem__(memo, piece), raising=False)
+    texts = ["the very same words"] * 300 + [None, ""] + ["the very same words, again"] * 300
+    assert [ids.tolist() for ids in encode.ids(texts)] == [whole(t) for t in texts]
+    assert sorted(asked) == sorted(["the", " very", " same", " words", ",", " again"])
+    words = ["".join(w) for w in itertools.product("abcé", repeat=5)]
+    texts = [" ".join(w + sign for w in words) for sign in (".", ",", "!", "'s", ")", '"', "×.", "…")]
+    assert [ids.tolist() for ids in encode.ids(texts)] == [whole(t) for t in texts]
+    assert sum(set(piece.strip()) <= set("abcé.,!'s)\"") for piece in encode.young) < 2 * len(words) + 50
+
+
+def test_portions_of_a_column_are_bounded_and_whole():
+    texts = [None, "", "é" * 40, "ab", None, "c" * 9, "d", "e" * 30, "f"]
+    column = pa.array(["cut off", *texts]).slice(1)
+    parts = list(portions(column, 20))
+    assert [t for _, part in parts for t in part] == texts
+    assert [at for at, _ in parts] == [0, 3, 8] and list(portions(pa.nulls(2))) == [(0, [None, None])] and not list(portions(pa.array([], pa.string())))
